@@ -36,3 +36,25 @@ def format_lsn(value: Column) -> Column:
 def range_ok(from_lsn: Column, to_lsn: Column) -> Column:
     """Both texts are LSNs and ``from <= to``; Spark compares binary as unsigned bytes."""
     return is_lsn(from_lsn) & is_lsn(to_lsn) & F.coalesce(parse_lsn(from_lsn) <= parse_lsn(to_lsn), F.lit(False))
+
+
+_LOW_DIGITS = 10
+_LOW_SPAN = 16**_LOW_DIGITS
+
+
+def lsn_number(value: Column) -> Column:
+    """An LSN as an exact integer in the same order.
+
+    Grouped min/max over binary needs a sort-based aggregate; over decimals it hashes.
+    """
+    digits = F.hex(value)
+    high = F.conv(F.substring(digits, 1, _LOW_DIGITS), 16, 10).cast("decimal(13,0)")
+    low = F.conv(F.substring(digits, _LOW_DIGITS + 1, _LOW_DIGITS), 16, 10).cast("decimal(13,0)")
+    return (high * F.lit(_LOW_SPAN).cast("decimal(13,0)") + low).cast("decimal(25,0)")
+
+
+def lsn_text_of_number(number: Column) -> Column:
+    high = F.floor(number / F.lit(_LOW_SPAN).cast("decimal(13,0)")).cast("long")
+    low = (number - high.cast("decimal(13,0)") * F.lit(_LOW_SPAN).cast("decimal(13,0)")).cast("long")
+    part = lambda half: F.lpad(F.lower(F.hex(half)), _LOW_DIGITS, "0")
+    return F.concat(F.lit("0x"), part(high), part(low))

@@ -47,17 +47,18 @@ def _total(columns: Sequence[str]) -> Column:
 
 
 def _pair(source: DataFrame, target: DataFrame, check: str) -> DataFrame:
-    """Join two single-row results into one comparison row of text values."""
-    left = source.select(F.col("v").cast("string").alias("source_value"), F.lit(1).alias("_one"))
-    right = target.select(F.col("v").cast("string").alias("target_value"), F.lit(1).alias("_one"))
-    return (
-        left.join(right, "_one")
-        .select(
-            F.lit(check).alias("check"),
-            "source_value",
-            "target_value",
-            F.col("source_value").eqNullSafe(F.col("target_value")).alias("matched"),
-        )
+    """Put two single-row results side by side as text values."""
+    both = source.select(F.lit("s").alias("side"), F.col("v").cast("string").alias("v")).unionByName(
+        target.select(F.lit("t").alias("side"), F.col("v").cast("string").alias("v"))
+    )
+    return both.agg(
+        F.max(F.when(F.col("side") == "s", F.col("v"))).alias("source_value"),
+        F.max(F.when(F.col("side") == "t", F.col("v"))).alias("target_value"),
+    ).select(
+        F.lit(check).alias("check"),
+        "source_value",
+        "target_value",
+        F.col("source_value").eqNullSafe(F.col("target_value")).alias("matched"),
     )
 
 
