@@ -134,3 +134,9 @@ def rfc3339(text: Column) -> Column:
     value = F.trim(text)
     shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
     return F.when(value.rlike(shape), value.try_cast("timestamp"))
+
+
+def engine_name(text: Column) -> Column:
+    """Import engine in its short form: lower case, default ``sql-insert``, vendor prefix dropped."""
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "^[a-z]+-(import-into|lightning)$", "$1")
+    return F.when(name == "", F.lit("sql-insert")).otherwise(name)

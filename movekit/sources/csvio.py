@@ -1,7 +1,7 @@
 """CSV that keeps NULL and empty text apart.
 
 ``bitmap`` adds a last column with one ``0``/``1`` per value column (``1`` = NULL) and writes NULL
-as empty text. ``backslash_n`` writes NULL as ``\\N``. ``none`` has no NULLs.
+as empty text. ``backslash-n`` writes NULL as ``\\N``. ``none`` has no NULLs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from movekit.functions.scalars import render
 
 BITMAP = "__null_bitmap"
 NULL_TEXT = "\\N"
-ENCODINGS = ("bitmap", "backslash_n", "none")
+ENCODINGS = ("bitmap", "backslash-n", "none")
 EXTENSIONS = {"none": "csv", "gzip": "csv.gz"}
 
 # A value no text column holds: keeps the parser from reading anything but absence as NULL.
@@ -90,7 +90,7 @@ def encode(df: DataFrame, null_encoding: str = "bitmap") -> DataFrame:
         raise ValueError(f"unsupported NULL encoding {null_encoding!r}; one of {', '.join(ENCODINGS)}")
     if null_encoding == "bitmap":
         return encode_null_bitmap(df)
-    if null_encoding == "backslash_n":
+    if null_encoding == "backslash-n":
         return encode_backslash_n(df)
     return render_csv_values(df).na.fill("")
 
@@ -170,10 +170,10 @@ def read_csv(spark: SparkSession, path: str, null_encoding: str = "bitmap", mult
     has_bitmap = check_header(header)
     raw = read_text(spark, path, header, multiline)
     if has_bitmap:
-        if null_encoding == "backslash_n":
-            raise ValueError("files still carry the NULL bitmap column; export with backslash_n")
+        if null_encoding == "backslash-n":
+            raise ValueError("files still carry the NULL bitmap column; export with backslash-n")
         return decode_null_bitmap(raw)
-    if null_encoding == "backslash_n":
+    if null_encoding == "backslash-n":
         return decode_backslash_n(raw)
     return raw.select(*[F.coalesce(_q(c), F.lit("")).alias(c) for c in raw.columns])
 

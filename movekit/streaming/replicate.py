@@ -156,9 +156,8 @@ class Replica:
         else:
             base = self._base(generation)
         base.write.mode("overwrite").parquet(f"{self.path}/base/v={following}")
-        self.spark.createDataFrame([(following, upto_batch, low_water)], VERSIONS).coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{self.path}/versions/v={following}")
+        row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((following, upto_batch, low_water), VERSIONS, strict=True)]
+        self.spark.range(1).select(*row).write.mode("overwrite").json(f"{self.path}/versions/v={following}")
 
 
 def replicate_stream(feed: DataFrame, replica: Replica, query_dir: str, trigger: dict | None = None):

@@ -50,7 +50,9 @@ def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             (i == 1).alias("is_identity"),
             ((key + i) % 7 == 0).alias("is_computed"),
         ),
-        "types": spark.createDataFrame([(n, t) for n, t in enumerate(TYPES)], "user_type_id long, name string"),
+        "types": spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in TYPES])).alias("user_type_id", "name")).withColumn(
+            "user_type_id", F.col("user_type_id").cast("long")
+        ),
         "indexes": with_j.select(
             key,
             j.alias("index_id"),

@@ -69,7 +69,7 @@ def null_bitmap_gzip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BACK)
 def backslash_n_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round_trip(spark, sf_dir, "backslash_n", "none")
+    return _round_trip(spark, sf_dir, "backslash-n", "none")
 
 
 @query(f"WITH {HOLEY} SELECT event_id, COALESCE(event_type,'') AS event_type, COALESCE(value,'') AS value, COALESCE(ts,'') AS ts FROM txt")
