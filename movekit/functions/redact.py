@@ -37,6 +37,8 @@ _ASSIGNMENT = (
     r"(?i)(?<![A-Za-z0-9_])([A-Z0-9_]*(?:" + "|".join(SECRET_WORDS) + r")[A-Z0-9_-]*)"
     r"([\t\n\f\r ]*[:=][\t\n\f\r ]*)(\"[^\"]*\"|'[^']*'|[^\t\n\f\r ,;&|]+)"
 )
+_PLAIN_WORDS = ("PASSWORD", "PASSWD", "PWD", "TOKEN", "SECRET", "KEY", "SAS", "SIGNATURE", "SIG")
+_BACKWARDS = r"(?i)[:=][\t\n\f\r ]*[A-Z0-9_-]*?(?:" + "|".join(w[::-1] for w in _PLAIN_WORDS) + ")"
 _SCHEME = r"([A-Za-z][A-Za-z0-9+.-]*://)"
 _LONE_USER = rf"{_SCHEME}[^/?#@:{URL_END}]+@"
 _USER_SECRET = rf"{_SCHEME}([^/?#@:{URL_END}]*):[^/?#{URL_END}]*@"
@@ -56,13 +58,24 @@ def redact_urls_expr(text: Column) -> Column:
     return F.when(text.contains("://"), step).otherwise(text)
 
 
+def _may_assign(text: Column) -> Column:
+    """Whether any ``:`` or ``=`` has a secret word in the key before it.
+
+    Looking backwards from the few separators is several times cheaper than trying every word
+    as a key. It accepts a superset of what the replacement changes, so nothing is missed, and
+    redacting URLs first never creates a new key.
+    """
+    return (text.contains("=") | text.contains(":")) & F.reverse(text).rlike(_BACKWARDS)
+
+
 def redact_assignments_expr(text: Column) -> Column:
     """``key=value`` and ``key: value`` where the key names a secret."""
-    return F.regexp_replace(text, _ASSIGNMENT, f"$1$2{MARKER}")
+    return F.when(_may_assign(text), F.regexp_replace(text, _ASSIGNMENT, f"$1$2{MARKER}")).otherwise(text)
 
 
 def redact_expr(text: Column) -> Column:
-    return redact_assignments_expr(redact_urls_expr(text))
+    urls = redact_urls_expr(text)
+    return F.when(_may_assign(text), F.regexp_replace(urls, _ASSIGNMENT, f"$1$2{MARKER}")).otherwise(urls)
 
 
 def redact_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -80,23 +93,22 @@ def _secret_flag(flag: Column) -> Column:
 def redact_args(args: Column) -> Column:
     """Argument list with the values of secret flags replaced, in ``--f v``, ``--f=v`` and ``-f v`` form.
 
-    The fold carries whether the next element is the value of a secret flag, so a value that
-    itself looks like a flag does not hide a third element.
+    Each element is redacted and classified once; the fold then carries whether the next element
+    is the value of a secret flag, so a value that itself looks like a flag hides no third element.
     """
 
-    def step(state: Column, raw: Column) -> Column:
-        arg = redact_expr(raw)
+    def classify(arg: Column) -> Column:
         name = F.substring_index(arg, "=", 1)
-        long_flag = arg.startswith("--")
-        has_value = arg.contains("=")
-        secret = F.when(long_flag, _secret_flag(name)).otherwise(arg.startswith("-") & _secret_flag(arg))
-        shown = (
-            F.when(state["hide"], F.lit(MARKER))
-            .when(long_flag & has_value & secret, F.concat(name, F.lit("=" + MARKER)))
-            .otherwise(arg)
-        )
-        hide = ~state["hide"] & secret & ~(long_flag & has_value)
-        return F.struct(F.concat(state["out"], F.array(shown)).alias("out"), hide.alias("hide"))
+        inline = arg.startswith("--") & arg.contains("=")
+        secret = F.when(arg.startswith("--"), _secret_flag(name)).when(arg.startswith("-"), _secret_flag(arg)).otherwise(False)
+        return F.struct(arg.alias("arg"), name.alias("name"), inline.alias("inline"), secret.alias("secret"))
+
+    def shown(state: Column, a: Column) -> Column:
+        own = F.when(a["inline"] & a["secret"], F.concat(a["name"], F.lit("=" + MARKER))).otherwise(a["arg"])
+        hide = ~state["hide"] & a["secret"] & ~a["inline"]
+        text = F.when(state["hide"], F.lit(MARKER)).otherwise(own)
+        return F.struct(F.concat(state["out"], F.array(text)).alias("out"), hide.alias("hide"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("hide"))
-    return F.when(args.isNotNull(), F.aggregate(args, start, step, lambda s: s["out"]))
+    parts = F.transform(F.transform(args, redact_expr), classify)
+    return F.when(args.isNotNull(), F.aggregate(parts, start, shown, lambda s: s["out"]))

@@ -88,22 +88,20 @@ def manifest_audit(audits: DataFrame, groups: Sequence[str] = (), order: str = "
     shape = ", ".join([f"{k} string" for k in keys] + ["files long", "rows long", "bytes long", "sha256 string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, files, rows, size = None, hashlib.sha256(), 0, 0, 0
-
-        def done() -> pd.DataFrame:
-            values = [*current, files, rows, size, "sha256:" + state.hexdigest()]
-            return pd.DataFrame([values], columns=[*keys, "files", "rows", "bytes", "sha256"])
-
+        names = [*keys, "files", "rows", "bytes", "sha256"]
+        current, state, totals = None, hashlib.sha256(), [0, 0, 0]
         for batch in batches:
-            names = list(zip(*[batch[k] for k in keys], strict=True)) if keys else [()] * len(batch)
-            for group, line, n, b in zip(names, batch["_line"], batch["rows"], batch["bytes"], strict=True):
+            finished = []
+            groups = list(zip(*[batch[k] for k in keys], strict=True)) if keys else [()] * len(batch)
+            for group, line, n, size in zip(groups, batch["_line"], batch["rows"], batch["bytes"], strict=True):
                 if group != current:
                     if current is not None:
-                        yield done()
-                    current, state, files, rows, size = group, hashlib.sha256(), 0, 0, 0
-                state.update((line + "\n").encode())
-                files, rows, size = files + 1, rows + int(n), size + int(b)
+                        finished.append([*current, *totals, "sha256:" + state.hexdigest()])
+                    current, state, totals = group, hashlib.sha256(), [0, 0, 0]
+                state.update(f"{line}\n".encode())
+                totals = [totals[0] + 1, totals[1] + int(n), totals[2] + int(size)]
+            yield pd.DataFrame(finished, columns=names)
         if current is not None:
-            yield done()
+            yield pd.DataFrame([[*current, *totals, "sha256:" + state.hexdigest()]], columns=names)
 
     return placed.sortWithinPartitions(*keys, "_at").mapInPandas(run, shape)

@@ -106,33 +106,42 @@ def _command_rules(c: Column) -> list[tuple[str, Column]]:
 
 
 def runlog_violations(runs: DataFrame) -> DataFrame:
-    """run_id, command_id (empty for the run itself), rule."""
-    cmds = F.coalesce(F.col("commands"), F.from_json(F.lit("[]"), f"array<{COMMAND}>"))
-    failing = F.exists(cmds, lambda c: F.coalesce(c["exit_code"] != 0, F.lit(False)) | ~blank(c["error"]))
-    of_runs = runs.select(
-        "run_id",
-        F.lit("").alias("command_id"),
-        F.explode(
-            broken_rules(
-                [
-                    ("no_commands", F.size(cmds) == 0),
-                    ("failed_without_failure", (F.trim("status") == "failed") & (F.size(cmds) > 0) & ~failing),
-                ]
-            )
-        ).alias("rule"),
+    """run_id, command_id (empty for the run itself), rule.
+
+    One pass without a shuffle: a run is one row, so its own rules and repeated ids are worked
+    out there and travel with its first command.
+    """
+    commands = F.coalesce(F.col("commands"), F.from_json(F.lit("[]"), f"array<{COMMAND}>"))
+    failing = F.exists("_all", lambda c: F.coalesce(c["exit_code"] != 0, F.lit(False)) | ~blank(c["error"]))
+    ids = F.array_sort(F.filter(F.transform("_all", lambda c: F.trim(c["id"])), lambda x: x != ""))
+    twins = F.array_distinct(F.filter("_ids", lambda x, i: (i > 0) & (F.get(F.col("_ids"), i - 1) == x)))
+    pair = lambda who, rule: F.named_struct(F.lit("command_id"), who, F.lit("rule"), rule)
+    of_run = broken_rules(
+        [
+            ("no_commands", F.size("_all") == 0),
+            ("failed_without_failure", (F.trim("status") == "failed") & (F.size("_all") > 0) & ~failing),
+        ]
+    )
+    whole = (
+        runs.select("run_id", "status", commands.alias("_all"))
+        .withColumn("_ids", ids)
+        .select(
+            "run_id",
+            "status",
+            F.concat(
+                F.transform(of_run, lambda r: pair(F.lit(""), r)), F.transform(twins, lambda x: pair(x, F.lit("id_repeated")))
+            ).alias("_run"),
+            F.posexplode_outer("_all").alias("position", "c"),
+        )
     )
-    flat = commands_of(runs)
-    name = F.trim(F.coalesce(F.col("c.id"), F.lit(""))).alias("command_id")
-    of_commands = flat.select("run_id", name, F.explode(broken_rules(_command_rules(F.col("c")))).alias("rule"))
-    twice = (
-        flat.select("run_id", name)
-        .where("command_id <> ''")
-        .groupBy("run_id", "command_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("run_id", "command_id", F.lit("id_repeated").alias("rule"))
+    name = F.trim(F.coalesce(F.col("c.id"), F.lit("")))
+    own = F.when(F.col("c").isNotNull(), broken_rules(_command_rules(F.col("c")))).otherwise(F.array().cast("array<string>"))
+    first = F.coalesce(F.col("position") == 0, F.lit(True))
+    none = F.array().cast("array<struct<command_id:string,rule:string>>")
+    rows = whole.select("run_id", name.alias("_name"), F.when(first, F.col("_run")).otherwise(none).alias("_run"), own.alias("_own"))
+    return rows.select(
+        "run_id", F.inline(F.concat("_run", F.transform("_own", lambda r: pair(F.col("_name"), r))))
     )
-    return of_runs.unionByName(of_commands).unionByName(twice)
 
 
 def attempt_violations(runs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ CHECKPOINT_STATES = ("not_started", "planned", "running", "caught_up", "failed")
 
 def broken_rules(rules: Sequence[tuple[str, Column]]) -> Column:
     """Names of the rules whose condition holds, as an array; one row can break several."""
-    return F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]), lambda x: x.isNotNull())
+    return F.array_remove(F.array(*[F.when(cond, F.lit(name)).otherwise("") for name, cond in rules]), "")
 
 
 def violations(df: DataFrame, ids: Sequence[str], rules: Sequence[tuple[str, Column]]) -> DataFrame:

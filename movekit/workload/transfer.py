@@ -166,14 +166,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunked export without a shuffle, read back and decoded."""
     path = scratch(spark, "export")
-    X.export_chunks(_orders(spark, sf_dir), path, 500)
+    X.export_chunks(_orders(spark, sf_dir), path, 5000)
     return csvio.read_csv(spark, path)
 
 
 @query(ORDERS_TEXT)
 def export_import_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "export")
-    X.export_chunks(_orders(spark, sf_dir), path, 500, key="o_custkey", partitions=8, tiebreak=["o_orderkey"])
+    X.export_chunks(_orders(spark, sf_dir), path, 5000, key="o_custkey", partitions=8, tiebreak=["o_orderkey"])
     return csvio.read_csv(spark, path)
 
 
@@ -184,7 +184,7 @@ def file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per exported file add up to the table; digests themselves depend on the files."""
     path = scratch(spark, "audit")
     orders = _orders(spark, sf_dir)
-    X.export_chunks(orders, path, 500, compression="gzip")
+    X.export_chunks(orders, path, 5000, compression="gzip")
     totals = A.audit_files(spark, path).agg(
         F.sum("rows").alias("audited_rows"),
         F.bool_and(F.col("bytes") > 0).alias("bytes_known"),
