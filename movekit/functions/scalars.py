@@ -45,7 +45,8 @@ def render_double(value: Column) -> Column:
     return (
         F.when(value.isNull(), None)
         .when(F.isnan(value.cast("double")), "NaN")
-        .when(text.isin("Infinity", "-Infinity"), F.regexp_replace(text, "^(-?)Infinity$", "$1Inf"))
+        .when(text == "Infinity", "+Inf")
+        .when(text == "-Infinity", "-Inf")
         .when(~text.contains("E"), plain)
         .when((size >= 1e7) & (size < 1e21), large)
         .when((size >= 1e-4) & (size < 1), small)
