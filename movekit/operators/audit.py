@@ -25,7 +25,7 @@ def _hash_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             location = uri if "://" in uri else "file://" + uri.removeprefix("file:")
             files, path = fs.FileSystem.from_uri(location)
             digest = hashlib.sha256()
-            with files.open_input_stream(path) as stream:
+            with files.open_input_stream(path, compression=None) as stream:
                 while block := stream.read(_BLOCK):
                     digest.update(block)
             digests.append(digest.hexdigest())

@@ -196,6 +196,7 @@ def apply_changes(
 
     The net effect is written to shared storage first: it is used more than once, and its row
     count (read from the file footers) decides between the broadcast and the shuffled join.
+    ``target`` should be a stored table: write the result of one range before applying the next.
     """
     check_feed(feed, columns)
     net = stage(net_changes(feed, keys, columns), "net")

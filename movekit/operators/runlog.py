@@ -244,6 +244,7 @@ def pending_work(items: DataFrame, runs: DataFrame) -> DataFrame:
         commands_of(runs)
         .where(clean & changes & audited)
         .select("project", "stage", F.col("payload_hash").alias("fingerprint"), c["id"].alias("item_id"), key(c["args"]).alias("_args"))
+        .distinct()  # repeats of one item collapse on the map side
     )
     ids = ["project", "stage", "fingerprint", "item_id"]
     keyed = items.withColumns({"_raw": key(F.col("args")), "_red": key(redact_args(F.col("args")))})

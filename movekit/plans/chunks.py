@@ -124,5 +124,6 @@ def split_predicates(df: DataFrame, key: str, chunks: int, tiebreak: Sequence[st
 
 def chunk_coverage(df: DataFrame, predicates: Sequence[str]) -> DataFrame:
     """How many rows fall in how many chunks; a sound split has the single row ``hits = 1``."""
-    hits = sum((F.coalesce(F.expr(f"({p})"), F.lit(False)).cast("int") for p in predicates), F.lit(0))
+    held = F.array(*[F.coalesce(F.expr(f"({p})"), F.lit(False)) for p in predicates])
+    hits = F.size(F.array_remove(held, False))
     return df.select(hits.alias("hits")).groupBy("hits").agg(F.count(F.lit(1)).alias("n"))

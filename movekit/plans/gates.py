@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movekit.functions.redact import redact_expr
+from movekit.functions.scalars import rfc3339
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Status of the newest run per project and stage."""
     return runs.groupBy("project", "stage").agg(
-        F.max_by(F.struct("run_id", "status"), F.struct("generated_at", "run_id")).alias("r")
+        F.max_by(F.struct("run_id", "status"), F.struct(rfc3339(F.col("generated_at")), F.col("run_id"))).alias("r")
     ).select("project", "stage", "r.run_id", "r.status")
 
 

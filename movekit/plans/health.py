@@ -147,6 +147,6 @@ def latest_health(spark, path: str, schema) -> DataFrame:
     values = [c for c in history.columns if c != "project"]
     return (
         history.groupBy("project")
-        .agg(F.max_by(F.struct(*values), "generated_at").alias("r"))
+        .agg(F.max_by(F.struct(*values), rfc3339(F.col("generated_at"))).alias("r"))
         .select("project", "r.*")
     )

@@ -290,8 +290,39 @@ def advance_checkpoint(
     entry = F.struct("target_object", "from_lsn", "to_lsn", "applied_changes", "completed_at")
     newest = (
         good.groupBy(*ID)
-        .agg(F.max_by(entry, F.struct("completed_at", "run_id", "position")).alias("e"))
+        .agg(F.max_by(entry, F.struct(rfc3339(F.col("completed_at")), F.col("run_id"), F.col("position"))).alias("e"))
         .select(*ID, "e.*", F.lit(status).alias("status"))
     )
     kept = checkpoint.join(newest.select(*ID), list(ID), "left_anti")
     return kept.select(*newest.columns).unionByName(newest)
+
+
+def plan_tracked(
+    tables: DataFrame,
+    captured: DataFrame,
+    keys: DataFrame,
+    apply_batch_size: int = 1000,
+    retention_hours: int = 168,
+    mode: str = "cdc",
+) -> DataFrame:
+    """Tracked-table plan of a project scope: captured and key columns of every table.
+
+    ``tables`` carries source_object and target_object next to database, schema and table;
+    ``captured`` and ``keys`` come from the catalog. A table without columns or without a usable
+    key gets an empty list, which :func:`validate_tracked` then reports.
+    """
+    ids = ["database", "schema", "table"]
+    none = F.array().cast("array<string>")
+    return (
+        tables.join(captured, ids, "left")
+        .join(keys, ids, "left")
+        .select(
+            "source_object",
+            "target_object",
+            F.coalesce("columns", none).alias("columns"),
+            F.coalesce("key_columns", none).alias("key_columns"),
+            F.lit(apply_batch_size if apply_batch_size > 0 else 1000).alias("apply_batch_size"),
+            F.lit(retention_hours if retention_hours > 0 else 168).alias("retention_hours"),
+            F.lit(mode).alias("mode"),
+        )
+    )

@@ -59,40 +59,44 @@ def _q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def render_csv_values(df: DataFrame) -> DataFrame:
-    """Every column as the text it has in the file; NULL stays NULL."""
-    return df.select(*[render(_q(f.name), f.dataType).alias(f.name) for f in df.schema])
+def render_csv_values(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every column as the text it has in the file; NULL stays NULL. ``keep`` columns pass through last."""
+    values = [render(_q(f.name), f.dataType).alias(f.name) for f in df.schema if f.name not in keep]
+    return df.select(*values, *[_q(c) for c in keep])
 
 
-def encode_null_bitmap(df: DataFrame, bitmap: str = BITMAP) -> DataFrame:
+def encode_null_bitmap(df: DataFrame, bitmap: str = BITMAP, keep: Sequence[str] = ()) -> DataFrame:
     if bitmap.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"source column {bitmap} collides with the reserved name")
-    bits = F.concat(*[F.when(_q(c).isNull(), "1").otherwise("0") for c in df.columns])
-    text = render_csv_values(df.withColumn(bitmap, bits))
-    return text.select(*[F.coalesce(_q(c), F.lit("")).alias(c) for c in text.columns])
+    bits = F.concat(*[F.when(_q(c).isNull(), "1").otherwise("0") for c in df.columns if c not in keep])
+    text = render_csv_values(df.withColumn(bitmap, bits), keep)
+    values = [F.coalesce(_q(c), F.lit("")).alias(c) for c in text.columns if c not in keep]
+    return text.select(*values, *[_q(c) for c in keep])
 
 
-def encode_backslash_n(df: DataFrame) -> DataFrame:
+def encode_backslash_n(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """NULL as ``\\N``. Text that cannot be told from NULL, or a row that would be blank, fails."""
-    text = render_csv_values(df)
+    text = render_csv_values(df, keep)
+    names = [c for c in text.columns if c not in keep]
 
     def cell(name: str) -> Column:
         value = F.when(_q(name) == NULL_TEXT, F.raise_error(F.lit(f"column {name} holds the NULL marker as text")))
-        if len(text.columns) == 1:
+        if len(names) == 1:
             value = value.when(_q(name) == "", F.raise_error(F.lit(f"column {name} would be a blank line")))
         return value.otherwise(F.coalesce(_q(name), F.lit(NULL_TEXT))).alias(name)
 
-    return text.select(*[cell(c) for c in text.columns])
+    return text.select(*[cell(c) for c in names], *[_q(c) for c in keep])
 
 
-def encode(df: DataFrame, null_encoding: str = "bitmap") -> DataFrame:
+def encode(df: DataFrame, null_encoding: str = "bitmap", keep: Sequence[str] = ()) -> DataFrame:
     if null_encoding not in ENCODINGS:
         raise ValueError(f"unsupported NULL encoding {null_encoding!r}; one of {', '.join(ENCODINGS)}")
     if null_encoding == "bitmap":
-        return encode_null_bitmap(df)
+        return encode_null_bitmap(df, keep=keep)
     if null_encoding == "backslash-n":
-        return encode_backslash_n(df)
-    return render_csv_values(df).na.fill("")
+        return encode_backslash_n(df, keep)
+    text = render_csv_values(df, keep)
+    return text.na.fill("", [c for c in text.columns if c not in keep])
 
 
 def write_csv(
@@ -102,12 +106,13 @@ def write_csv(
     compression: str = "none",
     rows_per_file: int = 0,
     mode: str = "errorifexists",
+    by: Sequence[str] = (),
 ) -> None:
-    """Write encoded rows; nothing is visible until the job commits."""
+    """Write encoded rows; nothing is visible until the job commits. ``by`` columns become folders."""
     codec = check_compression(compression)
-    encode(df, null_encoding).write.options(**_DIALECT).option("nullValue", "").option("emptyValue", "").option(
-        "compression", codec
-    ).option("maxRecordsPerFile", rows_per_file).mode(mode).csv(path)
+    out = encode(df, null_encoding, by).write.options(**_DIALECT).options(nullValue="", emptyValue="", compression=codec)
+    out = out.option("maxRecordsPerFile", rows_per_file).mode(mode)
+    (out.partitionBy(*by) if by else out).csv(path)
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:

@@ -15,6 +15,7 @@ from movekit.operators import drift as D
 from movekit.operators import findings as N
 from movekit.operators import type_map as M
 from movekit.plans import checks as K
+from movekit.plans.ranges import plan_tracked
 from movekit.session import scratch
 from movekit.workload import query, table
 
@@ -220,6 +221,20 @@ def captured_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.choose_columns(inventory(spark, sf_dir).columns).withColumn("columns", F.array_join("columns", ","))
 
 
+@query(
+    WITH
+    + f""", live AS (SELECT k, string_agg(name, ',' ORDER BY ordinal) AS columns FROM cols WHERE NOT computed GROUP BY k),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY primary_key DESC, position) AS rn FROM idx WHERE (primary_key OR "unique") AND NOT filtered)
+SELECT source_object, target_object, COALESCE(live.columns, '') AS columns, COALESCE(array_to_string(r.columns, ','), '') AS key_columns,
+ CAST(500 AS INTEGER) AS apply_batch_size FROM scoped LEFT JOIN live USING (k) LEFT JOIN (SELECT k, columns FROM r WHERE rn = 1) r USING (k)"""
+)
+def tracked_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = inventory(spark, sf_dir)
+    plan = plan_tracked(C.project_scope(now.tables, SCOPE), C.choose_columns(now.columns), C.choose_keys(now.indexes), 500)
+    joined = {c: F.array_join(c, ",") for c in ("columns", "key_columns")}
+    return plan.drop("retention_hours", "mode").withColumns(joined)
+
+
 _BASE = "regexp_extract(lower(trim(type)), '^([^( ]*)', 1)"
 _INTS = "('bigint','int','smallint','tinyint')"
 _NUMS = "('bigint','int','smallint','tinyint','decimal','numeric','money','smallmoney')"

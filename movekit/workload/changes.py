@@ -9,7 +9,7 @@ from movekit.functions.lsn import format_lsn, lsn_number, parse_lsn, range_ok
 from movekit.operators import changes as C
 from movekit.plans import health as H
 from movekit.plans import ranges as P
-from movekit.session import scratch
+from movekit.session import scratch, stage
 from movekit.streaming.replicate import Replica, replicate_stream
 from movekit.workload import query, table
 
@@ -82,7 +82,8 @@ def cdc_apply_two_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = C.feed_head(changes).head()["max_lsn"]
     middle = f"0x{int(top[2:], 16) // 2:020x}"
     first = C.apply_changes(base(spark, sf_dir), C.read_changes(changes, "0x" + "0" * 20, middle), KEYS, COLUMNS)
-    return shown(C.apply_changes(first, C.read_changes(changes, middle, top), KEYS, COLUMNS))
+    version = stage(first, "version")  # each range ends in a stored table version
+    return shown(C.apply_changes(version, C.read_changes(changes, middle, top), KEYS, COLUMNS))
 
 
 @query(APPLIED)
