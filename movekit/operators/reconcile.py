@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from movekit.functions.scalars import EXACT, bucket_id, normalize_scalar, numeric_row_sum, sample_pred
 
@@ -42,8 +45,64 @@ def _zero() -> Column:
     return F.lit(0).cast(EXACT)
 
 
-def _total(columns: Sequence[str]) -> Column:
-    return F.coalesce(F.sum(numeric_row_sum([F.col(c) for c in columns])), _zero()).cast(EXACT)
+_LIMBS = (0, 16, 32, 48)
+
+
+@dataclass(frozen=True)
+class ExactSum:
+    """Sum over rows and columns of exact numbers, each read as DECIMAL(38,6) with NULL as 0.
+
+    Wide decimals are slow to add row by row. Whole numbers are cut into four 16-bit limbs that
+    add up as plain longs (exact for 10^14 row-and-column cells); decimals of at most six places
+    are summed in their own type. Both give the same number as widening every value first, which
+    is what any other type gets.
+    """
+
+    fields: tuple[T.StructField, ...]
+
+    @staticmethod
+    def of(df: DataFrame, columns: Sequence[str]) -> ExactSum:
+        return ExactSum(tuple(df.schema[c] if c in df.columns else df.select(c).schema[0] for c in columns))
+
+    def _kinds(self) -> tuple[list[str], list[str], list[str]]:
+        whole = [f.name for f in self.fields if isinstance(f.dataType, T.IntegralType)]
+        native = [f.name for f in self.fields if isinstance(f.dataType, T.DecimalType) and f.dataType.scale <= 6]
+        return whole, native, [f.name for f in self.fields if f.name not in whole and f.name not in native]
+
+    def cells(self) -> dict[str, Column]:
+        """Narrow per-row columns to aggregate."""
+        whole, native, other = self._kinds()
+        out: dict[str, Column] = {}
+        if whole:
+            longs = [F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in whole]
+            for at in _LIMBS:
+                parts = [F.shiftright(v, at) if at == 48 else F.shiftright(v, at).bitwiseAND(F.lit(0xFFFF)) for v in longs]
+                out[f"_limb{at}"] = reduce(add, parts)
+        out |= {f"_dec{i}": F.col(c) for i, c in enumerate(native)}
+        if other:
+            out["_wide"] = numeric_row_sum([F.col(c) for c in other])
+        return out
+
+    def sums(self, tag: str, where: Column | None = None) -> list[Column]:
+        return [
+            F.sum(F.col(c) if where is None else F.when(where, F.col(c))).alias(f"{tag}{c}") for c in self.cells()
+        ]
+
+    def total(self, tag: str) -> Column:
+        """The sum, from the columns that :meth:`sums` made."""
+        whole = [
+            F.coalesce(F.col(f"{tag}{c}"), F.lit(0)).cast("decimal(19,0)") * F.lit(1 << int(c[5:])).cast("decimal(15,0)")
+            for c in self.cells()
+            if c.startswith("_limb")
+        ]
+        rest = [F.coalesce(F.col(f"{tag}{c}").cast(EXACT), _zero()) for c in self.cells() if not c.startswith("_limb")]
+        parts = ([reduce(add, whole).cast(EXACT)] if whole else []) + rest
+        return reduce(add, parts).cast(EXACT) if parts else _zero()
+
+
+def _sum_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    exact = ExactSum.of(df, columns)
+    return df.select(*[c.alias(n) for n, c in exact.cells().items()]).agg(*exact.sums("")).select(exact.total("").alias("v"))
 
 
 def _pair(source: DataFrame, target: DataFrame, check: str) -> DataFrame:
@@ -80,10 +139,8 @@ def checksum_check(
 ) -> DataFrame:
     if not columns:
         raise ValueError("a checksum needs at least one exact-numeric column")
-    total = _total(columns).alias("v")
-    return _pair(
-        _where(source, source_predicate).agg(total), _where(target, target_predicate).agg(total), "checksum"
-    )
+    left, right = _where(source, source_predicate), _where(target, target_predicate)
+    return _pair(_sum_row(left, columns), _sum_row(right, columns), "checksum")
 
 
 def sampled_check(
@@ -91,8 +148,8 @@ def sampled_check(
 ) -> DataFrame:
     if not columns:
         raise ValueError("a sampled sum needs at least one exact-numeric column")
-    total, sampled = _total(columns).alias("v"), sample_pred(F.col(key), modulo)
-    return _pair(source.where(sampled).agg(total), target.where(sampled).agg(total), "sampled_hash")
+    sampled = sample_pred(F.col(key), modulo)
+    return _pair(_sum_row(source.where(sampled), columns), _sum_row(target.where(sampled), columns), "sampled_hash")
 
 
 def bucket_counts(df: DataFrame, key: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
@@ -121,15 +178,18 @@ def bucketed_check(source: DataFrame, target: DataFrame, key: str, buckets: int
     )
 
 
-def _measure(df: DataFrame, spec: TableSpec, side: str) -> DataFrame:
-    """The narrow row a table contributes: bucket (NULL key = -1), exact sum and sampled sum."""
-    total = numeric_row_sum([F.col(c) for c in spec.numeric]) if spec.numeric else _zero()
+def _side(df: DataFrame, spec: TableSpec, side: str) -> DataFrame:
+    """One table reduced to a row per bucket (NULL key = -1): n, total and sampled total."""
+    exact = ExactSum.of(df, spec.numeric)
     key = F.col(spec.key) if spec.key else F.lit(None).cast("long")
-    return df.select(
-        F.lit(side).alias("side"),
+    cells = df.select(
         F.coalesce(bucket_id(key, spec.buckets), F.lit(-1)).alias("bucket"),
-        total.alias("total"),
-        F.when(sample_pred(key, spec.modulo), total).alias("sampled"),
+        sample_pred(key, spec.modulo).alias("_in_sample"),
+        *[c.alias(n) for n, c in exact.cells().items()],
+    )
+    sums = [*exact.sums("t"), *exact.sums("s", F.col("_in_sample"))]
+    return cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).select(
+        F.lit(side).alias("side"), "bucket", "n", exact.total("t").alias("total"), exact.total("s").alias("sampled")
     )
 
 
@@ -150,13 +210,8 @@ def reconcile(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFram
     if not wanted:
         raise ValueError("no check applies to this table")
 
-    scanned = _measure(_where(source, spec.source_predicate), spec, "s").unionByName(
-        _measure(_where(target, spec.target_predicate), spec, "t")
-    )
-    reduced = scanned.groupBy("side", "bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum("total"), _zero()).cast(EXACT).alias("total"),
-        F.coalesce(F.sum("sampled"), _zero()).cast(EXACT).alias("sampled"),
+    reduced = _side(_where(source, spec.source_predicate), spec, "s").unionByName(
+        _side(_where(target, spec.target_predicate), spec, "t")
     )
     # Zero rows make empty tables and empty buckets show up with their zeros.
     nothing = source.sparkSession.range(-1, spec.buckets, 1, 1).select(
