@@ -52,57 +52,72 @@ _LIMBS = (0, 16, 32, 48)
 class ExactSum:
     """Sum over rows and columns of exact numbers, each read as DECIMAL(38,6) with NULL as 0.
 
-    Wide decimals are slow to add row by row. Whole numbers are cut into four 16-bit limbs that
-    add up as plain longs (exact for 10^14 row-and-column cells); decimals of at most six places
-    are summed in their own type. Both give the same number as widening every value first, which
-    is what any other type gets.
+    Wide decimals are slow to add row by row. Whole numbers, and decimals of up to 18 digits and
+    six places taken as whole numbers of their last place, are cut into four 16-bit limbs that add
+    up as plain longs (exact for 10^14 row-and-column cells). Longer decimals of at most six
+    places are summed in their own type. All give the same number as widening every value first,
+    which is what any other type gets.
     """
 
     fields: tuple[T.StructField, ...]
 
     @staticmethod
     def of(df: DataFrame, columns: Sequence[str]) -> ExactSum:
-        return ExactSum(tuple(df.schema[c] if c in df.columns else df.select(c).schema[0] for c in columns))
+        return ExactSum(tuple(df.select(c).schema[0] for c in columns))
 
-    def _kinds(self) -> tuple[list[str], list[str], list[str]]:
-        whole = [f.name for f in self.fields if isinstance(f.dataType, T.IntegralType)]
-        native = [f.name for f in self.fields if isinstance(f.dataType, T.DecimalType) and f.dataType.scale <= 6]
-        return whole, native, [f.name for f in self.fields if f.name not in whole and f.name not in native]
+    @staticmethod
+    def _kind(dtype: T.DataType) -> int | str:
+        """Decimal places for limbs, ``long`` for native decimals, ``wide`` for the rest."""
+        if isinstance(dtype, T.IntegralType):
+            return 0
+        if isinstance(dtype, T.DecimalType) and 0 <= dtype.scale <= 6:
+            return dtype.scale if dtype.precision <= 18 else "long"
+        return "wide"
 
     def cells(self) -> dict[str, Column]:
-        """Narrow per-row columns to aggregate."""
-        whole, native, other = self._kinds()
+        """Narrow per-row columns to aggregate: ``limb_<places>_<bit>``, ``long_<n>`` and ``wide``."""
         out: dict[str, Column] = {}
-        if whole:
-            longs = [F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in whole]
-            for at in _LIMBS:
-                parts = [F.shiftright(v, at) if at == 48 else F.shiftright(v, at).bitwiseAND(F.lit(0xFFFF)) for v in longs]
-                out[f"_limb{at}"] = reduce(add, parts)
-        out |= {f"_dec{i}": F.col(c) for i, c in enumerate(native)}
-        if other:
-            out["_wide"] = numeric_row_sum([F.col(c) for c in other])
+        kinds = [(self._kind(f.dataType), f.name) for f in self.fields]
+        for places in sorted({k for k, _ in kinds if isinstance(k, int)}):
+            step = F.lit(10**places).cast(T.DecimalType(places + 1, 0))
+            units = [F.col(n) if places == 0 else F.col(n) * step for k, n in kinds if k == places]
+            longs = [F.coalesce(u.cast("long"), F.lit(0)) for u in units]
+            for bit in _LIMBS:
+                parts = [F.shiftright(v, bit) if bit == 48 else F.shiftright(v, bit).bitwiseAND(F.lit(0xFFFF)) for v in longs]
+                out[f"limb_{places}_{bit}"] = reduce(add, parts)
+        out |= {f"long_{i}": F.col(n) for i, (k, n) in enumerate(kinds) if k == "long"}
+        wide = [F.col(n) for k, n in kinds if k == "wide"]
+        if wide:
+            out["wide"] = numeric_row_sum(wide)
         return out
 
     def sums(self, tag: str, where: Column | None = None) -> list[Column]:
-        return [
-            F.sum(F.col(c) if where is None else F.when(where, F.col(c))).alias(f"{tag}{c}") for c in self.cells()
-        ]
+        return [F.sum(F.col(c) if where is None else F.when(where, F.col(c))).alias(f"{tag}_{c}") for c in self.cells()]
 
     def total(self, tag: str) -> Column:
         """The sum, from the columns that :meth:`sums` made."""
-        whole = [
-            F.coalesce(F.col(f"{tag}{c}"), F.lit(0)).cast("decimal(19,0)") * F.lit(1 << int(c[5:])).cast("decimal(15,0)")
-            for c in self.cells()
-            if c.startswith("_limb")
-        ]
-        rest = [F.coalesce(F.col(f"{tag}{c}").cast(EXACT), _zero()) for c in self.cells() if not c.startswith("_limb")]
-        parts = ([reduce(add, whole).cast(EXACT)] if whole else []) + rest
-        return reduce(add, parts).cast(EXACT) if parts else _zero()
+        by_places: dict[int, list[Column]] = {}
+        rest = []
+        for c in self.cells():
+            value = F.col(f"{tag}_{c}")
+            if not c.startswith("limb_"):
+                rest.append(F.coalesce(value.cast(EXACT), _zero()))
+                continue
+            _, places, bit = c.split("_")
+            weight = F.lit(1 << int(bit)).cast("decimal(15,0)")
+            by_places.setdefault(int(places), []).append((F.coalesce(value, F.lit(0)).cast("decimal(19,0)") * weight).cast("decimal(38,0)"))
+        for places, limbs in by_places.items():
+            units = reduce(add, limbs).cast("decimal(38,0)")
+            base = F.lit(10**places).cast(T.DecimalType(places + 1, 0))
+            high = F.floor(units / base).cast("decimal(38,0)") if places else units
+            low = (units - (high * base).cast("decimal(38,0)")).cast("decimal(7,0)") if places else F.lit(0).cast("decimal(7,0)")
+            rest.append(high.cast(EXACT) + (low / base).cast(EXACT))
+        return reduce(lambda x, y: (x + y).cast(EXACT), rest).cast(EXACT) if rest else _zero()
 
 
 def _sum_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     exact = ExactSum.of(df, columns)
-    return df.select(*[c.alias(n) for n, c in exact.cells().items()]).agg(*exact.sums("")).select(exact.total("").alias("v"))
+    return df.select(*[c.alias(n) for n, c in exact.cells().items()]).agg(*exact.sums("all")).select(exact.total("all").alias("v"))
 
 
 def _pair(source: DataFrame, target: DataFrame, check: str) -> DataFrame:
@@ -187,9 +202,9 @@ def _side(df: DataFrame, spec: TableSpec, side: str) -> DataFrame:
         sample_pred(key, spec.modulo).alias("_in_sample"),
         *[c.alias(n) for n, c in exact.cells().items()],
     )
-    sums = [*exact.sums("t"), *exact.sums("s", F.col("_in_sample"))]
+    sums = [*exact.sums("all"), *exact.sums("part", F.col("_in_sample"))]
     return cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).select(
-        F.lit(side).alias("side"), "bucket", "n", exact.total("t").alias("total"), exact.total("s").alias("sampled")
+        F.lit(side).alias("side"), "bucket", "n", exact.total("all").alias("total"), exact.total("part").alias("sampled")
     )
 
 
