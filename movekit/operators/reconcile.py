@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +74,7 @@ class ExactSum:
             return dtype.scale if dtype.precision <= 18 else "long"
         return "wide"
 
+    @cached_property
     def cells(self) -> dict[str, Column]:
         """Narrow per-row columns to aggregate: ``limb_<places>_<bit>``, ``long_<n>`` and ``wide``."""
         out: dict[str, Column] = {}
@@ -92,13 +93,13 @@ class ExactSum:
         return out
 
     def sums(self, tag: str, where: Column | None = None) -> list[Column]:
-        return [F.sum(F.col(c) if where is None else F.when(where, F.col(c))).alias(f"{tag}_{c}") for c in self.cells()]
+        return [F.sum(F.col(c) if where is None else F.when(where, F.col(c))).alias(f"{tag}_{c}") for c in self.cells]
 
     def total(self, tag: str) -> Column:
         """The sum, from the columns that :meth:`sums` made."""
         by_places: dict[int, list[Column]] = {}
         rest = []
-        for c in self.cells():
+        for c in self.cells:
             value = F.col(f"{tag}_{c}")
             if not c.startswith("limb_"):
                 rest.append(F.coalesce(value.cast(EXACT), _zero()))
@@ -117,7 +118,7 @@ class ExactSum:
 
 def _sum_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     exact = ExactSum.of(df, columns)
-    return df.select(*[c.alias(n) for n, c in exact.cells().items()]).agg(*exact.sums("all")).select(exact.total("all").alias("v"))
+    return df.select(*[c.alias(n) for n, c in exact.cells.items()]).agg(*exact.sums("all")).select(exact.total("all").alias("v"))
 
 
 def _pair(source: DataFrame, target: DataFrame, check: str) -> DataFrame:
@@ -200,7 +201,7 @@ def _side(df: DataFrame, spec: TableSpec, side: str) -> DataFrame:
     cells = df.select(
         F.coalesce(bucket_id(key, spec.buckets), F.lit(-1)).alias("bucket"),
         sample_pred(key, spec.modulo).alias("_in_sample"),
-        *[c.alias(n) for n, c in exact.cells().items()],
+        *[c.alias(n) for n, c in exact.cells.items()],
     )
     sums = [*exact.sums("all"), *exact.sums("part", F.col("_in_sample"))]
     return cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).select(
