@@ -18,15 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movekit.functions.lsn import format_lsn, lsn_number, lsn_text_of_number, parse_lsn, require_lsn
+from movekit.functions.lsn import format_lsn, lsn_number, lsn_text_of_number, require_lsn
 from movekit.session import stage
 
 # Operation codes of a change row.
 DELETE, INSERT, BEFORE, AFTER = 1, 2, 3, 4
 META = ("op", "start_lsn", "seqval")
 
-# A net effect of at most this many rows is sent to the executors whole.
+# A net effect within both limits is sent to the executors whole.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def decode_op(code: Column) -> Column:
@@ -185,6 +186,18 @@ def apply_net(
     return kept.unionByName(fresh.select(*[inserted(f) for f in target.schema]))
 
 
+def fits_broadcast(stored: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether stored data is small enough to broadcast.
+
+    The row count comes from the file footers; only if that passes are the rows measured, as JSON
+    text with names and NULLs, which is wider than the rows are in memory.
+    """
+    if stored.count() > rows:
+        return False
+    width = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    return (stored.agg(F.sum(width.cast("long"))).head()[0] or 0) <= size
+
+
 def apply_changes(
     target: DataFrame,
     feed: DataFrame,
@@ -194,13 +207,13 @@ def apply_changes(
 ) -> DataFrame:
     """Apply a feed to a table.
 
-    The net effect is written to shared storage first: it is used more than once, and its row
-    count (read from the file footers) decides between the broadcast and the shuffled join.
+    The net effect is written to shared storage first: it is used more than once, and its
+    measured size decides between the broadcast and the shuffled join.
     ``target`` should be a stored table: write the result of one range before applying the next.
     """
     check_feed(feed, columns)
     net = stage(net_changes(feed, keys, columns), "net")
-    return apply_net(target, net, keys, columns, broadcast=net.count() <= broadcast_rows)
+    return apply_net(target, net, keys, columns, broadcast=fits_broadcast(net, broadcast_rows))
 
 
 def duplicate_keys(target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -240,21 +253,3 @@ def feed_head(feed: DataFrame, lsn: str = "start_lsn") -> DataFrame:
     """The feed-wide highest position as one row."""
     return feed.agg(format_lsn(F.max(_binary(feed, lsn))).alias("max_lsn"))
 
-
-__all__ = [
-    "apply_changes",
-    "apply_net",
-    "applied_count",
-    "binary_positions",
-    "check_feed",
-    "check_keys",
-    "check_range",
-    "decode_op",
-    "duplicate_keys",
-    "feed_head",
-    "lsn_bounds",
-    "merge_net",
-    "net_changes",
-    "parse_lsn",
-    "read_changes",
-]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from movekit.session import path_exists
 from movekit.sources.csvio import write_csv
 
 CHUNK = "chunk_id"
@@ -70,6 +71,11 @@ def export_planned(
     outside = F.raise_error(F.lit("a row belongs to no chunk of the plan"))
     tagged = df.withColumn(CHUNK, place.otherwise(outside)).hint("rebalance", CHUNK)
     write_csv(tagged, path, null_encoding, compression, rows_per_file, by=[CHUNK])
+    spark, nothing = df.sparkSession, df.limit(0)
+    for chunk_id in chunks:
+        folder = chunk_folder(path, chunk_id)
+        if not path_exists(spark, folder):  # a chunk without rows still has its header
+            write_csv(nothing, folder, null_encoding, compression)
 
 
 def require_empty(target: DataFrame) -> None:

@@ -6,10 +6,13 @@ table holds. ``fold`` moves settled changes into a new base version from time to
 
 Layout under ``path`` (all on shared storage)::
 
-    log/gen=<g>/batch=<id>   net effect of one batch, rewritten whole when a batch is retried
-    progress/batch=<id>      applied changes and highest position of that batch
-    base/v=<g>               table version of generation g (generation 0 is the given base table)
-    versions/v=<g>           one row per finished generation; the highest one is current
+    log/gen=<g>/batch=<query>-<id>   net effect of one batch, rewritten whole when it is retried
+    progress/batch=<query>-<id>      applied changes and highest position of that batch
+    base/v=<g>                       table version of generation g (0 is the given base table)
+    versions/v=<g>                   one row per finished generation; the highest one is current
+
+Batch ids count within one streaming query, so folders carry the query's id: a query started anew
+with a lost checkpoint replays its feed without touching, or being taken for, earlier batches.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movekit.functions.lsn import format_lsn
-from movekit.operators.changes import apply_net, binary_positions, merge_net, net_changes
+from movekit.operators.changes import apply_net, binary_positions, fits_broadcast, merge_net, net_changes
 from movekit.operators.changes import _lsn_literal
+from movekit.session import path_exists
 
 PROGRESS = T.StructType(
     [
+        T.StructField("query", T.StringType()),
         T.StructField("batch", T.LongType()),
         T.StructField("applied_changes", T.LongType()),
         T.StructField("max_lsn", T.StringType()),
@@ -36,12 +41,21 @@ PROGRESS = T.StructType(
 VERSIONS = T.StructType(
     [
         T.StructField("generation", T.LongType()),
+        T.StructField("query", T.StringType()),
         T.StructField("upto_batch", T.LongType()),
         T.StructField("low_water", T.StringType()),
     ]
 )
 
 
+MANUAL = "manual"
+
+
+def _query_id(batch: DataFrame) -> str:
+    """Id of the streaming query that runs this batch; it stays the same across restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or MANUAL
+
+
 @dataclass
 class Replica:
     """A table kept current from a change feed."""
@@ -54,19 +68,17 @@ class Replica:
 
     # -- state -------------------------------------------------------------------------------
 
-    def _exists(self, path: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
     def _rows(self, part: str, schema: T.StructType) -> DataFrame | None:
         path = f"{self.path}/{part}"
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(path) if self._exists(path) else None
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(path) if path_exists(self.spark, path) else None
 
-    def version(self) -> tuple[int, int, str | None]:
-        """Current generation, the last batch it contains and its low-water position."""
+    def version(self) -> tuple[int, str | None, int, str | None]:
+        """Current generation, the last batch (query, id) it contains and its low-water position."""
         rows = self._rows("versions", VERSIONS)
         top = rows.orderBy(F.desc("generation")).head(1) if rows is not None else []
-        return (top[0]["generation"], top[0]["upto_batch"], top[0]["low_water"]) if top else (0, -1, None)
+        if not top:
+            return 0, None, -1, None
+        return top[0]["generation"], top[0]["query"], top[0]["upto_batch"], top[0]["low_water"]
 
     def progress(self) -> DataFrame:
         rows = self._rows("progress", PROGRESS)
@@ -100,20 +112,20 @@ class Replica:
             + [T.StructField("_last", T.StructType(newest)), T.StructField("_erased", T.StructType(position))]
         )
 
-    def net(self, generation: int) -> DataFrame | None:
-        """Merged net effect of every batch logged since the generation began."""
+    def _parts(self, generation: int) -> DataFrame | None:
+        """Net effects of every batch logged since the generation began, not yet merged."""
         path = f"{self.path}/log/gen={generation}"
-        if not self._exists(path):
+        if not path_exists(self.spark, path):
             return None
-        parts = self.spark.read.schema(self._net_schema()).option("recursiveFileLookup", "true").parquet(path)
-        return merge_net(parts, self.keys)
+        return self.spark.read.schema(self._net_schema()).option("recursiveFileLookup", "true").parquet(path)
 
     def snapshot(self) -> DataFrame:
-        """The table as of the last finished batch."""
-        generation, _, _ = self.version()
-        net = self.net(generation)
-        base = self._base(generation)
-        return base if net is None else apply_net(base, net, self.keys, self.columns)
+        """The table as of the last finished batch; a small log never shuffles the base."""
+        generation, *_ = self.version()
+        parts, base = self._parts(generation), self._base(generation)
+        if parts is None:
+            return base
+        return apply_net(base, merge_net(parts, self.keys), self.keys, self.columns, broadcast=fits_broadcast(parts))
 
     # -- writing -----------------------------------------------------------------------------
 
@@ -123,40 +135,43 @@ class Replica:
 
     def absorb(self, batch: DataFrame, batch_id: int) -> None:
         """Log one micro-batch. A retried batch replaces its own files and nothing else."""
-        generation, upto, low_water = self.version()
-        if batch_id <= upto:
+        generation, folded_query, upto, low_water = self.version()
+        query = _query_id(batch)
+        if query == folded_query and batch_id <= upto:
             return
         changes = self._typed(binary_positions(batch))
         if low_water:
             changes = changes.where(F.col("start_lsn") >= _lsn_literal(low_water))
-        path = f"{self.path}/log/gen={generation}/batch={batch_id}"
+        path = f"{self.path}/log/gen={generation}/batch={query}-{batch_id}"
         net_changes(changes, self.keys, self.columns, count_as="changes").write.mode("overwrite").parquet(path)
         # Counted from the finished files, so retried tasks are never counted twice.
         done = self.spark.read.parquet(path)
         done.agg(
+            F.lit(query).alias("query"),
             F.lit(batch_id).cast("long").alias("batch"),
             F.coalesce(F.sum("changes"), F.lit(0)).alias("applied_changes"),
             format_lsn(F.max("_last.pos.lsn")).alias("max_lsn"),
-        ).coalesce(1).write.mode("overwrite").json(f"{self.path}/progress/batch={batch_id}")
+        ).coalesce(1).write.mode("overwrite").json(f"{self.path}/progress/batch={query}-{batch_id}")
 
-    def fold(self, low_water: str, upto_batch: int) -> None:
+    def fold(self, low_water: str, upto_batch: int, query: str = MANUAL) -> None:
         """Start a new generation: changes below ``low_water`` move into the base table.
 
-        Only call it between batches, with a position no later change can fall below. Keys whose
+        Only call it between batches of ``query``, with a position no later change can fall below. Keys whose
         newest change is at or above it stay in the log, so replays remain no-ops. Finished
         generations are left in place for readers; the versions row is written last.
         """
-        generation, _, _ = self.version()
-        net = self.net(generation)
-        following = generation + 1
-        if net is not None:
+        generation, *_ = self.version()
+        parts, following = self._parts(generation), generation + 1
+        if parts is not None:
+            net = merge_net(parts, self.keys)
             settled = F.col("_last.pos.lsn") < _lsn_literal(low_water)
             net.where(~settled).write.mode("overwrite").parquet(f"{self.path}/log/gen={following}/batch=-1")
-            base = apply_net(self._base(generation), net.where(settled), self.keys, self.columns)
+            small = fits_broadcast(parts)
+            base = apply_net(self._base(generation), net.where(settled), self.keys, self.columns, broadcast=small)
         else:
             base = self._base(generation)
         base.write.mode("overwrite").parquet(f"{self.path}/base/v={following}")
-        row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((following, upto_batch, low_water), VERSIONS, strict=True)]
+        row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((following, query, upto_batch, low_water), VERSIONS, strict=True)]
         self.spark.range(1).select(*row).write.mode("overwrite").json(f"{self.path}/versions/v={following}")
 
 

@@ -182,7 +182,7 @@ def export_import_by_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks planned by key ranges, written in one pass to a folder each and imported per chunk."""
     orders, path = _orders(spark, sf_dir), scratch(spark, "export")
     predicates = K.split_predicates(orders, "o_orderkey", 6)
-    chunks = {f"dbo.orders.{i:06d}": p for i, p in enumerate(predicates[:-1], 1)}
+    chunks = {f"dbo.orders.{i:06d}": p for i, p in enumerate(predicates, 1)}
     X.export_planned(orders, path, chunks)
     jobs = [csvio.read_csv(spark, X.chunk_folder(path, c)) for c in chunks]
     loaded = jobs[0]

@@ -140,8 +140,12 @@ def test_stream_in_any_order_with_a_replay(spark, target, start):
     replicate_stream(feed, replica, scratch(spark, "query")).awaitTermination()
     assert content(replica.snapshot()) == sequential(start, rows)
     assert replica.progress().count() == 5
+    assert replica.progress().select("query").distinct().head()[0] != "manual"
+    # a new query over the same feed replays everything and changes nothing
+    replicate_stream(feed, replica, scratch(spark, "query")).awaitTermination()
+    assert content(replica.snapshot()) == sequential(start, rows)
     applied = sum(r[0] != 3 for r in rows) + sum(r[0] != 3 for r in pieces[1])
-    assert replica.applied_changes() == applied
+    assert replica.applied_changes() == 2 * applied
     assert replica.checkpoint_lsn() == lsn(max(r[1] for r in rows if r[0] != 3))
 
 
