@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 LSN_BYTES = 10
 
 
+def lsn_bytes(text: str, field: str = "lsn") -> bytes:
+    """Value of an LSN text given on the driver; malformed text is an error."""
+    digits = text.strip().removeprefix("0x").removeprefix("0X")
+    try:
+        value = bytes.fromhex(digits) if digits.isalnum() else b""
+    except ValueError:
+        value = b""
+    if len(value) != LSN_BYTES:
+        raise ValueError(f"{field} {text!r} must be a 10-byte hex value")
+    return value
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "^(0x)?(0X)?", "")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movekit.functions.lsn import format_lsn, lsn_number, lsn_text_of_number, require_lsn
+from movekit.functions.lsn import format_lsn, lsn_bytes, lsn_number, lsn_text_of_number, require_lsn
 from movekit.session import stage
 
 # Operation codes of a change row.
@@ -74,21 +74,8 @@ def binary_positions(feed: DataFrame) -> DataFrame:
     return feed.withColumns({c: _binary(feed, c) for c in META[1:]})
 
 
-def _lsn_literal(text: str) -> Column:
-    digits = text.strip().removeprefix("0x").removeprefix("0X")
-    try:
-        value = bytes.fromhex(digits)
-    except ValueError:
-        value = b""
-    if len(value) != 10:
-        raise ValueError(f"{text!r} must be a 10-byte hex value")
-    return F.lit(value)
-
-
 def check_range(from_lsn: str, to_lsn: str) -> None:
-    strip = lambda t: bytes.fromhex(t.strip().removeprefix("0x").removeprefix("0X"))
-    _lsn_literal(from_lsn), _lsn_literal(to_lsn)
-    if strip(from_lsn) > strip(to_lsn):
+    if lsn_bytes(from_lsn, "from_lsn") > lsn_bytes(to_lsn, "to_lsn"):
         raise ValueError("from_lsn must be less than or equal to to_lsn")
 
 
@@ -100,8 +87,9 @@ def read_changes(feed: DataFrame, from_lsn: str, to_lsn: str, exclusive_lower: b
     """
     check_range(from_lsn, to_lsn)
     lsn = F.col("start_lsn")
-    low = lsn > _lsn_literal(from_lsn) if exclusive_lower else lsn >= _lsn_literal(from_lsn)
-    return binary_positions(feed).where(low & (lsn <= _lsn_literal(to_lsn)))
+    start, end = F.lit(lsn_bytes(from_lsn)), F.lit(lsn_bytes(to_lsn))
+    low = lsn > start if exclusive_lower else lsn >= start
+    return binary_positions(feed).where(low & (lsn <= end))
 
 
 def applied_count(feed: DataFrame) -> DataFrame:

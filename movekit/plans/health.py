@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movekit.functions.lsn import parse_lsn, require_lsn
+from movekit.functions.lsn import lsn_bytes, parse_lsn, require_lsn
 from movekit.functions.scalars import blank, rfc3339
 
 # Severities in rising order, and names accepted for an alert threshold.
@@ -21,6 +21,8 @@ def health_tables(
     tracked: DataFrame, checkpoint: DataFrame, low_marks: DataFrame | None = None, max_lsn: str | None = None
 ) -> DataFrame:
     """One row per tracked table with lag_status, retention_status and its alerts[]."""
+    if max_lsn is not None:
+        lsn_bytes(max_lsn, "max_lsn")
     entries = checkpoint.where(~blank(F.col("source_object"))).select(
         "project",
         "source_object",
@@ -37,7 +39,7 @@ def health_tables(
         rows = rows.join(low_marks.select("source_object", F.trim("min_lsn").alias("min_lsn")), "source_object", "left")
     seen = F.col("_seen").isNotNull()
     at = F.when(seen, require_lsn(F.col("checkpoint_to_lsn"), "checkpoint to_lsn"))
-    rows = rows.withColumns({"_at": at, "_top": parse_lsn(F.lit(max_lsn)), "_low": parse_lsn(F.col("min_lsn"))})
+    rows = rows.withColumns({"_at": at, "_top": parse_lsn(F.lit(max_lsn)), "_low": F.when(~blank(F.col("min_lsn")), require_lsn(F.col("min_lsn"), "min_lsn"))})
     lag = (
         F.when(~seen | F.col("_top").isNull(), "unknown")
         .when(F.col("_at") < F.col("_top"), "behind")

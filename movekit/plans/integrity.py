@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movekit.functions.scalars import blank, engine_name, has_todo, source_name_ok, target_name_ok
+from movekit.plans.checks import CHECK_TYPES
 from movekit.plans.ranges import repeated, violations
 
 # Accepted settings of a plan.
@@ -104,6 +105,23 @@ def source_directories(jobs: DataFrame) -> DataFrame:
     return found.select("project", "dirs", F.when(F.col("dirs") == 1, F.col("dir")).alias("data_source_uri"))
 
 
+def empty_plans(projects: DataFrame, chunks: DataFrame, jobs: DataFrame, tracked: DataFrame, checks: DataFrame) -> DataFrame:
+    """Projects that have no chunk, job, tracked table or check of a known type: project, rule."""
+    parts = [
+        (chunks, "no_chunks"),
+        (jobs, "no_jobs"),
+        (tracked, "no_tracked_tables"),
+        (checks.where(F.col("type").isin("row-count", *CHECK_TYPES)), "no_supported_checks"),
+    ]
+    # One row per project and plan that is filled; what is missing from the full list is empty.
+    filled = None
+    for plan, rule in parts:
+        rows = plan.select("project", F.lit(rule).alias("rule")).distinct()
+        filled = rows if filled is None else filled.unionByName(rows)
+    wanted = projects.select("project", F.explode(F.array(*[F.lit(rule) for _, rule in parts])).alias("rule"))
+    return wanted.join(filled, ["project", "rule"], "left_anti")
+
+
 def plan_violations(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     """All rules of both plans: project, kind, item, rule."""
     of_chunks = chunk_violations(chunks).select("project", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item"), "rule")

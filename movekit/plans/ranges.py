@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movekit.functions.lsn import is_lsn, parse_lsn, range_ok
+from movekit.functions.lsn import is_lsn, lsn_bytes, parse_lsn, range_ok
 from movekit.functions.scalars import blank, rfc3339, source_name_ok, target_name_ok
 
 ID = ("project", "source_object")
@@ -136,6 +136,9 @@ def next_ranges(
     (status ``blocked``). A project whose tables all stand at ``max_lsn`` is ``caught_up`` and
     gets no range; otherwise every table of it gets one (``range_prepared``).
     """
+    lsn_bytes(max_lsn, "max_lsn")
+    if initial_lsn and initial_lsn.strip():
+        lsn_bytes(initial_lsn, "initial_lsn")
     start = F.when(blank(F.col("ck_to")), F.lit(initial_lsn)).otherwise(F.col("ck_to"))
     low, high = F.col("_from"), F.lit(max_lsn.strip())
     rows = _with_state(tracked, checkpoint, low_marks).withColumn("_from", start)
@@ -172,6 +175,9 @@ def explicit_range(
     from_lsn: str | None = None,
 ) -> DataFrame:
     """Range up to a stated end; no caught-up shortcut."""
+    lsn_bytes(to_lsn, "to_lsn")
+    if from_lsn and from_lsn.strip():
+        lsn_bytes(from_lsn, "from_lsn")
     start = F.when(blank(F.col("ck_to")), F.lit(from_lsn)).otherwise(F.col("ck_to"))
     low, high = F.col("_from"), F.lit(to_lsn.strip())
     error = (

@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movekit.functions.lsn import format_lsn
+from movekit.functions.lsn import format_lsn, lsn_bytes
 from movekit.operators.changes import apply_net, binary_positions, fits_broadcast, merge_net, net_changes
-from movekit.operators.changes import _lsn_literal
 from movekit.session import path_exists
 
 PROGRESS = T.StructType(
@@ -141,7 +140,7 @@ class Replica:
             return
         changes = self._typed(binary_positions(batch))
         if low_water:
-            changes = changes.where(F.col("start_lsn") >= _lsn_literal(low_water))
+            changes = changes.where(F.col("start_lsn") >= F.lit(lsn_bytes(low_water)))
         path = f"{self.path}/log/gen={generation}/batch={query}-{batch_id}"
         net_changes(changes, self.keys, self.columns, count_as="changes").write.mode("overwrite").parquet(path)
         # Counted from the finished files, so retried tasks are never counted twice.
@@ -164,7 +163,7 @@ class Replica:
         parts, following = self._parts(generation), generation + 1
         if parts is not None:
             net = merge_net(parts, self.keys)
-            settled = F.col("_last.pos.lsn") < _lsn_literal(low_water)
+            settled = F.col("_last.pos.lsn") < F.lit(lsn_bytes(low_water))
             net.where(~settled).write.mode("overwrite").parquet(f"{self.path}/log/gen={following}/batch=-1")
             small = fits_broadcast(parts)
             base = apply_net(self._base(generation), net.where(settled), self.keys, self.columns, broadcast=small)

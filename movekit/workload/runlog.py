@@ -285,6 +285,20 @@ def plan_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.settings_violations(settings)
 
 
+@query(
+    """WITH pj AS (SELECT 'p' || c_custkey AS project FROM customer), ch AS (SELECT 'p' || o_custkey AS project FROM orders),
+ev AS (SELECT 'p' || user_id AS project, event_type FROM events), r AS (SELECT unnest(['no_chunks', 'no_jobs', 'no_tracked_tables', 'no_supported_checks']) AS rule)
+SELECT project, rule FROM pj, r WHERE CASE WHEN rule IN ('no_chunks', 'no_jobs') THEN project NOT IN (SELECT project FROM ch)
+ WHEN rule = 'no_tracked_tables' THEN project NOT IN (SELECT project FROM ev) ELSE project NOT IN (SELECT project FROM ev WHERE event_type <> 'view') END"""
+)
+def plan_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects without chunks, jobs, tracked tables (users) or checks (their events, views unknown)."""
+    events = table(spark, sf_dir, "events").select(
+        _text("p", F.col("user_id")).alias("project"), F.when(F.col("event_type") == "view", "look").otherwise("checksum").alias("type")
+    )
+    return I.empty_plans(projects(spark, sf_dir), chunks(spark, sf_dir), jobs(spark, sf_dir), events, events)
+
+
 # -- gates ----------------------------------------------------------------------------------------
 
 

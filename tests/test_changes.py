@@ -229,6 +229,17 @@ def test_next_range(spark):
     assert row["from_lsn"] == base(1)
 
 
+def test_malformed_bounds_are_errors(spark):
+    for call in (
+        lambda: P.next_ranges(tracked(spark), checkpoint(spark, base(2)), "0x1"),
+        lambda: P.next_ranges(tracked(spark), checkpoint(spark, base(2)), base(3), initial_lsn="zz"),
+        lambda: P.explicit_range(tracked(spark), checkpoint(spark, base(2)), ""),
+        lambda: H.health_tables(tracked(spark), checkpoint(spark, base(2)), max_lsn="0x1"),
+    ):
+        with pytest.raises(ValueError, match="10-byte hex"):
+            call()
+
+
 def test_one_behind_table_gives_every_table_a_range(spark):
     plan = spark.createDataFrame([("p", f"d.s.t{i}", f"t.t{i}", None, None) for i in (1, 2)], PLAN)
     ckpt = spark.createDataFrame([("p", f"d.s.t{i}", f"t.t{i}", base(1), base(i + 1), 0, "") for i in (1, 2)], CKPT)

@@ -179,3 +179,15 @@ def test_gates(spark):
     assert decision == {"p": (True, 0), "q": (False, 1)}
     invalid = spark.createDataFrame([("pcdc2",)], "run_id string")
     assert {r["project"]: r["open_gates"] for r in G.go_decision(G.gates(projects, runs, results, ckpt, invalid)).collect()}["p"] == 1
+
+
+def test_empty_plans(spark):
+    projects = spark.createDataFrame([("p",), ("q",)], "project string")
+    checks = spark.createDataFrame([("p", "row-count"), ("q", "other")], "project string, type string")
+    gaps = I.empty_plans(projects, chunk(spark), job(spark), job(spark), checks).collect()
+    assert sorted((r["project"], r["rule"]) for r in gaps) == [
+        ("q", "no_chunks"),
+        ("q", "no_jobs"),
+        ("q", "no_supported_checks"),
+        ("q", "no_tracked_tables"),
+    ]
