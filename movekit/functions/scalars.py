@@ -54,20 +54,23 @@ def render_double(value: Column) -> Column:
     )
 
 
-def render_timestamp(value: Column) -> Column:
-    """RFC 3339 text in UTC without trailing zeros in the fraction."""
-    text = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return F.regexp_replace(text, r"\.?0*Z$", "Z")
+def render_timestamp(value: Column, instant: bool = False) -> Column:
+    """RFC 3339 text in UTC without trailing zeros in the fraction, whatever the session time zone.
+
+    ``instant`` marks a value that is a point in time; others are wall-clock values shown as they are.
+    """
+    clock = value.cast("timestamp_ntz")
+    if instant:
+        clock = F.timestamp_add("MICROSECOND", F.unix_micros(value), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.concat(F.translate(clock.cast("string"), " ", "T"), F.lit("Z"))
 
 
 def render(value: Column, dtype: T.DataType) -> Column:
     """Text of one value as it travels in CSV or in a scalar comparison; NULL stays NULL."""
     if isinstance(dtype, T.BinaryType):
         return F.decode(value, "UTF-8")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return render_timestamp(value)
-    if isinstance(dtype, T.DateType):
-        return render_timestamp(value.cast("timestamp_ntz"))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return render_timestamp(value, isinstance(dtype, T.TimestampType))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return render_double(value)
     return value.cast("string")

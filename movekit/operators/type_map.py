@@ -143,7 +143,7 @@ def schema_diff_summary(mapped: DataFrame) -> DataFrame:
 def target_schema(mapped_table: DataFrame) -> T.StructType:
     """Spark schema of one table from its mapped columns (one row per column of that table)."""
     rows = mapped_table.select("ordinal", "name", "spark_type").orderBy("ordinal").collect()
-    return T.StructType([T.StructField(r["name"], T._parse_datatype_string(r["spark_type"])) for r in rows])
+    return T.StructType([T.StructField(r["name"], T.DataType.fromDDL(r["spark_type"])) for r in rows])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

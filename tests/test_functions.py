@@ -15,7 +15,7 @@ from movekit.functions.metrics import extract_metrics
 
 
 def one(spark, value, expr, kind="string"):
-    schema = T.StructType([T.StructField("x", T._parse_datatype_string(kind))])
+    schema = T.StructType([T.StructField("x", T.DataType.fromDDL(kind))])
     return spark.createDataFrame([(value,)], schema).select(expr(F.col("x")).alias("y")).head()["y"]
 
 
@@ -91,6 +91,17 @@ def test_timestamp_text(spark):
     assert got == ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.12Z", "2024-01-02T03:04:50.000001Z", "<NULL>"]
 
 
+def test_instants_are_shown_in_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT TIMESTAMP '2024-03-10T07:30:00.25Z' AS t, TIMESTAMP_NTZ '2024-03-10 02:30:00' AS n, TIMESTAMP '1969-12-31T23:59:59.5Z' AS o")
+        got = tuple(df.select(*[S.render(F.col(f.name), f.dataType) for f in df.schema]).head())
+        assert got == ("2024-03-10T07:30:00.25Z", "2024-03-10T02:30:00Z", "1969-12-31T23:59:59.5Z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_compact(spark):
     long = "word " * 80
     assert many(spark, ["", None, " a\n\tb ", "x" * 160, "x" * 161], lambda c: S.compact(c, 160)) == ["", "", "a b", "x" * 160, "x" * 157 + "..."]
