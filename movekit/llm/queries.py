@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movekit.llm.exact import exact_duplicates
+from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
 from movekit.llm.ngram_llr import BUCKETS, SCALE, SMOOTHING, THRESHOLD, quality_rules
+from movekit.llm.suffix import repeated_passages
 from movekit.llm.urlrules import RULES, apply_rules, rules_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +84,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1))
 
 
+@query()
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
@@ -99,6 +106,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 OP10_SQL = """
 WITH r(rule, rhost, rpath, verdict) AS (VALUES {values}),
 u AS (
