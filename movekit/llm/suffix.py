@@ -101,11 +101,7 @@ class Block:
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Positions of 50-byte prefixes with a repeated sampled name less than one period on."""
-        mark = np.zeros(len(self.data) + 1, np.int32)
-        hit = self.sample[repeated]
-        np.add.at(mark, np.maximum(hit - PERIOD + 1, 0), 1)
-        np.add.at(mark, hit + 1, -1)
-        near = np.cumsum(mark, dtype=np.int32)[: len(self.data)] > 0
+        near = _within(self.sample[repeated], len(self.data), PERIOD - 1, 0)
         inside = np.zeros(len(self.data), bool)
         for s, e in zip(self.starts, self.ends, strict=True):
             inside[s : max(e - PREFIX + 1, s)] = True
@@ -136,12 +132,26 @@ def _messages(block: int, values: np.ndarray, firsts: np.ndarray | None, bits: i
     return pd.DataFrame(out, columns=["bucket", "block", "names", "ids", "places"])
 
 
+def _within(at: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
+    """Which of ``n`` places lie between ``before`` places ahead of one of ``at`` and ``after`` behind it."""
+    count = np.zeros(n + 1, np.int32)
+    count[at + 1] = 1
+    count = np.cumsum(count, dtype=np.int32)
+    place = np.arange(n)
+    return count[np.minimum(place + before, n - 1) + 1] > count[np.maximum(place - after, 0)] if n else np.zeros(0, bool)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    v = np.sort(values)
+    return v[np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]]
+
+
 def _first_of_each(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, with the smallest id of each."""
-    order = np.lexsort((ids, values))
+    order = np.argsort(values)
     v = values[order]
-    new = np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]
-    return v[new], ids[order][new]
+    new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))[: len(v)])
+    return v[new], np.minimum.reduceat(ids[order], new) if len(new) else ids[:0]
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -207,7 +217,7 @@ def _sample_messages(bits: int, n_buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield _messages(row.block, np.unique(_open(row).sampled(bits)), None, bits, n_buckets)
+                yield _messages(row.block, _distinct(_open(row).sampled(bits)), None, bits, n_buckets)
 
     return run
 
@@ -216,7 +226,7 @@ def _shared_names(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Which names of each block another block has too."""
     parts = [unpack(x) for x in pdf["names"]]
     order = np.sort(np.concatenate(parts))
-    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    twice = _distinct(order[1:][order[1:] == order[:-1]])
     bits = [np.packbits(_member(p, twice)).tobytes() for p in parts]
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits})
 
@@ -242,9 +252,10 @@ def _repeated_in_block(block: Block, sampled: np.ndarray, live: np.ndarray) -> n
     """Sampled names that two live documents of this block have."""
     doc = np.repeat(np.arange(len(block.ids), dtype=np.int32), block.lengths)[block.sample]
     at = np.flatnonzero(live[doc])
-    order = at[np.lexsort((doc[at], sampled[at]))]
+    # Positions are in the order of documents, so a stable order keeps a name's documents together.
+    order = at[np.argsort(sampled[at], kind="stable")]
     v, d = sampled[order], doc[order]
-    return np.unique(v[1:][(v[1:] == v[:-1]) & (d[1:] != d[:-1])])
+    return _distinct(v[1:][(v[1:] == v[:-1]) & (d[1:] != d[:-1])])
 
 
 def _suspects(bits: int, n_buckets: int):
@@ -257,7 +268,7 @@ def _suspects(bits: int, n_buckets: int):
             live = np.ones(len(block.ids), bool)
             live[reply["place"][reply["bucket"] < 0].to_numpy(np.int64)] = False  # copies of whole texts
             sampled = block.sampled(bits)
-            distinct = np.unique(sampled)
+            distinct = _distinct(sampled)
             shared = distinct[_answers(distinct, reply[reply["bucket"] >= 0], bits, n_buckets)]
             repeated = _member(sampled, shared) | _member(sampled, _repeated_in_block(block, sampled, live))
             at = block.candidates(repeated)
@@ -308,10 +319,7 @@ def _removals(n_buckets: int):
             earlier = _answers(values, reply, 64, n_buckets)
             place = np.searchsorted(values, prefix)
             gone = at[earlier[place] | (ids > firsts[place])]
-            mark = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(mark, gone, 1)
-            np.add.at(mark, gone + PREFIX, -1)
-            removed = np.cumsum(mark, dtype=np.int32)[: len(block.data)] > 0
+            removed = _within(gone, len(block.data), 0, PREFIX - 1)
             for p, s, e in zip(np.frombuffer(row.places, np.int64), block.starts, block.ends, strict=True):
                 cut = removed[s:e]
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], cut, [False])).astype(np.int8)))
@@ -364,7 +372,7 @@ def repeated_passages(
     known = stage(blocks.mapInPandas(_digests, where), "suffix-documents")
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = -(-max(total, 1) // bucket_bytes)
-    bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 10))
+    bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 14))
 
     firsts = known.groupBy("sha").agg(F.min(F.struct("id", "block", "place")).alias("rep"))
     known = known.join(firsts, "sha").select("block", "place", "id", "n_bytes", "sha", "rep")
