@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
@@ -17,7 +18,8 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    core = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, GAP))
 
 
 def n_words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from movekit.llm.exact import exact_duplicates
 from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
-from movekit.llm.ngram_llr import BUCKETS, SCALE, SMOOTHING, THRESHOLD, quality_rules
+from movekit.llm.ngram_llr import quality_rules
 from movekit.llm.suffix import repeated_passages
 from movekit.llm.urlrules import RULES, apply_rules, rules_frame
 
@@ -36,49 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-OP2_SQL = rf"""
-WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good
-  FROM documents
-), h AS (
-  SELECT *, list_transform(ws, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM w
-), g AS (
-  SELECT doc_id, good, ws, text,
-    list_concat(list_transform(hs, lambda x: x % {BUCKETS}),
-      list_transform(range(1, len(hs)), lambda i: (hs[i] * 31 + hs[i + 1] * 17 + 7) % {BUCKETS})) AS grams
-  FROM h
-), c AS (
-  SELECT bucket, count(*) AS raw, sum(good::BIGINT) AS target FROM (SELECT good, unnest(grams) AS bucket FROM g) GROUP BY bucket
-), t AS (
-  SELECT sum(raw)::DOUBLE AS raw, sum(target)::DOUBLE AS target FROM c
-), weight AS (
-  SELECT bucket, round({SCALE} * (ln((c.target + {SMOOTHING}) / (t.target + {SMOOTHING * BUCKETS}))
-    - ln((c.raw + {SMOOTHING}) / (t.raw + {SMOOTHING * BUCKETS}))))::BIGINT AS weight
-  FROM c, t
-), score AS (
-  SELECT doc_id, sum(weight)::BIGINT AS llr_sum FROM (SELECT doc_id, unnest(grams) AS bucket FROM g) JOIN weight USING (bucket) GROUP BY doc_id
-), win AS (
-  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
-), rep AS (
-  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1
-), cover AS (
-  SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM rep, range(0, 8) r(k) GROUP BY doc_id
-), b AS (
-  SELECT g.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-    coalesce(cover.n, 0) AS n_repeat_words, coalesce(score.llr_sum, 0) AS llr_sum, greatest(2 * len(ws) - 1, 0)::BIGINT AS n_grams
-  FROM g LEFT JOIN cover ON cover.doc_id = g.doc_id LEFT JOIN score ON score.doc_id = g.doc_id
-), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND llr_sum >= {THRESHOLD} * n_grams AS kept, llr_sum, n_grams
-FROM f
-"""
-
-
-@query(OP2_SQL)
+@query()
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     return quality_rules(table(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1))
