@@ -11,7 +11,9 @@ from movekit.llm.exact import exact_duplicates
 from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
 from movekit.llm.ngram_llr import quality_rules
+from movekit.llm.packing import pack_sequences
 from movekit.llm.suffix import repeated_passages
+from movekit.llm.token_counts import document_tokens
 from movekit.llm.urlrules import RULES, apply_rules, rules_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +49,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
@@ -64,6 +71,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
