@@ -1,25 +1,73 @@
-"""Stages that turn raw documents into training sequences."""
+"""Stages that turn raw documents into training sequences.
+
+Every stage works on all that its predecessor kept, which is written as Parquet and read again.
+Joins back to the documents are null-safe, so a row without an id is treated like any other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from movekit.llm.exact import exact_duplicates
+from movekit.llm.minhash import near_duplicates
+from movekit.llm.mixing import mix
+from movekit.llm.packing import pack_sequences
+from movekit.llm.quality import score_quality
 from movekit.session import scratch
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids``."""
+    wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select(*COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _only(docs, score_quality(docs, labels).where("predicted = 1"))
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of identical texts stays."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    return _only(docs, exact_duplicates(docs).where("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return _only(docs, near_duplicates(docs).where("kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; a row per copy."""
+    copies = mix(docs).groupBy(F.col("doc_id").alias("wanted")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["wanted"]))
+    turns = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return taken.select(*(docs[c] for c in COLUMNS), F.explode(turns).alias("turn")).drop("turn")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as tokens in sequences: one row per piece."""
+    return pack_sequences(docs)
+
 
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", packing),
+]
 
-STAGES = [("exact dedup", exact_dedup)]
+#: A fitted model, hashed sketches and a tokenizer are beyond SQL; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; each result is written and read again."""
+    """All stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")

@@ -12,8 +12,10 @@ from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
 from movekit.llm.ngram_llr import quality_rules
 from movekit.llm.packing import pack_sequences
+from movekit.llm.quality import score_quality
 from movekit.llm.suffix import repeated_passages
 from movekit.llm.token_counts import document_tokens
+from movekit.llm.toxicity import score_toxicity
 from movekit.llm.urlrules import RULES, apply_rules, rules_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
@@ -71,6 +78,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(table(spark, sf_dir, "documents"))
