@@ -89,9 +89,10 @@ def near_duplicates(
     600, and a pair at 0.85 shares a table with probability 0.9998.
 
     Texts with the same words are one class from the start, represented by the smallest id. Inside a
-    table entry, members are first compared with the entry's smallest member only, a star, and the
-    confirmed links give components. Then entries that still hold several components have every
-    member outside the entry's largest component compared with all members of other components.
+    table entry, members are first compared with the entry's smallest member only, a star, then in some
+    entries with another one, and the confirmed links give components. Then entries that still hold
+    several components have every member outside the entry's largest component compared with all
+    members of other components.
     Pairs inside one component cannot change the result and are never made, so a large group of near
     copies costs a multiple of its size, while no link between components is missed. All links are
     confirmed on full shingle sets, which are made only for documents that share an entry.
@@ -140,19 +141,30 @@ def near_duplicates(
         passed = met.where(100 * both >= F.lit(percent) * (F.size("sa") + F.size("sb") - both))
         return stage(passed.select("a", "b"), "near-links")
 
+    def mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of entries that hold several components, with their entry's largest one."""
+        placed = entries.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        per = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+        return stage(placed.join(per.where("parts > 1"), "key").select("key", "id", "component", "largest"), "near-mixed")
+
     star = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = confirmed(star)
-    found = connected_components(links)
-
-    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    per = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("largest"))
-    mixed = stage(placed.join(per.where("parts > 1"), "key").select("key", "id", "component", "largest"), "near-mixed")
-    outside = mixed.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    cross = outside.join(mixed, "key").where("cx <> component")
+
+    # Large groups of near copies whose members differ more from the smallest one than from others: another
+    # star in every sixth entry, around a member that differs from entry to entry.
+    left = mixed(members, connected_components(links))
+    sixth = left.where(F.pmod("key", F.lit(6)) == 0)
+    hubs = sixth.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key")).alias("h"))
+    star = sixth.join(hubs, "key").where("component <> h.component")
+    star = star.select(F.greatest("id", "h.id").alias("a"), F.least("id", "h.id").alias("b")).distinct()
+    links = links.unionByName(confirmed(star))
+
+    left = mixed(left.select("key", "id"), connected_components(links))
+    outside = left.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    cross = outside.join(left, "key").where("cx <> component")
     cross = cross.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
-    rest = confirmed(cross)
-    found = stage(connected_components(links.unionByName(rest)), "near-components")
+    found = stage(connected_components(links.unionByName(confirmed(cross))), "near-components")
 
     final = classes.join(found, classes["rep"] == found["id"], "left").select(
         F.col("digest").alias("cd"), F.coalesce("component", "rep").alias("component")
