@@ -13,6 +13,7 @@ SYMBOLS = "#*$%&|<>"
 #: Words of a repeated window.
 WINDOW = 8
 BUCKETS = 1 << 16
+_LOWEST = 1 << 15
 #: Weights are kept as whole thousandths, so that sums and verdicts do not depend on any order.
 SCALE = 1000
 #: Documents scoring below this mean (thousandths per n-gram) are dropped.
@@ -62,10 +63,12 @@ def _with_repeat_words(rows: DataFrame) -> DataFrame:
 
 
 def _with_grams(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """Adds ``grams``, the buckets of all pairs of neighbouring words of ``w``."""
+    """Adds ``grams``, the buckets of all pairs of neighbouring words of ``w``, less ``_LOWEST`` to fit two bytes."""
     n = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n_buckets)).cast("int")
+        F.slice("w", F.lit(1), n),
+        F.slice("w", F.lit(2), n),
+        lambda a, b: (F.pmod(F.xxhash64(a, b), F.lit(n_buckets)) - _LOWEST).cast("short"),
     )
     return rows.withColumn("grams", pairs)
 
@@ -78,9 +81,11 @@ def ngram_weights(grams: DataFrame, trusted: DataFrame, *, n_buckets: int = BUCK
     ``n_buckets`` rows leave a task.
     """
     good = trusted.toDF("good").where("good is not null").distinct()
-    rows = grams.join(good, grams["id"] == good["good"], "left")
+    # The trusted ids grow with the corpus: the rows' two-byte buckets are shuffled, nothing is broadcast.
+    rows = grams.join(good.hint("shuffle_merge"), grams["id"] == good["good"], "left")
     # explode would add a filter on the size; the outer form leaves the scan alone.
     each = rows.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode_outer("grams").alias("bucket"))
+    each = each.withColumn("bucket", F.col("bucket").cast("int") + _LOWEST)
     counts = each.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     counts = stage(counts, "ngram-counts")
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
@@ -102,7 +107,7 @@ def quality_rules(
 ) -> DataFrame:
     """Base rules and the n-gram log-likelihood ratio of every document, with a fixed verdict.
 
-    Method: pairs of neighbouring words are hashed into ``n_buckets``. The ratio of the target's to
+    Method: pairs of neighbouring words are hashed into ``n_buckets`` (65,536 at most). The ratio of the target's to
     the raw corpus' multinomial gives each bucket a weight; a document's score is the sum of its
     weights by the number of its n-grams. It is kept if no base rule fails and the score is at least
     ``threshold`` thousandths. Weights are whole numbers, so verdicts never depend on the order of
@@ -128,7 +133,7 @@ def quality_rules(
         table[row["bucket"]] = row["weight"]
     constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
 
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda s, b: s + F.get(constant, b))
+    total = F.aggregate("grams", F.lit(0).cast("long"), lambda s, b: s + F.get(constant, b.cast("int") + _LOWEST))
     rows = rows.withColumn("llr_sum", total).withColumn("n_grams", F.size("grams").cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr_sum") >= F.lit(threshold) * F.col("n_grams")))
