@@ -27,41 +27,36 @@ NAME = PREFIX - PERIOD + 1  # 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _bytes_mixed(data: np.ndarray) -> np.ndarray:
-    return mix64((data.astype(np.uint64) + U64(1)) * U64(0xD6E8FEB86659FD93))
+_BASE = 0x9E3779B97F4A7C15
+_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
+#: Columns of a context: the bytes before a name, the name, the bytes behind it, and how many of both there are.
+ROOM = PERIOD - 1
+WIDTH = NAME + 2 * ROOM
 
 
-def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = a * U64(0x9E3779B97F4A7C15) + b * U64(0xC2B2AE3D27D4EB4F) + U64(salt)
-        x ^= x >> U64(29)
-        x *= U64(0xBF58476D1CE4E5B9)
-        x ^= x >> U64(32)
-        return x
+def _power(n: int) -> np.uint64:
+    return U64(pow(_BASE, n, 1 << 64))
 
 
 def names(data: np.ndarray) -> np.ndarray:
-    """The name of the ``NAME`` bytes (20) from each position on: pairs are named, then pairs of names.
+    """The name of the ``NAME`` bytes (20) from each position on, made from names of half the length.
 
-    One byte, 2, 4, 8 and 16 bytes each get a name from two names of half the length; the triple of
-    the names of bytes 0-7, 8-15 and 12-19 names the 20 bytes. Equal strings have equal names.
+    Names of 1, 2, 4 and 8 bytes are joined in pairs; the triple of the names of bytes 0-7, 8-15 and
+    16-19 names the 20 bytes. Equal strings have equal names.
     """
     n = len(data) - NAME + 1
     out = np.empty(max(n, 0), np.uint64)
-    for at in range(0, n, 1 << 19):  # in pieces, as each step makes arrays of eight bytes a byte
-        m = min(n - at, 1 << 19)
-        x = _bytes_mixed(data[at : at + m + NAME - 1])
-        for step, salt in ((1, 2), (2, 4), (4, 8)):
-            x = _join(x[:-step], x[step:], salt)
-        out[at : at + m] = _join(_join(x[:m], x[8 : 8 + m], 16), x[12 : 12 + m], 20)
+    with np.errstate(over="ignore"):
+        for at in range(0, n, 1 << 19):  # in pieces, as each step makes arrays of eight bytes a byte
+            m = min(n - at, 1 << 19)
+            one = _VALUE[data[at : at + m + NAME - 1]]
+            two = one[:-1] + one[1:] * _power(1)
+            four = two[:-2] + two[2:] * _power(2)
+            eight = four[:-4] + four[4:] * _power(4)
+            out[at : at + m] = mix64(eight[:m] + eight[8 : 8 + m] * _power(8) + four[16 : 16 + m] * _power(16))
     return out
 
 
-def prefix_names(name: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The recursion: the triple of names 0, 20 and 30 bytes on names the 50 bytes from ``at`` on."""
-    return _join(_join(name[at], name[at + NAME], 40), name[at + PREFIX - NAME], 50)
-
-
 def pack(sorted_values: np.ndarray) -> bytes:
     """Ascending numbers as their differences, byte plane by byte plane, compressed."""
     step = np.diff(sorted_values, prepend=U64(0))
@@ -99,17 +94,19 @@ class Block:
         """The leading bits of the sampled names."""
         return self.name[self.sample] >> U64(64 - bits)
 
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Positions of 50-byte prefixes with a repeated sampled name less than one period on."""
-        near = _within(self.sample[repeated], len(self.data), PERIOD - 1, 0)
-        inside = np.zeros(len(self.data), bool)
-        for s, e in zip(self.starts, self.ends, strict=True):
-            inside[s : max(e - PREFIX + 1, s)] = True
-        return np.flatnonzero(near & inside)
-
-    def only(self, keep: np.ndarray) -> bytes:
-        """The texts of the documents marked in ``keep``."""
-        return b"".join(self.data[s:e].tobytes() for s, e, k in zip(self.starts, self.ends, keep, strict=True) if k)
+    def contexts(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Rows of ``WIDTH`` bytes around the names at ``at``, 0 beyond the document, and the room on both sides."""
+        before = np.minimum(at - self.starts[doc], ROOM)
+        behind = np.minimum(self.ends[doc] - at - NAME, ROOM)
+        padded = np.concatenate((np.zeros(ROOM, np.uint8), self.data, np.zeros(WIDTH, np.uint8)))
+        out = np.empty((len(at), WIDTH + 2), np.uint8)
+        out[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
+        column = np.arange(WIDTH)
+        for part in range(0, len(at), 1 << 15):
+            own = slice(part, part + (1 << 15))
+            out[own, :WIDTH][(column < ROOM - before[own, None]) | (column >= ROOM + NAME + behind[own, None])] = 0
+        out[:, WIDTH], out[:, WIDTH + 1] = before, behind
+        return out
 
 
 def _cuts(values: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
@@ -118,27 +115,20 @@ def _cuts(values: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
-def _messages(block: int, values: np.ndarray, firsts: np.ndarray | None, bits: int, n_buckets: int) -> pd.DataFrame:
-    """One packed row per bucket from distinct ascending values (and the smallest id of each)."""
+def _messages(block: int, values: np.ndarray, bits: int, n_buckets: int) -> pd.DataFrame:
+    """One packed row per bucket from distinct ascending values."""
     cuts = _cuts(values, bits, n_buckets)
-    out = []
-    for b in np.flatnonzero(np.diff(cuts)):
-        own = slice(cuts[b], cuts[b + 1])
-        table = places = None
-        if firsts is not None:
-            table, places = np.unique(firsts[own], return_inverse=True)
-            table, places = table.tobytes(), _squeeze(places.astype(np.uint16 if len(table) < 1 << 16 else np.uint32))
-        out.append((int(b), block, pack(values[own]), table, places))
-    return pd.DataFrame(out, columns=["bucket", "block", "names", "ids", "places"])
-
-
-def _within(at: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
-    """Which of ``n`` places lie between ``before`` places ahead of one of ``at`` and ``after`` behind it."""
+    out = [(int(b), block, pack(values[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+    return pd.DataFrame(out, columns=["bucket", "block", "names"])
+
+
+def _within(at: np.ndarray, n: int, after: int) -> np.ndarray:
+    """Which of ``n`` places are in ``at`` or at most ``after`` places behind one that is."""
     count = np.zeros(n + 1, np.int32)
     count[at + 1] = 1
     count = np.cumsum(count, dtype=np.int32)
-    place = np.arange(n)
-    return count[np.minimum(place + before, n - 1) + 1] > count[np.maximum(place - after, 0)] if n else np.zeros(0, bool)
+    first = np.maximum(np.arange(n) - after, 0)
+    return count[1:] > count[first]
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -146,14 +136,6 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return v[np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]]
 
 
-def _first_of_each(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order, with the smallest id of each."""
-    order = np.argsort(values)
-    v = values[order]
-    new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))[: len(v)])
-    return v[new], np.minimum.reduceat(ids[order], new) if len(new) else ids[:0]
-
-
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -217,7 +199,7 @@ def _sample_messages(bits: int, n_buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield _messages(row.block, _distinct(_open(row).sampled(bits)), None, bits, n_buckets)
+                yield _messages(row.block, _distinct(_open(row).sampled(bits)), bits, n_buckets)
 
     return run
 
@@ -231,23 +213,6 @@ def _shared_names(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits})
 
 
-def _earlier_elsewhere(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which prefixes of each block start in another block's document with a smaller id.
-
-    The prefixes of one range, sorted by name: neighbours that are equal are one string, and the
-    smallest id of the run is its first document.
-    """
-    parts = [unpack(x) for x in pdf["names"]]
-    ids = []
-    for t, x, v in zip(pdf["ids"], pdf["places"], parts, strict=True):
-        table = np.frombuffer(t, np.int64)
-        places = _loose(x, np.uint16 if len(table) < 1 << 16 else np.uint32)
-        ids.append(table[places[: len(v)]])
-    values, firsts = _first_of_each(np.concatenate(parts), np.concatenate(ids))
-    bits = [np.packbits(firsts[np.searchsorted(values, p)] < f).tobytes() for p, f in zip(parts, ids, strict=True)]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits})
-
-
 def _repeated_in_block(block: Block, sampled: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Sampled names that two live documents of this block have."""
     doc = np.repeat(np.arange(len(block.ids), dtype=np.int32), block.lengths)[block.sample]
@@ -258,70 +223,137 @@ def _repeated_in_block(block: Block, sampled: np.ndarray, live: np.ndarray) -> n
     return _distinct(v[1:][(v[1:] == v[:-1]) & (d[1:] != d[:-1])])
 
 
-def _suspects(bits: int, n_buckets: int):
-    """The documents of a block that have a repeated sampled name, with their candidate positions."""
+class Occurrences:
+    """The repeated sampled names of a block, in the order in which they are sent."""
+
+    def __init__(self, block: Block, told: pd.DataFrame, bits: int, n_buckets: int):
+        live = np.ones(len(block.ids), bool)
+        live[told["place"][told["bucket"] < 0].to_numpy(np.int64)] = False  # copies of whole texts
+        sampled = block.sampled(bits)
+        distinct = _distinct(sampled)
+        shared = distinct[_answers(distinct, told[told["bucket"] >= 0], bits, n_buckets)]
+        repeated = _member(sampled, shared) | _member(sampled, _repeated_in_block(block, sampled, live))
+        at = block.sample[repeated]
+        doc = np.searchsorted(block.ends, at, side="right")
+        at, doc = at[live[doc]], doc[live[doc]]
+        rows = block.contexts(at, doc)
+        # The same context comes once per block, for its smallest id.
+        key = _row_keys(rows)
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(key)]
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(new) - 1
+        head = order[new]
+        if not (rows == rows[head[group]]).all():  # two contexts with one key: none is merged
+            head = group = np.arange(len(key))
+        first = np.full(len(head), np.iinfo(np.int64).max)
+        np.minimum.at(first, group, block.ids[doc])
+        bucket = (block.name[at[head]] >> U64(32)) * U64(n_buckets) >> U64(32)
+        self.sent = np.lexsort((at[head], bucket))  # places next to each other overlap, which compresses well
+        self.bucket, self.first, self.rows = bucket[self.sent].astype(np.int64), first[self.sent], rows[head[self.sent]]
+        turn = np.empty(len(head), np.int64)
+        turn[self.sent] = np.arange(len(head))
+        self.at, self.id, self.of = at, block.ids[doc], turn[group]
+
+    def parts(self, n_buckets: int) -> list[tuple[int, slice]]:
+        cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
+        return [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
+
+
+def _row_keys(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    with np.errstate(over="ignore"):
+        key = np.zeros(len(rows), np.uint64)
+        for column in wide.view(np.uint64).T:
+            key = mix64(key * U64(_BASE) + column)
+    return key
 
-    def run(key: tuple, blocks: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in blocks.itertuples(index=False):
-            block = _open(row)
-            live = np.ones(len(block.ids), bool)
-            live[reply["place"][reply["bucket"] < 0].to_numpy(np.int64)] = False  # copies of whole texts
-            sampled = block.sampled(bits)
-            distinct = _distinct(sampled)
-            shared = distinct[_answers(distinct, reply[reply["bucket"] >= 0], bits, n_buckets)]
-            repeated = _member(sampled, shared) | _member(sampled, _repeated_in_block(block, sampled, live))
-            at = block.candidates(repeated)
-            doc = np.searchsorted(block.ends, at, side="right")
-            at, doc = at[live[doc]], doc[live[doc]]
-            keep = np.zeros(len(block.ids), bool)
-            keep[doc] = True
-            if not len(at):
-                continue
-            mark = np.zeros(len(block.data), bool)
-            mark[at] = True
-            mark = np.concatenate([mark[s:e] for s, e, k in zip(block.starts, block.ends, keep, strict=True) if k])
-            text = zstandard.ZstdCompressor(level=6).compress(block.only(keep))
-            places = np.flatnonzero(keep).astype(np.int64)
-            out.append((row.block, block.ids[keep].tobytes(), block.lengths[keep].tobytes(), text, places.tobytes(), _squeeze(np.packbits(mark))))
-        return pd.DataFrame(out, columns=["block", "ids", "lengths", "text", "places", "marks"])
 
-    return run
+def _shifts(before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Bit d: the 50 bytes that start d bytes before the name lie within the document."""
+    low = np.maximum(ROOM - behind.astype(np.int64), 0)
+    high = np.minimum(before.astype(np.int64), ROOM)
+    every = (np.int64(1) << (high + 1)) - (np.int64(1) << np.minimum(low, high + 1))
+    return every.astype(np.uint32)
 
 
-def _prefixes(row: tuple) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate positions, the names of their 50 bytes and the ids of their documents."""
-    block = _open(row)
-    at = np.flatnonzero(np.unpackbits(_loose(row.marks, np.uint8))[: len(block.data)])
-    return block, at, prefix_names(block.name, at), block.ids[np.searchsorted(block.ends, at, side="right")]
+def _context_messages(bits: int, n_buckets: int):
+    """Every repeated sampled name of a block sends its surroundings to the name's range."""
 
+    def run(key: tuple, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in blocks.itertuples(index=False):
+            found = Occurrences(_open(row), told, bits, n_buckets)
+            for b, own in found.parts(n_buckets):
+                table, places = np.unique(found.first[own], return_inverse=True)
+                rows = zstandard.ZstdCompressor(level=5).compress(found.rows[own].tobytes())
+                out.append((b, row.block, rows, table.tobytes(), _squeeze(places.astype(np.uint32))))
+        return pd.DataFrame(out, columns=["bucket", "block", "rows", "ids", "places"])
 
-def _prefix_messages(n_buckets: int):
-    """Merge: every suffix that may repeat, sampled or not, sends its prefix's name to the name's range."""
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                _, _, prefix, ids = _prefixes(row)
-                yield _messages(row.block, *_first_of_each(prefix, ids), 64, n_buckets)
 
-    return run
+def _earlier(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Merge one range of names: for each context, which of its 31 strings start in a smaller document too.
+
+    A suffix that is not sampled itself is reached from the sampled name ``d`` bytes on. For every
+    ``d`` the 50-byte prefixes are sorted, by a key of their bytes, and neighbours are compared byte by
+    byte; the smallest id of a run of equal ones is the document that keeps the string.
+    """
+    rows = np.concatenate([_loose(x, np.uint8).reshape(-1, WIDTH + 2) for x in pdf["rows"]])
+    ids = np.concatenate([np.frombuffer(t, np.int64)[_loose(x, np.uint32)] for t, x in zip(pdf["ids"], pdf["places"], strict=True)])
+    inside = _shifts(rows[:, WIDTH], rows[:, WIDTH + 1])
+    keys = np.empty((PERIOD, len(rows)), np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(WIDTH, U64(_BASE)))
+        for part in range(0, len(rows), 1 << 14):
+            own = slice(part, part + (1 << 14))
+            total = np.zeros((len(rows[own]), WIDTH + 1), np.uint64)
+            np.cumsum(_VALUE[rows[own, :WIDTH]] * powers, axis=1, out=total[:, 1:])
+            for d in range(PERIOD):
+                span = total[:, WIDTH - d] - total[:, ROOM - d]
+                keys[d, own] = mix64(span * U64(pow(_BASE, -(ROOM - d), 1 << 64)))
+    gone = np.zeros(len(rows), np.uint32)
+    for d in range(PERIOD):
+        own = np.flatnonzero(inside & np.uint32(1 << d))
+        if not len(own):
+            continue
+        order = own[np.argsort(keys[d, own])]
+        same = keys[d, order][1:] == keys[d, order][:-1]
+        a, b = order[:-1][same], order[1:][same]
+        same[same] = (rows[a, ROOM - d : WIDTH - d] == rows[b, ROOM - d : WIDTH - d]).all(axis=1)
+        start = np.flatnonzero(np.concatenate(([True], ~same)))
+        least = np.repeat(np.minimum.reduceat(ids[order], start), np.diff(np.concatenate((start, [len(order)]))))
+        gone[order] |= (least < ids[order]).astype(np.uint32) << np.uint32(d)
+    cuts = np.cumsum([0, *(len(_loose(x, np.uint32)) for x in pdf["places"])])
+    bits = [_squeeze(gone[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits})
 
 
-def _removals(n_buckets: int):
-    """What the suspects lose: bytes covered by a prefix that also starts in a smaller document."""
+def _removals(bits: int, n_buckets: int):
+    """What the documents of a block lose: bytes covered by a string that also starts in a smaller one."""
 
-    def run(key: tuple, blocks: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        told, merged = replies[replies["phase"] == 1], replies[replies["phase"] == 2]
         out = []
         for row in blocks.itertuples(index=False):
-            block, at, prefix, ids = _prefixes(row)
-            values, firsts = _first_of_each(prefix, ids)
-            earlier = _answers(values, reply, 64, n_buckets)
-            place = np.searchsorted(values, prefix)
-            gone = at[earlier[place] | (ids > firsts[place])]
-            removed = _within(gone, len(block.data), 0, PREFIX - 1)
-            for p, s, e in zip(np.frombuffer(row.places, np.int64), block.starts, block.ends, strict=True):
+            block = _open(row)
+            found = Occurrences(block, told, bits, n_buckets)
+            gone = np.zeros(len(found.rows), np.uint32)
+            answers = dict(zip(merged["bucket"], merged["bits"], strict=True))
+            for b, own in found.parts(n_buckets):
+                gone[own] = _loose(answers[b], np.uint32)
+            every = _shifts(found.rows[:, WIDTH], found.rows[:, WIDTH + 1])
+            mask = np.where(found.id > found.first[found.of], every[found.of], gone[found.of])
+            starts = np.zeros(len(block.data), bool)
+            for d in range(PERIOD):
+                starts[found.at[(mask >> np.uint32(d)) & np.uint32(1) == 1] - d] = True
+            removed = _within(np.flatnonzero(starts), len(block.data), PREFIX - 1)
+            for p, (s, e) in enumerate(zip(block.starts, block.ends, strict=True)):
                 cut = removed[s:e]
+                if not cut.any():
+                    continue
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], cut, [False])).astype(np.int8)))
                 spans = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
                 out.append((row.block, p, int(cut.sum()), spans, hashlib.sha256(block.data[s:e][~cut].tobytes()).digest()))
@@ -331,28 +363,29 @@ def _removals(n_buckets: int):
 
 
 def repeated_passages(
-    docs: DataFrame, *, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, block_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
     Method: a distributed difference-cover order of the suffixes, as deep as 50 bytes need it.
 
-    1. *Sample.* Of every 31 positions of a document, counted from its start, the six of a perfect
+    1. *Sample and sort.* Of every 31 positions of a document, counted from its start, the six of a perfect
        difference set are sampled. Two equal 50-byte strings, wherever they start, have one common shift
        below 31 at which both are sampled, and the 20 bytes there are equal. Each sampled position gets
-       the name of its 20 bytes, made from a triple of names of 8 bytes. Names are sorted per block and
-       meet by ranges of names; those found in two documents are the repeated ones.
-    2. *Recurse on names.* The triple of the names 0, 20 and 30 bytes on names 50 bytes.
-    3. *Merge the remaining suffixes.* A suffix, sampled or not, can only repeat if a repeated name lies
-       less than one period on; all of those, and no others, are ordered by the names of their prefixes.
-    4. *Compare adjacent prefixes.* Equal neighbours are one string; the smallest id of the run keeps it.
-
-    Order by name instead of by alphabet is enough, as only equal neighbours matter. Names are 64-bit
-    fingerprints, so two different strings out of n are taken as equal with a probability below
-    n^2 / 2^65. Sampled names are shortened to the bits the input needs; that only adds candidates.
+       the name of its 20 bytes, a triple of names of 8, 8 and 4 bytes, made in turn from shorter
+       names. Names are sorted per block and meet by ranges; those of two documents are repeated.
+    2. *Merge the remaining suffixes.* A suffix, sampled or not, can only repeat if a repeated name lies less
+       than 31 bytes on. Each repeated name sends its surroundings (30 bytes before and behind) to the
+       range of its name, where the 50-byte prefixes at every shift are sorted.
+    3. *Compare adjacent prefixes.* Neighbours that are equal byte by byte are one string; the smallest id
+       of the run keeps it.
+
+    The recursion ends at the 50 bytes that count, deeper order would change nothing; and order by a key
+    of the bytes instead of the alphabet is enough, as only equal neighbours matter. Names of different
+    strings may coincide; that only adds candidates.
 
     Texts that are equal as a whole are found first by digest; their copies are removed entirely and take
-    no part in steps 2 to 4. Blocks of text are written once. What is shuffled are packed
+    no part in steps 2 and 3. Blocks of text are written once. What is shuffled are packed
     ascending names per block and range, of which a frequent string has at most one per block.
 
     Defined results: null and empty texts have 0 bytes; texts shorter than 50 bytes lose nothing;
@@ -372,7 +405,7 @@ def repeated_passages(
     known = stage(blocks.mapInPandas(_digests, where), "suffix-documents")
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = -(-max(total, 1) // bucket_bytes)
-    bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 14))
+    bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 10))
 
     firsts = known.groupBy("sha").agg(F.min(F.struct("id", "block", "place")).alias("rep"))
     known = known.join(firsts, "sha").select("block", "place", "id", "n_bytes", "sha", "rep")
@@ -381,20 +414,18 @@ def repeated_passages(
         "block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "place"
     )
 
-    message = "bucket long, block long, names binary, ids binary, places binary"
     reply = "block long, bucket long, bits binary"
-    sampled = blocks.mapInPandas(_sample_messages(bits, n_buckets), message)
+    sampled = blocks.mapInPandas(_sample_messages(bits, n_buckets), "bucket long, block long, names binary")
     shared = sampled.groupBy("bucket").applyInPandas(_shared_names, reply).withColumn("place", F.lit(None).cast("long"))
-    told = shared.unionByName(copies)
-    suspects = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        _suspects(bits, n_buckets), "block long, ids binary, lengths binary, text binary, places binary, marks binary"
-    )
-    suspects = stage(suspects, "suffix-suspects")
+    told = stage(shared.unionByName(copies), "suffix-shared")
 
-    merged = suspects.mapInPandas(_prefix_messages(n_buckets), message)
-    earlier = merged.groupBy("bucket").applyInPandas(_earlier_elsewhere, reply)
-    cut = suspects.groupBy("block").cogroup(earlier.groupBy("block")).applyInPandas(
-        _removals(n_buckets), "block long, place long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha binary"
+    contexts = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+        _context_messages(bits, n_buckets), "bucket long, block long, rows binary, ids binary, places binary"
+    )
+    earlier = contexts.groupBy("bucket").applyInPandas(_earlier, reply).withColumn("place", F.lit(None).cast("long"))
+    replies = told.withColumn("phase", F.lit(1)).unionByName(earlier.withColumn("phase", F.lit(2)))
+    cut = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
+        _removals(bits, n_buckets), "block long, place long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha binary"
     )
     cut = stage(cut, "suffix-cuts").toDF("b", "p", "n_removed", "spans", "kept_sha")
 
