@@ -44,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; a row per copy."""
     copies = mix(docs).groupBy(F.col("doc_id").alias("wanted")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    docs = docs.select(*COLUMNS)
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["wanted"]))
     turns = F.sequence(F.lit(1).cast("long"), F.col("copies"))
     return taken.select(*(docs[c] for c in COLUMNS), F.explode(turns).alias("turn")).drop("turn")

@@ -61,17 +61,14 @@ class _Stock:
 
     def best_pair(self, limit: int, without: int) -> int:
         """The largest sum of two items that is at most ``limit``, beside one of length ``without``; 0: none."""
-        best, hi = 0, bisect_left(self.lengths, limit) - 1
-        lo = 0
-        while 0 <= lo <= hi:
-            a, b = self.lengths[lo], self.lengths[hi]
-            need = {a: 1, b: 1} if a != b else {a: 2}
-            enough = all(self.left[k] - (k == without) >= n for k, n in need.items())
-            if a + b > limit:
+        there = [k for k in self.lengths if k < limit and self.left[k] - (k == without) > 0]
+        best, lo, hi = 0, 0, len(there) - 1
+        while lo <= hi:
+            a, b = there[lo], there[hi]
+            if a + b > limit or (lo == hi and self.left[a] - (a == without) < 2):
                 hi -= 1
             else:
-                if enough:
-                    best = max(best, a + b)
+                best = max(best, a + b)
                 lo += 1
         return best
 

@@ -24,7 +24,7 @@ THREATS = "kill killing hurt destroy beat burn shoot stab murder töten umbringe
 #: Letter counts of the beginnings that are learned beside whole words.
 BEGINNINGS = (4, 5, 6)
 _STRIP = ".,;:!?\"'()[]{}«»“”…"
-_ENDS = (".", "!", "?", ";", ":")
+_ENDS = (".", "!", "?", ";")
 THREAT_WEIGHT = 3.0
 
 #: A transducer: state, then class of the word, to the next state and a factor; "*" stands for any class.
