@@ -66,9 +66,12 @@ def render_timestamp(value: Column, instant: bool = False) -> Column:
 
 
 def render(value: Column, dtype: T.DataType) -> Column:
-    """Text of one value as it travels in CSV or in a scalar comparison; NULL stays NULL."""
+    """Text of one value as it travels in CSV or in a scalar comparison; NULL stays NULL.
+
+    Bytes travel as Base64, as they need not be text in any character set.
+    """
     if isinstance(dtype, T.BinaryType):
-        return F.decode(value, "UTF-8")
+        return F.base64(value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return render_timestamp(value, isinstance(dtype, T.TimestampType))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -96,8 +99,17 @@ def has_todo(text: Column) -> Column:
     return F.coalesce(F.upper(text).contains("TODO"), F.lit(False))
 
 
+# The characters of Unicode's White_Space property.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def blank(text: Column) -> Column:
-    return F.coalesce(F.trim(text), F.lit("")) == ""
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def compact(text: Column, limit: int, empty: str = "") -> Column:
@@ -112,8 +124,8 @@ def compact(text: Column, limit: int, empty: str = "") -> Column:
 
 
 def _name_ok(name: Column, sizes: Sequence[int]) -> Column:
-    parts = F.split(F.trim(F.coalesce(name, F.lit(""))), r"\.")
-    return F.size(parts).isin(*sizes) & F.forall(parts, lambda part: F.trim(part) != "")
+    parts = F.split(strip(F.coalesce(name, F.lit(""))), r"\.")
+    return F.size(parts).isin(*sizes) & F.forall(parts, lambda part: strip(part) != "")
 
 
 def source_name_ok(name: Column) -> Column:
@@ -128,23 +140,32 @@ def target_name_ok(name: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     """A name usable in ids and file names."""
-    trimmed = F.trim(name)
+    trimmed = strip(name)
     return F.when(trimmed == "", F.lit("object")).otherwise(F.regexp_replace(trimmed, "[^A-Za-z0-9_.-]+", "_"))
 
 
 def is_digest(text: Column) -> Column:
     """``sha256:`` followed by 64 hex digits."""
-    return F.coalesce(F.trim(text).rlike("^sha256:[0-9A-Fa-f]{64}$"), F.lit(False))
+    return F.coalesce(strip(text).rlike("^sha256:[0-9A-Fa-f]{64}$"), F.lit(False))
 
 
 def rfc3339(text: Column) -> Column:
     """Instant of an RFC 3339 text with optional fraction, NULL when malformed."""
-    value = F.trim(text)
+    value = strip(text)
     shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
     return F.when(value.rlike(shape), value.try_cast("timestamp"))
 
 
-def engine_name(text: Column) -> Column:
-    """Import engine in its short form: lower case, default ``sql-insert``, vendor prefix dropped."""
-    name = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "^[a-z]+-(import-into|lightning)$", "$1")
-    return F.when(name == "", F.lit("sql-insert")).otherwise(name)
+# The import engines. The last two are also known with their vendor's name in front.
+ENGINES = ("sql-insert", "import-into", "lightning")
+
+
+def engine_name(text: Column, vendor: str = "") -> Column:
+    """Import engine in its short form: lower case, default ``sql-insert``, this vendor's prefix dropped.
+
+    A name with any other prefix stays as it is, and so is none of ``ENGINES``.
+    """
+    name = F.lower(strip(F.coalesce(text, F.lit(""))))
+    for engine in ENGINES[1:] if vendor else ():
+        name = F.when(name == f"{vendor}-{engine}", F.lit(engine)).otherwise(name)
+    return F.when(name == "", F.lit(ENGINES[0])).otherwise(name)

@@ -11,40 +11,19 @@ from pyspark.sql import functions as F
 
 from movekit.sources.csvio import BITMAP, check_header, read_header, read_text
 
-# Above this size a file is hashed in blocks by a task instead of being loaded as one value.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-_BLOCK = 8 * 1024 * 1024
 
+def stored_files(spark: SparkSession, path: str, glob: str = "*.csv*") -> DataFrame:
+    """uri, bytes and sha256 of each stored object, read by Spark whatever its size or store.
 
-def _hash_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for uri in batch["uri"]:
-            location = uri if "://" in uri else "file://" + uri.removeprefix("file:")
-            files, path = fs.FileSystem.from_uri(location)
-            digest = hashlib.sha256()
-            with files.open_input_stream(path, compression=None) as stream:
-                while block := stream.read(_BLOCK):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield batch.assign(digest=digests)
-
-
-def stored_files(spark: SparkSession, path: str, glob: str = "*.csv*", whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """uri, bytes and sha256 of each stored object. Only files up to ``whole_bytes`` become one value."""
+    A file is one value of one task, so exports should keep files at chunk size; one beyond the
+    reader's own limit for a value fails the audit.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    small = files.where(F.col("length") <= whole_bytes).select(
-        F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest")
-    )
-    large = files.where(F.col("length") > whole_bytes).select(
-        F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes")
+    return files.select(
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("length").alias("bytes"),
+        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"),
     )
-    # The size filter works on the file listing, so looking for large files reads none of them.
-    if not large.isEmpty():
-        small = small.unionByName(large.mapInPandas(_hash_stream, "uri string, bytes long, digest string"))
-    return small.select("uri", "bytes", F.concat(F.lit("sha256:"), "digest").alias("sha256"))
 
 
 def audit_files(spark: SparkSession, path: str, multiline: bool = True, glob: str = "*.csv*") -> DataFrame:

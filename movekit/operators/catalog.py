@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movekit.functions.scalars import blank, type_base
+from movekit.functions.scalars import blank, strip, type_base
 
 Sys = Mapping[str, DataFrame]
 TABLE = ("database", "schema", "table")
@@ -103,7 +103,7 @@ def catalog_triggers(sys: Sys, database: str) -> DataFrame:
 
 def catalog_routines(sys: Sys, database: str) -> DataFrame:
     schemas = sys["schemas"].select("schema_id", F.col("name").alias("schema"))
-    own = sys["objects"].where(F.trim("type").isin(*ROUTINES) & ~F.col("is_ms_shipped"))
+    own = sys["objects"].where(strip("type").isin(*ROUTINES) & ~F.col("is_ms_shipped"))
     return own.join(schemas, "schema_id").select(
         F.lit(database).alias("database"), "schema", "name", F.col("type_desc").alias("type")
     )
@@ -146,7 +146,7 @@ def read_inventory(spark: SparkSession, path: str, multiline: bool = True) -> In
     document and large files split.
     """
     docs = spark.read.schema(DOCUMENT).option("multiLine", str(multiline).lower()).json(path)
-    status = F.trim(F.coalesce("status", F.lit("")))
+    status = strip(F.coalesce("status", F.lit("")))
     checked = F.when(status.isin(*INVENTORY_STATES), status).otherwise(
         F.raise_error(F.concat(F.lit("unsupported inventory status "), status))
     )
@@ -262,7 +262,7 @@ def choose_keys(indexes: DataFrame) -> DataFrame:
 def choose_columns(columns: DataFrame) -> DataFrame:
     """Captured columns per table: named, not computed, in order."""
     kept = columns.where(~blank(F.col("name")) & ~F.col("computed"))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", F.trim("name").alias("name"))))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", strip("name").alias("name"))))
     return kept.groupBy(*TABLE).agg(F.transform(ordered, lambda x: x["name"]).alias("columns"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from movekit.functions.scalars import strip
 from movekit.functions.lsn import format_lsn, lsn_bytes, lsn_number, lsn_text_of_number, require_lsn
 from movekit.session import stage
 
@@ -32,7 +33,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def decode_op(code: Column) -> Column:
     """``delete``, ``upsert`` or ``skip`` for an integer or numeric text; anything else fails."""
-    number = F.trim(code.cast("string")).try_cast("int")
+    number = strip(code.cast("string")).try_cast("int")
     return (
         F.when(number == DELETE, "delete")
         .when(number.isin(INSERT, AFTER), "upsert")
@@ -113,7 +114,7 @@ def net_changes(
     feed = binary_positions(feed)
     action = decode_op(F.col("op"))
     position = F.struct(
-        F.col("start_lsn").alias("lsn"), F.col("seqval").alias("seq"), F.trim(F.col("op").cast("string")).cast("int").alias("op")
+        F.col("start_lsn").alias("lsn"), F.col("seqval").alias("seq"), strip(F.col("op").cast("string")).cast("int").alias("op")
     )
     values = [F.col(c).alias(c) for c in _values(keys, columns)]
     solid = [F.coalesce(F.col(k), F.raise_error(F.lit(f"NULL key {k} in change feed"))).alias(k) for k in keys]
@@ -192,14 +193,19 @@ def apply_changes(
     keys: Sequence[str],
     columns: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
+    check_target: bool = False,
 ) -> DataFrame:
     """Apply a feed to a table.
 
     The net effect is written to shared storage first: it is used more than once, and its
     measured size decides between the broadcast and the shuffled join.
     ``target`` should be a stored table: write the result of one range before applying the next.
+    ``check_target`` first makes sure that no key of the table is NULL or occurs twice, at the price
+    of one aggregation over its keys; do so where no constraint of the target does.
     """
     check_feed(feed, columns)
+    if check_target and (found := duplicate_keys(target, keys).head(3)):
+        raise ValueError(f"target keys that are NULL or repeated, such as {[r.asDict() for r in found]}")
     net = stage(net_changes(feed, keys, columns), "net")
     return apply_net(target, net, keys, columns, broadcast=fits_broadcast(net, broadcast_rows))
 

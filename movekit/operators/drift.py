@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movekit.functions.scalars import SPACES, blank, source_name_ok
+from movekit.functions.scalars import SPACES, blank, source_name_ok, strip
 
 
 def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _key(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    return F.lower(strip(name))
 
 
 def _shape(columns: Column) -> Column:
@@ -30,8 +30,8 @@ def _shape(columns: Column) -> Column:
 
 
 def _shown(columns: Column) -> Column:
-    named = lambda c: F.when(blank(c["type"]), F.trim(c["name"])).otherwise(
-        F.concat(F.trim(c["name"]), F.lit(":"), F.trim(c["type"]))
+    named = lambda c: F.when(blank(c["type"]), strip(c["name"])).otherwise(
+        F.concat(strip(c["name"]), F.lit(":"), strip(c["type"]))
     )
     return F.array_join(F.transform(F.coalesce(columns, F.array().cast("array<struct<name:string,type:string>>")), named), ", ")
 
@@ -44,7 +44,7 @@ def detect_drift(baseline: DataFrame, inventory: DataFrame, baseline_status: str
     scope are added. A baseline that was never reviewed has no drift.
     """
     old = baseline.where(~blank(F.col("source_object"))).select(
-        _key(F.col("source_object")).alias("_k"), F.trim("source_object").alias("old_name"), F.col("columns").alias("old")
+        _key(F.col("source_object")).alias("_k"), strip("source_object").alias("old_name"), F.col("columns").alias("old")
     )
     new = inventory.select(
         _key(F.col("source_object")).alias("_k"), F.col("source_object").alias("new_name"), F.col("columns").alias("new"), "in_scope"
@@ -132,7 +132,7 @@ def check_tracked(tracked: DataFrame, captured: DataFrame, indexes: DataFrame) -
 
 def check_fields(jobs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Import jobs (job_id, source_object, fields[]) whose named fields differ from the catalog columns."""
-    named = F.filter("fields", lambda f: ~blank(f) & ~F.trim(f).startswith("@"))
+    named = F.filter("fields", lambda f: ~blank(f) & ~strip(f).startswith("@"))
     now = inventory.select(
         _key(F.col("source_object")).alias("_k"),
         F.filter(F.transform("columns", lambda c: c["name"]), lambda n: ~blank(n)).alias("now"),
@@ -148,7 +148,7 @@ def check_fields(jobs: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def sql_objects(statements: DataFrame, sql: str = "source_sql") -> DataFrame:
     """Three-part names after FROM or JOIN in each statement, quotes and brackets stripped."""
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(sql), F.lit("")), SPACES, " ")), " ")
+    words = F.split(strip(F.regexp_replace(F.coalesce(F.col(sql), F.lit("")), SPACES, " ")), " ")
     bare = lambda w: F.regexp_replace(w, r"^[(),;]+|[(),;]+$", "")
     name = lambda w: F.regexp_replace(F.regexp_replace(bare(w), r"[\[\]`\"]", ""), "^[,;]+|[,;]+$", "")
     spread = statements.withColumn("_w", words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,7 +85,10 @@ def require_empty(target: DataFrame) -> None:
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of the target in its order, cast to its types; a value that does not fit fails."""
+    """Columns of the target in its order, cast to its types; a value that does not fit fails.
+
+    Text for a binary column is the Base64 that the export wrote.
+    """
     by_name = {c.lower(): c for c in df.columns}
     missing = [f.name for f in schema if f.name.lower() not in by_name]
     if missing:
@@ -93,7 +96,13 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     extra = set(by_name) - {f.name.lower() for f in schema}
     if extra:
         raise ValueError(f"columns unknown to the target: {sorted(extra)}")
-    return df.select(*[F.col(f"`{by_name[f.name.lower()]}`").cast(f.dataType).alias(f.name) for f in schema])
+
+    def value(field: T.StructField) -> Column:
+        text = F.col(f"`{by_name[field.name.lower()]}`")
+        from_text = isinstance(field.dataType, T.BinaryType) and isinstance(df.schema[by_name[field.name.lower()]].dataType, T.StringType)
+        return (F.unbase64(text) if from_text else text.cast(field.dataType)).alias(field.name)
+
+    return df.select(*[value(f) for f in schema])
 
 
 def load_append(df: DataFrame, path: str, schema: T.StructType, only_if_empty: DataFrame | None = None) -> None:

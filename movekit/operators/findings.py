@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from movekit.functions.scalars import strip
 from movekit.operators.catalog import Inventory
 
 
@@ -20,7 +21,7 @@ def _rows(df: DataFrame, item: Column, *rules: tuple[str, str, Column]) -> DataF
 
 def findings(inventory: Inventory) -> DataFrame:
     """object, severity (blocker/warning), code. Type rules look at the whole type text."""
-    kind = F.lower(F.trim("type"))
+    kind = F.lower(strip("type"))
     in_table = F.concat_ws(".", "database", "schema", "table", "name")
     always = F.lit(True)
     parts = [

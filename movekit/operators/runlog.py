@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movekit.functions.redact import redact_args, redact_expr
-from movekit.functions.scalars import blank, compact, engine_name, is_digest, rfc3339
+from movekit.functions.scalars import blank, compact, engine_name, is_digest, rfc3339, strip
 from movekit.plans.ranges import broken_rules
 
 ATTEMPT = (
@@ -53,8 +53,8 @@ def _engine(args: Column) -> Column:
     hits = F.filter(
         F.transform(
             args,
-            lambda a, i: F.when((a == "--engine") & (i + 1 < F.size(args)), F.trim(F.get(args, i + 1))).when(
-                a.startswith("--engine="), F.trim(F.substring_index(a, "--engine=", -1))
+            lambda a, i: F.when((a == "--engine") & (i + 1 < F.size(args)), strip(F.get(args, i + 1))).when(
+                a.startswith("--engine="), strip(F.substring_index(a, "--engine=", -1))
             ),
         ),
         lambda v: v.isNotNull(),
@@ -63,7 +63,7 @@ def _engine(args: Column) -> Column:
 
 
 def audit_required(stage: Column, args: Column) -> Column:
-    stage = F.trim(stage)
+    stage = strip(stage)
     return (stage == "export") | ((stage == "import") & _engine(args).isin(*AUDITED_ENGINES))
 
 
@@ -84,7 +84,7 @@ def _time_rules(started: Column, completed: Column, duration: Column) -> list[tu
 
 
 def _command_rules(c: Column) -> list[tuple[str, Column]]:
-    done = F.trim("status") == "succeeded"
+    done = strip("status") == "succeeded"
     negative = lambda name: F.coalesce(c[name] < 0, F.lit(False))
     args = F.coalesce(c["args"], F.array().cast("array<string>"))
     rows, size, digest = c["data_rows"], c["data_bytes"], c["data_sha256"]
@@ -113,13 +113,13 @@ def runlog_violations(runs: DataFrame) -> DataFrame:
     """
     commands = F.coalesce(F.col("commands"), F.from_json(F.lit("[]"), f"array<{COMMAND}>"))
     failing = F.exists("_all", lambda c: F.coalesce(c["exit_code"] != 0, F.lit(False)) | ~blank(c["error"]))
-    ids = F.array_sort(F.filter(F.transform("_all", lambda c: F.trim(c["id"])), lambda x: x != ""))
+    ids = F.array_sort(F.filter(F.transform("_all", lambda c: strip(c["id"])), lambda x: x != ""))
     twins = F.array_distinct(F.filter("_ids", lambda x, i: (i > 0) & (F.get(F.col("_ids"), i - 1) == x)))
     pair = lambda who, rule: F.named_struct(F.lit("command_id"), who, F.lit("rule"), rule)
     of_run = broken_rules(
         [
             ("no_commands", F.size("_all") == 0),
-            ("failed_without_failure", (F.trim("status") == "failed") & (F.size("_all") > 0) & ~failing),
+            ("failed_without_failure", (strip("status") == "failed") & (F.size("_all") > 0) & ~failing),
         ]
     )
     whole = (
@@ -134,7 +134,7 @@ def runlog_violations(runs: DataFrame) -> DataFrame:
             F.posexplode_outer("_all").alias("position", "c"),
         )
     )
-    name = F.trim(F.coalesce(F.col("c.id"), F.lit("")))
+    name = strip(F.coalesce(F.col("c.id"), F.lit("")))
     own = F.when(F.col("c").isNotNull(), broken_rules(_command_rules(F.col("c")))).otherwise(F.array().cast("array<string>"))
     first = F.coalesce(F.col("position") == 0, F.lit(True))
     none = F.array().cast("array<struct<command_id:string,rule:string>>")
@@ -146,7 +146,7 @@ def runlog_violations(runs: DataFrame) -> DataFrame:
 
 def attempt_violations(runs: DataFrame) -> DataFrame:
     """run_id, command_id, attempt (0 for the command itself), rule."""
-    flat = commands_of(runs).select("run_id", F.trim("c.id").alias("command_id"), "c.attempt_count", "c.attempts")
+    flat = commands_of(runs).select("run_id", strip("c.id").alias("command_id"), "c.attempt_count", "c.attempts")
     count, tries = F.col("attempt_count"), F.coalesce(F.col("attempts"), F.from_json(F.lit("[]"), f"array<{ATTEMPT}>"))
     of_commands = flat.select(
         "run_id",
@@ -176,8 +176,8 @@ def attempt_violations(runs: DataFrame) -> DataFrame:
 def audit_violations(runs: DataFrame) -> DataFrame:
     """Commands of successful export and import runs without complete rows, bytes and digest."""
     c = F.col("c")
-    lacking = (F.trim("status") == "succeeded") & audit_required(F.col("stage"), c["args"]) & ~_audit_complete(c)
-    return commands_of(runs).where(lacking).select("run_id", F.trim("c.id").alias("command_id"), F.lit("audit_incomplete").alias("rule"))
+    lacking = (strip("status") == "succeeded") & audit_required(F.col("stage"), c["args"]) & ~_audit_complete(c)
+    return commands_of(runs).where(lacking).select("run_id", strip("c.id").alias("command_id"), F.lit("audit_incomplete").alias("rule"))
 
 
 def _attempts(c: Column) -> Column:
@@ -200,7 +200,7 @@ def command_summary(runs: DataFrame) -> DataFrame:
         c["data_bytes"].alias("data_bytes"),
         c["cdc_applied_changes"].alias("applied_changes"),
         compact(redact_expr(c["output"]), SUMMARY, "(empty)").alias("output"),
-        F.trim(redact_expr(F.coalesce(c["error"], F.lit("")))).alias("error"),
+        strip(redact_expr(F.coalesce(c["error"], F.lit("")))).alias("error"),
     )
 
 
@@ -248,9 +248,7 @@ def pending_work(items: DataFrame, runs: DataFrame) -> DataFrame:
     )
     ids = ["project", "stage", "fingerprint", "item_id"]
     keyed = items.withColumns({"_raw": key(F.col("args")), "_red": key(redact_args(F.col("args")))})
-    same = [keyed[i] == done[i] for i in ids]
-    either = (done["_args"] == keyed["_raw"]) | (done["_args"] == keyed["_red"])
-    condition = either
-    for s in same:
-        condition = condition & s
-    return keyed.join(done, condition, "left_anti").drop("_raw", "_red")
+    # One equi-join per form of the arguments: no pair of candidates is compared beyond the hash of its key.
+    for form in ("_raw", "_red"):
+        keyed = keyed.join(done.withColumnRenamed("_args", form), [*ids, form], "left_anti")
+    return keyed.select(*items.columns)

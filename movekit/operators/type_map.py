@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movekit.functions.scalars import type_param
+from movekit.functions.scalars import strip, type_param
 
 # Source type -> (target type, Spark type, review code). ``(n)`` takes the source's
 # parameter, ``(n|255)`` falls back to 255 and turns ``max`` into TEXT, ``(b)`` falls back to BLOB.
@@ -66,14 +66,14 @@ def _lookup(base: Column, at: int) -> Column:
 
 
 def _base(text: Column) -> Column:
-    head = F.substring_index(F.lower(F.trim(text)), "(", 1)
-    return F.trim(F.regexp_extract(head, r"^\s*(\S*)", 1))
+    head = F.substring_index(F.lower(strip(text)), "(", 1)
+    return strip(F.regexp_extract(head, r"^\s*(\S*)", 1))
 
 
 def full_type(columns: DataFrame) -> Column:
     """Type text with its declared size, from max_length/precision/scale; bytes become characters
     for national types and a negative length means ``max``."""
-    name, length = F.lower(F.trim("type")), F.col("max_length")
+    name, length = F.lower(strip("type")), F.col("max_length")
     chars = F.when(length < 0, "max").otherwise(
         F.when(name.isin("nchar", "nvarchar"), (length / 2).cast("int")).otherwise(length.cast("int")).cast("string")
     )
@@ -112,7 +112,7 @@ def map_types(columns: DataFrame, sized: bool = False) -> DataFrame:
             "spark_type": spark_type,
             "manual_review": review,
             "code": F.when((code == "") & computed, COMPUTED).otherwise(code),
-            "note": F.trim(F.concat_ws(" ", note, F.when(computed, F.lit(COMPUTED_NOTE)))),
+            "note": strip(F.concat_ws(" ", note, F.when(computed, F.lit(COMPUTED_NOTE)))),
             "warning": F.when(base == "tinyint", "unsigned source, signed target")
             .when(spark.startswith("decimal(n") & no_param, "precision unknown")
             .otherwise(""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movekit.functions.scalars import blank, has_todo, safe_name, source_name_ok, target_name_ok
+from movekit.functions.scalars import blank, has_todo, safe_name, source_name_ok, strip, target_name_ok
 from movekit.operators.reconcile import DEFAULT_BUCKETS, DEFAULT_MODULO, MAX_BUCKETS
 from movekit.plans.ranges import violations
 
@@ -89,7 +89,7 @@ def validate_checks(checks: DataFrame) -> DataFrame:
     source, target = F.col("source_object"), F.col("target_object")
     left, right = F.col("source_sql"), F.col("target_sql")
     sql_type = ~rows_type
-    ours = checks.where(known).withColumn("check_id", F.trim(F.coalesce("check_id", F.lit(""))))
+    ours = checks.where(known).withColumn("check_id", strip(F.coalesce("check_id", F.lit(""))))
     rules = [
         ("id_required", F.col("check_id") == ""),
         ("source_required", rows_type & blank(source)),

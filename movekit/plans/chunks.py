@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movekit.functions.scalars import safe_name
-from movekit.sources.csvio import BITMAP, EXTENSIONS, check_compression
+from movekit.sources.csvio import EXTENSIONS, check_compression
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 
@@ -68,11 +68,6 @@ def plan_jobs(chunks: DataFrame) -> DataFrame:
     )
 
 
-def import_fields(columns: Column, bitmap: str = BITMAP) -> Column:
-    """Field list of a bulk import: named columns in order, then the bitmap column."""
-    return F.concat(F.filter(F.transform(columns, F.trim), lambda c: c != ""), F.array(F.lit(bitmap)))
-
-
 def _literal(value) -> str:
     if isinstance(value, datetime):
         return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'" if value.tzinfo is None else f"TIMESTAMP '{value.isoformat(sep=' ')}'"
@@ -85,12 +80,17 @@ def _literal(value) -> str:
     return str(value)
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
 def split_predicates(df: DataFrame, key: str, chunks: int, tiebreak: Sequence[str] = ()) -> list[str]:
     """Predicates that put every row, NULL keys included, in exactly one chunk of similar size.
 
     Bounds come from one mergeable quantile sketch over the key column. A key value so frequent
-    that it fills several chunks is split further by a hash of the ``tiebreak`` columns. Keys
-    without quantiles (text, binary) are split by hash.
+    that it fills several chunks is split further by a hash of the ``tiebreak`` columns, or of all
+    columns where none are given; only rows equal in all of these stay together. Keys without quantiles
+    (text, binary) are split by hash.
     """
     if chunks <= 1:
         return ["1 = 1"]
@@ -108,7 +108,7 @@ def split_predicates(df: DataFrame, key: str, chunks: int, tiebreak: Sequence[st
             steps.append([bound, 1])
     if not steps:
         return ["1 = 1"]
-    spread = ", ".join("`" + c.replace("`", "``") + "`" for c in tiebreak)
+    spread = ", ".join("`" + c.replace("`", "``") + "`" for c in tiebreak or _hashable(df))
     out = [f"{name} < {_literal(steps[0][0])}"]
     for i, (value, times) in enumerate(steps):
         low, high = _literal(value), _literal(steps[i + 1][0]) if i + 1 < len(steps) else None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movekit.functions.redact import redact_expr
-from movekit.functions.scalars import rfc3339
+from movekit.functions.scalars import rfc3339, strip
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _stage_flags(runs: DataFrame, invalid_runs: DataFrame | None) -> DataFrame:
         newest = newest.join(bad, "run_id", "left")
     else:
         newest = newest.withColumn("_bad", F.lit(None).cast("boolean"))
-    good = (F.trim("status") == "succeeded") & F.col("_bad").isNull()
+    good = (strip("status") == "succeeded") & F.col("_bad").isNull()
     flag = lambda stage: F.bool_or((F.col("stage") == stage) & good).alias(f"{stage}_run")
     return newest.groupBy("project").agg(*[flag(s) for s in ("export", "import", "validation", "cdc")])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from movekit.functions.lsn import lsn_bytes, parse_lsn, require_lsn
-from movekit.functions.scalars import blank, rfc3339
+from movekit.functions.scalars import blank, rfc3339, strip
 
 # Severities in rising order, and names accepted for an alert threshold.
 SEVERITIES = ("none", "ok", "warning", "critical")
@@ -36,7 +36,7 @@ def health_tables(
     if low_marks is None:
         rows = rows.withColumn("min_lsn", F.lit(None).cast("string"))
     else:
-        rows = rows.join(low_marks.select("source_object", F.trim("min_lsn").alias("min_lsn")), "source_object", "left")
+        rows = rows.join(low_marks.select("source_object", strip("min_lsn").alias("min_lsn")), "source_object", "left")
     seen = F.col("_seen").isNotNull()
     at = F.when(seen, require_lsn(F.col("checkpoint_to_lsn"), "checkpoint to_lsn"))
     rows = rows.withColumns({"_at": at, "_top": parse_lsn(F.lit(max_lsn)), "_low": F.when(~blank(F.col("min_lsn")), require_lsn(F.col("min_lsn"), "min_lsn"))})
@@ -82,12 +82,12 @@ def _project_rows(states: DataFrame, now: str, max_age_seconds: int) -> DataFram
     rows = states.withColumn("age_seconds", F.floor(age / 1_000_000).cast("long"))
     stale = (F.lit(max_age_seconds) > 0) & (F.col("age_seconds") > max_age_seconds)
     alerts = F.array(
-        F.when(F.lower(F.trim("status")) == "failed", _alert("critical", "checkpoint_failed")),
+        F.when(F.lower(strip("status")) == "failed", _alert("critical", "checkpoint_failed")),
         F.when(stale, _alert("critical", "checkpoint_stale")),
     )
     return rows.select(
         "project",
-        F.trim("status").alias("checkpoint_status"),
+        strip("status").alias("checkpoint_status"),
         "age_seconds",
         F.filter(alerts, lambda a: a.isNotNull()).alias("alerts"),
     )
@@ -132,7 +132,7 @@ def route_alerts(summary: DataFrame, minimum: str = "critical", fail_on_warning:
     chosen = THRESHOLDS.get(minimum.strip().lower())
     if chosen is None:
         raise ValueError(f"invalid alert threshold {minimum!r}")
-    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.lower(F.trim("status"))) - 1
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.lower(strip("status"))) - 1
     notify = F.lit(False) if chosen == "none" else rank >= SEVERITIES.index(chosen)
     failing = (F.col("status") == "critical") | (F.lit(fail_on_warning) & (F.col("status") == "warning"))
     return summary.withColumns({"notify": notify, "exit_code": F.when(failing, 1).otherwise(0)})

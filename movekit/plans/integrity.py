@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movekit.functions.scalars import blank, engine_name, has_todo, source_name_ok, target_name_ok
+from movekit.functions.scalars import ENGINES, blank, engine_name, has_todo, source_name_ok, strip, target_name_ok
 from movekit.plans.checks import CHECK_TYPES
 from movekit.plans.ranges import repeated, violations
 
@@ -14,26 +14,25 @@ PLAN_STATES = ("draft", "reviewed", "approved")
 FORMATS = ("", "csv")
 CODECS = ("", "none", "gzip")
 NULL_ENCODINGS = ("", "bitmap", "backslash-n")
-ENGINES = ("sql-insert", "import-into", "lightning")
 
 
 def _low(name: str) -> Column:
-    return F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))
+    return F.lower(strip(F.coalesce(F.col(name), F.lit(""))))
 
 
 def dependency_violations(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs whose export chunk does not exist or writes elsewhere. A project without chunks is not checked."""
     known = (
         chunks.where(~blank(F.col("chunk_id")))
-        .groupBy("project", F.trim("chunk_id").alias("_dep"))
-        .agg(F.max_by(F.trim("output_uri"), "chunk_no").alias("_uri"))
+        .groupBy("project", strip("chunk_id").alias("_dep"))
+        .agg(F.max_by(strip("output_uri"), "chunk_no").alias("_uri"))
     )
-    checked = jobs.where(~blank(F.col("depends_on"))).withColumn("_dep", F.trim("depends_on"))
+    checked = jobs.where(~blank(F.col("depends_on"))).withColumn("_dep", strip("depends_on"))
     planned = known.select("project").distinct()
     joined = checked.join(planned, "project", "left_semi").join(
         known.withColumn("_known", F.lit(True)), ["project", "_dep"], "left"
     )
-    uri = F.trim("source_uri")
+    uri = strip("source_uri")
     rule = F.when(F.col("_known").isNull(), "dependency_missing").when(
         ~blank(uri) & ~blank(F.col("_uri")) & (uri != F.col("_uri")), "uri_differs"
     )
@@ -42,7 +41,7 @@ def dependency_violations(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def chunk_violations(chunks: DataFrame) -> DataFrame:
     source, target = F.col("source_object"), F.col("target_object")
-    named = chunks.withColumn("chunk_id", F.trim(F.coalesce("chunk_id", F.lit(""))))
+    named = chunks.withColumn("chunk_id", strip(F.coalesce("chunk_id", F.lit(""))))
     ids = ["project", "chunk_id"]
     rules = [
         ("id_required", F.col("chunk_id") == ""),
@@ -59,11 +58,11 @@ def chunk_violations(chunks: DataFrame) -> DataFrame:
 def job_violations(jobs: DataFrame) -> DataFrame:
     """Jobs with optional ``fields``: blanks, bad variables and repeated names are reported too."""
     target = F.col("target_object")
-    named = jobs.withColumn("job_id", F.trim(F.coalesce("job_id", F.lit(""))))
+    named = jobs.withColumn("job_id", strip(F.coalesce("job_id", F.lit(""))))
     if "fields" not in jobs.columns:
         named = named.withColumn("fields", F.array().cast("array<string>"))
     fields = F.coalesce(F.col("fields"), F.array().cast("array<string>"))
-    given = F.transform(F.filter(fields, lambda f: ~blank(f)), lambda f: F.lower(F.trim(f)))
+    given = F.transform(F.filter(fields, lambda f: ~blank(f)), lambda f: F.lower(strip(f)))
     variable = lambda f: f.startswith("@") & ~f.rlike("^@[a-z0-9_.$]+$")
     ids = ["project", "job_id"]
     rules = [
@@ -79,9 +78,12 @@ def job_violations(jobs: DataFrame) -> DataFrame:
     return violations(named, ids, rules).unionByName(repeated(named.where("job_id <> ''"), ids, "id_repeated"))
 
 
-def settings_violations(settings: DataFrame) -> DataFrame:
-    """Plan-level settings: project, plan, status, format, compression, null_encoding, engine."""
-    status, engine, codec = F.trim(F.coalesce("status", F.lit(""))), engine_name(F.col("engine")), _low("compression")
+def settings_violations(settings: DataFrame, vendor: str = "") -> DataFrame:
+    """Plan-level settings: project, plan, status, format, compression, null_encoding, engine.
+
+    ``vendor`` is the prefix that engine names may carry.
+    """
+    status, engine, codec = strip(F.coalesce("status", F.lit(""))), engine_name(F.col("engine"), vendor), _low("compression")
     return violations(
         settings,
         ["project", "plan"],
@@ -99,7 +101,7 @@ def settings_violations(settings: DataFrame) -> DataFrame:
 
 def source_directories(jobs: DataFrame) -> DataFrame:
     """Per project the one directory all its jobs read, or that there are several (directory engines need one)."""
-    folder = F.regexp_replace(F.trim("source_uri"), "/[^/]*$", "")
+    folder = F.regexp_replace(strip("source_uri"), "/[^/]*$", "")
     by_folder = jobs.select("project", folder.alias("dir")).distinct()
     found = by_folder.groupBy("project").agg(F.count(F.lit(1)).alias("dirs"), F.min("dir").alias("dir"))
     return found.select("project", "dirs", F.when(F.col("dirs") == 1, F.col("dir")).alias("data_source_uri"))

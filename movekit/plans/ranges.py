@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movekit.functions.lsn import is_lsn, lsn_bytes, parse_lsn, range_ok
-from movekit.functions.scalars import blank, rfc3339, source_name_ok, target_name_ok
+from movekit.functions.scalars import blank, rfc3339, source_name_ok, strip, target_name_ok
 
 ID = ("project", "source_object")
 # States of a checkpoint.
@@ -41,7 +41,7 @@ def _has_blank(names: Column) -> Column:
 
 
 def _has_twins(names: Column) -> Column:
-    lowered = F.transform(F.filter(names, lambda x: ~blank(x)), lambda x: F.lower(F.trim(x)))
+    lowered = F.transform(F.filter(names, lambda x: ~blank(x)), lambda x: F.lower(strip(x)))
     return F.size(F.array_distinct(lowered)) < F.size(lowered)
 
 
@@ -53,7 +53,7 @@ def validate_tracked(tracked: DataFrame, require_range: bool = True) -> DataFram
     """Broken rules of tracked tables: names, uniqueness, batch size, retention, columns, keys, range."""
     source, target = F.col("source_object"), F.col("target_object")
     columns, keys = _names("columns"), _names("key_columns")
-    lowered = lambda names: F.transform(names, lambda x: F.lower(F.trim(x)))
+    lowered = lambda names: F.transform(names, lambda x: F.lower(strip(x)))
     rules = [
         ("retention_not_positive", F.coalesce(F.col("retention_hours") <= 0, F.lit(True))),
         ("source_required", blank(source)),
@@ -76,7 +76,7 @@ def validate_tracked(tracked: DataFrame, require_range: bool = True) -> DataFram
             ("to_malformed", ~is_lsn(high)),
             ("range_reversed", is_lsn(low) & is_lsn(high) & ~range_ok(low, high)),
         ]
-    clean = tracked.withColumn("source_object", F.trim(F.coalesce(source, F.lit(""))))
+    clean = tracked.withColumn("source_object", strip(F.coalesce(source, F.lit(""))))
     twice = repeated(clean.where(F.col("source_object") != ""), ID, "source_repeated")
     return violations(clean, ID, rules).unionByName(twice)
 
@@ -105,14 +105,29 @@ def validate_checkpoint(entries: DataFrame) -> DataFrame:
 
 
 def _with_state(tracked: DataFrame, checkpoint: DataFrame, low_marks: DataFrame | None) -> DataFrame:
-    """Tracked tables with their checkpoint (ck_*) and retention low mark (min_lsn), if any."""
+    """Tracked tables with their checkpoint (ck_*) and retention low mark (min_lsn), if any.
+
+    Of several entries for one table the highest position counts, malformed ones before all others, so
+    that they are reported. Low marks may name their project; those of one cluster then say nothing about
+    a table of the same name in another.
+    """
     state = checkpoint.where(~blank(F.col("source_object"))).select(
-        *ID, F.col("target_object").alias("ck_target"), F.trim("to_lsn").alias("ck_to")
+        *ID, F.col("target_object").alias("ck_target"), strip(F.col("to_lsn")).alias("ck_to")
     )
+    rank = F.struct(~blank(F.col("ck_to")) & ~is_lsn(F.col("ck_to")), parse_lsn(F.col("ck_to")), F.col("ck_to"), F.col("ck_target"))
+    state = state.groupBy(*ID).agg(F.max_by(F.struct("ck_target", "ck_to"), rank).alias("s")).select(*ID, "s.*")
     joined = tracked.join(state, list(ID), "left")
     if low_marks is None:
         return joined.withColumn("min_lsn", F.lit(None).cast("string"))
-    return joined.join(low_marks.select("source_object", F.trim("min_lsn").alias("min_lsn")), "source_object", "left")
+    by = [c for c in ("project", "source_object") if c in low_marks.columns]
+    marks = low_marks.select(*by, strip(F.col("min_lsn")).alias("min_lsn"))
+    malformed = ~blank(F.col("min_lsn")) & ~is_lsn(F.col("min_lsn"))
+    marks = marks.groupBy(*by).agg(F.max_by("min_lsn", F.struct(malformed, parse_lsn(F.col("min_lsn")), F.col("min_lsn"))).alias("min_lsn"))
+    return joined.join(marks, by, "left")
+
+
+def _bad_mark() -> Column:
+    return ~blank(F.col("min_lsn")) & ~is_lsn(F.col("min_lsn"))
 
 
 def _expired(from_lsn: Column) -> Column:
@@ -146,6 +161,7 @@ def next_ranges(
         F.when(_moved(), "target_differs")
         .when(blank(low), "no_start")
         .when(~is_lsn(low), "from_malformed")
+        .when(_bad_mark(), "min_malformed")
         .when(_expired(low), "retention_expired")
         .when(parse_lsn(low) > parse_lsn(high), "ahead_of_source")
     )
@@ -183,6 +199,7 @@ def explicit_range(
     error = (
         F.when(blank(low), "no_start")
         .when(~is_lsn(low), "from_malformed")
+        .when(_bad_mark(), "min_malformed")
         .when(_expired(low), "retention_expired")
         .when(~range_ok(low, high), "range_reversed")
     )
@@ -207,12 +224,13 @@ def apply_needed(tracked: DataFrame, checkpoint: DataFrame, low_marks: DataFrame
     done = ~fresh & F.coalesce(parse_lsn(mark) >= parse_lsn(high), F.lit(False))
     error = (
         F.when(~is_lsn(high), "to_malformed")
+        .when(_bad_mark(), "min_malformed")
         .when(fresh & _expired(low), "retention_expired")
         .when(fresh, None)
         .when(_moved(), "target_differs")
         .when(~is_lsn(mark), "checkpoint_malformed")
         .when(done, None)
-        .when(mark != F.trim(low), "gap")
+        .when(mark != strip(low), "gap")
         .when(_expired(low), "retention_expired")
     )
     rows = _with_state(tracked, checkpoint, low_marks).withColumn("error", error)
@@ -229,7 +247,7 @@ def apply_needed(tracked: DataFrame, checkpoint: DataFrame, low_marks: DataFrame
 def arg_value(args: Column, flag: str) -> Column:
     """Trimmed element after ``flag`` in an argument list, NULL when absent or blank."""
     at = F.array_position(args, flag).cast("int")
-    value = F.trim(F.when((at > 0) & (at < F.size(args)), F.get(args, at)))
+    value = strip(F.when((at > 0) & (at < F.size(args)), F.get(args, at)))
     return F.when(value != "", value)
 
 

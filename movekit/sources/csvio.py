@@ -19,8 +19,6 @@ NULL_TEXT = "\\N"
 ENCODINGS = ("bitmap", "backslash-n", "none")
 EXTENSIONS = {"none": "csv", "gzip": "csv.gz"}
 
-# A value no text column holds: keeps the parser from reading anything but absence as NULL.
-_NEVER = "\u0001"
 _DIALECT = {
     "header": "true",
     "quote": '"',
@@ -134,7 +132,7 @@ def read_text(spark: SparkSession, path: str, columns: Sequence[str], multiline:
     return (
         spark.read.schema(schema)
         .options(**_DIALECT)
-        .option("nullValue", _NEVER)
+        .option("nullValue", "")  # no mark in the text: what NULL is, the decoders say
         .option("emptyValue", "")
         .option("mode", "FAILFAST")
         .option("enforceSchema", "false")

@@ -9,6 +9,7 @@ Layout under ``path`` (all on shared storage)::
     log/gen=<g>/batch=<query>-<id>   net effect of one batch, rewritten whole when it is retried
     progress/batch=<query>-<id>      applied changes and highest position of that batch
     base/v=<g>                       table version of generation g (0 is the given base table)
+    folded/v=<g>                     net effect of all changes that moved into base/v=<g>
     versions/v=<g>                   one row per finished generation; the highest one is current
 
 Batch ids count within one streaming query, so folders carry the query's id: a query started anew
@@ -139,10 +140,11 @@ class Replica:
         if query == folded_query and batch_id <= upto:
             return
         changes = self._typed(binary_positions(batch))
+        net = net_changes(changes, self.keys, self.columns, count_as="changes")
         if low_water:
-            changes = changes.where(F.col("start_lsn") >= F.lit(lsn_bytes(low_water)))
+            net = self._with_folded(net, changes, generation, low_water)
         path = f"{self.path}/log/gen={generation}/batch={query}-{batch_id}"
-        net_changes(changes, self.keys, self.columns, count_as="changes").write.mode("overwrite").parquet(path)
+        net.write.mode("overwrite").parquet(path)
         # Counted from the finished files, so retried tasks are never counted twice.
         done = self.spark.read.parquet(path)
         done.agg(
@@ -152,12 +154,32 @@ class Replica:
             format_lsn(F.max("_last.pos.lsn")).alias("max_lsn"),
         ).coalesce(1).write.mode("overwrite").json(f"{self.path}/progress/batch={query}-{batch_id}")
 
+    def _folded(self, generation: int) -> DataFrame | None:
+        """Net effect of everything that earlier generations moved into the base, one row per changed key."""
+        path = f"{self.path}/folded/v={generation}"
+        return self.spark.read.schema(self._net_schema()).parquet(path) if path_exists(self.spark, path) else None
+
+    def _with_folded(self, net: DataFrame, changes: DataFrame, generation: int, low_water: str) -> DataFrame:
+        """``net`` with what the base already holds of keys that have changes below the low-water position.
+
+        Together they give the newest row and the newest delete, so a change that comes late merges in its
+        place and a replay changes nothing.
+        """
+        folded = self._folded(generation)
+        if folded is None:
+            return net
+        late = changes.where(F.col("start_lsn") < F.lit(lsn_bytes(low_water))).select(*self.keys).distinct()
+        held = folded.join(late, list(self.keys), "left_semi").withColumn("changes", F.lit(0).cast("long"))
+        newest = [F.max("_last").alias("_last"), F.max("_erased").alias("_erased"), F.sum("changes").alias("changes")]
+        return net.unionByName(held.select(*net.columns)).groupBy(*self.keys).agg(*newest)
+
     def fold(self, low_water: str, upto_batch: int, query: str = MANUAL) -> None:
         """Start a new generation: changes below ``low_water`` move into the base table.
 
-        Only call it between batches of ``query``, with a position no later change can fall below. Keys whose
-        newest change is at or above it stay in the log, so replays remain no-ops. Finished
-        generations are left in place for readers; the versions row is written last.
+        Only call it between batches of ``query``. Keys whose newest change is at or above the position stay in
+        the log, so replays remain no-ops; the net effect of the others is kept beside the base, so that a
+        change that comes later still merges in its place. Finished generations are left in place for readers;
+        the versions row is written last.
         """
         generation, *_ = self.version()
         parts, following = self._parts(generation), generation + 1
@@ -167,8 +189,13 @@ class Replica:
             net.where(~settled).write.mode("overwrite").parquet(f"{self.path}/log/gen={following}/batch=-1")
             small = fits_broadcast(parts)
             base = apply_net(self._base(generation), net.where(settled), self.keys, self.columns, broadcast=small)
+            folded, before = net.where(settled), self._folded(generation)
+            folded = folded if before is None else merge_net(folded.unionByName(before), self.keys)
+            folded.write.mode("overwrite").parquet(f"{self.path}/folded/v={following}")
         else:
-            base = self._base(generation)
+            base, before = self._base(generation), self._folded(generation)
+            if before is not None:
+                before.write.mode("overwrite").parquet(f"{self.path}/folded/v={following}")
         base.write.mode("overwrite").parquet(f"{self.path}/base/v={following}")
         row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((following, query, upto_batch, low_water), VERSIONS, strict=True)]
         self.spark.range(1).select(*row).write.mode("overwrite").json(f"{self.path}/versions/v={following}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movekit.functions.lsn import format_lsn, lsn_number, parse_lsn, range_ok
+from movekit.functions.lsn import format_lsn, lsn_bytes, lsn_number, parse_lsn, range_ok
 from movekit.operators import changes as C
 from movekit.plans import health as H
 from movekit.plans import ranges as P
@@ -98,6 +98,29 @@ def cdc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(replica.snapshot())
 
 
+@query(APPLIED)
+def cdc_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches with a fold between them; a fifth of the early changes comes late, and early ones come again."""
+    changes = feed(spark, sf_dir)
+    top = int(C.feed_head(changes).head()["max_lsn"][2:], 16)
+    low = f"0x{top - top // 4:020x}"
+    early, straggling = F.col("start_lsn") < F.lit(lsn_bytes(low)), F.pmod(F.xxhash64("start_lsn", "seqval"), F.lit(5)) == 0
+    replica = Replica(spark, scratch(spark, "replica"), base(spark, sf_dir), KEYS, COLUMNS)
+    replica.absorb(changes.where(early & ~straggling), 0)
+    replica.fold(low, 0)
+    replica.absorb(changes.where(early & straggling), 1)
+    replica.absorb(changes.where(~early), 2)
+    replica.fold(low, 2)
+    replica.absorb(changes, 3)
+    return shown(replica.snapshot())
+
+
+@query("SELECT o_custkey, CAST(COUNT(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 1")
+def cdc_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that could not be a key of orders."""
+    return C.duplicate_keys(table(spark, sf_dir, "orders"), ["o_custkey"])
+
+
 @query(
     f"""WITH {FEED} SELECT CASE op WHEN 1 THEN 'delete' WHEN 3 THEN 'skip' ELSE 'upsert' END AS action,
  CAST(COUNT(*) AS BIGINT) AS n FROM feed GROUP BY 1"""

@@ -280,9 +280,9 @@ def plan_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 3, "orc").otherwise("CSV").alias("format"),
         F.when(k % 13 == 4, "zip").when(k % 2 == 0, "gzip").otherwise("none").alias("compression"),
         F.when(k % 17 == 5, "words").otherwise("bitmap").alias("null_encoding"),
-        F.when(k % 19 == 6, "magic").when(k % 3 == 0, "xdb-import-into").otherwise("").alias("engine"),
+        F.when(k % 38 == 6, "magic").when(k % 19 == 6, "qdb-lightning").when(k % 3 == 0, "xdb-import-into").otherwise("").alias("engine"),
     )
-    return I.settings_violations(settings)
+    return I.settings_violations(settings, vendor="xdb")
 
 
 @query(

@@ -188,5 +188,10 @@ def test_rfc3339_and_digests(spark):
 
 
 def test_engine_names(spark):
-    got = many(spark, [None, "", "X-Import-Into", "lightning", "magic"], S.engine_name)
-    assert got == ["sql-insert", "sql-insert", "import-into", "lightning", "magic"]
+    names = [None, "\t", "X-Import-Into", "lightning", "magic", "y-lightning"]
+    assert many(spark, names, lambda c: S.engine_name(c, "x")) == ["sql-insert", "sql-insert", "import-into", "lightning", "magic", "y-lightning"]
+    assert many(spark, ["x-lightning"], S.engine_name) == ["x-lightning"]
+
+
+def test_white_space_of_any_kind_is_blank(spark):
+    assert many(spark, ["\n", "\u00a0\t\u2003", "", None, "\u200b", "a\n"], S.blank) == [True, True, True, True, False, False]

@@ -50,7 +50,7 @@ def test_backslash_n_text(spark, tiny):
     assert lines_of(path) == ["id,name,active\n1,Ada,true\n2,\\N,false\n"]
 
 
-HOSTILE = ["", None, " ", "a,b", '"', '""', 'say "hi"', "line\nbreak", "cr\rlf\r\n", "\\", "\\\\N", "tail\\", "\t", "é漢", " lead", "trail ", "''", "null", "#x", "0"]
+HOSTILE = ["", None, " ", "a,b", '"', '""', 'say "hi"', "line\nbreak", "cr\rlf\r\n", "\\", "\\\\N", "tail\\", "\t", "é漢", " lead", "trail ", "''", "null", "#x", "0", "\u0001", "\u0002x", "\u001f", "a\u0000b", "\u007f"]
 
 
 @pytest.mark.parametrize("encoding", ["bitmap", "backslash-n"])
@@ -66,7 +66,7 @@ def test_hostile_values_round_trip(spark, encoding, codec):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.one_of(st.none(), st.text(st.characters(codec="utf-8", exclude_characters="\x00\x01", exclude_categories=["Cs"]), max_size=12)), min_size=1, max_size=40))
+@given(st.lists(st.one_of(st.none(), st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=12)), min_size=1, max_size=40))
 def test_decode_undoes_encode(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").coalesce(1)
     path = scratch(spark, "t")
@@ -227,8 +227,6 @@ def test_audits_match_the_bytes(spark, sf_dir):
         rows = gzip.decompress(data).count(b"\n") - 1
         assert found[os.path.basename(name)] == (rows, len(data), "sha256:" + hashlib.sha256(data).hexdigest())
     assert len(found) == len(glob.glob(f"{local(path)}/*.csv.gz"))
-    streamed = {r["uri"]: (r["bytes"], r["sha256"]) for r in A.stored_files(spark, path, whole_bytes=1).collect()}
-    assert {os.path.basename(k): v for k, v in streamed.items()} == {k: v[1:] for k, v in found.items()}
 
 
 def test_empty_file_counts_zero(spark):
