@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movekit.session import path_exists
-from movekit.sources.csvio import write_csv
+from movekit.session import folder_names
+from movekit.sources.csvio import BITMAP, check_compression, write_csv
 
 CHUNK = "chunk_id"
 
@@ -71,11 +71,53 @@ def export_planned(
     outside = F.raise_error(F.lit("a row belongs to no chunk of the plan"))
     tagged = df.withColumn(CHUNK, place.otherwise(outside)).hint("rebalance", CHUNK)
     write_csv(tagged, path, null_encoding, compression, rows_per_file, by=[CHUNK])
-    spark, nothing = df.sparkSession, df.limit(0)
-    for chunk_id in chunks:
-        folder = chunk_folder(path, chunk_id)
-        if not path_exists(spark, folder):  # a chunk without rows still has its header
-            write_csv(nothing, folder, null_encoding, compression)
+    _headers_of_empty(df, path, chunks, null_encoding, compression)
+
+
+def _headers_of_empty(df: DataFrame, path: str, chunks: Iterable[str], null_encoding: str, compression: str) -> None:
+    """A chunk without rows still has its header: one listing tells which, one job writes all of them."""
+    missing = sorted(set(chunks) - {x.removeprefix(f"{CHUNK}=") for x in folder_names(df.sparkSession, path)})
+    if not missing:
+        return
+    names = [*df.columns, BITMAP] if null_encoding == "bitmap" else df.columns
+    line = ",".join('"' + n.replace('"', '""') + '"' if any(c in n for c in ',"\r\n') else n for n in names)
+    rows = df.sparkSession.createDataFrame([(c, line) for c in missing], f"{CHUNK} string, value string")
+    rows.write.mode("append").partitionBy(CHUNK).option("compression", check_compression(compression)).text(path)
+
+
+def export_ranged(
+    df: DataFrame,
+    path: str,
+    key: str,
+    bounds: Sequence,
+    chunk_ids: Sequence[str],
+    null_encoding: str = "bitmap",
+    compression: str = "none",
+    rows_per_file: int = 0,
+) -> None:
+    """Write chunks that are ranges of ``key``, any number of them, in one pass over the table.
+
+    Chunk ``i`` holds the keys from ``bounds[i - 1]`` (ascending) up to below ``bounds[i]``; rows without a
+    key go to the first. A row finds its chunk by a binary search in one constant array, so the time
+    hardly depends on the number of chunks.
+    """
+    if len(chunk_ids) != len(bounds) + 1 or any(a >= b for a, b in zip(bounds, bounds[1:], strict=False)):
+        raise ValueError("chunks need one id more than ascending bounds")
+    kind = df.schema[key].dataType.simpleString()
+    ids = F.split(F.lit("\n".join(chunk_ids)), "\n")
+    place = F.lit(0)
+    if bounds:
+        edges = F.split(F.lit("\n".join(str(b) for b in bounds)), "\n").cast(f"array<{kind}>")
+        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        value = F.col("`" + key.replace("`", "``") + "`")
+        place = F.aggregate(
+            F.array(*[F.lit(s) for s in steps]),
+            F.lit(0),
+            lambda low, step: F.when((low + step <= len(bounds)) & (F.get(edges, low + step - 1) <= value), low + step).otherwise(low),
+        )
+    tagged = df.withColumn(CHUNK, F.get(ids, place)).hint("rebalance", CHUNK)
+    write_csv(tagged, path, null_encoding, compression, rows_per_file, by=[CHUNK])
+    _headers_of_empty(df, path, chunk_ids, null_encoding, compression)
 
 
 def require_empty(target: DataFrame) -> None:

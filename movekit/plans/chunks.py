@@ -84,6 +84,13 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
+def split_bounds(df: DataFrame, key: str, chunks: int) -> list:
+    """Ascending inner bounds of ``chunks`` ranges of similar size; fewer where one value fills several."""
+    points = [i / chunks for i in range(1, chunks)]
+    found = df.agg(F.percentile_approx(F.col("`" + key.replace("`", "``") + "`"), points, max(10_000, 20 * chunks)).alias("b")).head()["b"] if points else []
+    return sorted(set(found or []))
+
+
 def split_predicates(df: DataFrame, key: str, chunks: int, tiebreak: Sequence[str] = ()) -> list[str]:
     """Predicates that put every row, NULL keys included, in exactly one chunk of similar size.
 

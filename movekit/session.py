@@ -59,6 +59,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path, from one listing of its Hadoop file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return [x.getPath().getName() for x in found if x.isDirectory()]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on its Hadoop file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
