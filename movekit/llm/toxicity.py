@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from movekit.llm.common import narrow
 from movekit.llm.quality import training_rows
+from movekit.session import stage
 
 # Word classes of the grammar in four languages.
 TARGETS = "you your you're youre u ur yourself he she they him her them du dich dir euch sie tu te toi vous usted ustedes ti".split()
@@ -171,7 +172,7 @@ def learn_insults(rows: DataFrame, *, most: int = 500, least_g2: float = 20.0, l
             yield pd.DataFrame({"form": keys, "clean": [seen[0][k] for k in keys], "toxic": [seen[1][k] for k in keys]})
 
     counts = rows.mapInPandas(count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where("form = '' or toxic >= 3")
+    counts = stage(counts.where("form = '' or toxic >= 3"), "toxic-forms")
     total = counts.where("form = ''").first()
     if total is None or not total["clean"] or not total["toxic"]:
         return {}
@@ -210,7 +211,8 @@ def score_toxicity(
     Returns ``<id>, held_out, score, predicted, n_clauses``.
     """
     fold = f"crc32(cast(cast(id as string) as binary)) % {folds} = {held_fold}"
-    train = training_rows(docs, labels, label, fold, max_train, id_col, text_col)
+    # Read twice, and at most ``max_train`` texts.
+    train = stage(training_rows(docs, labels, label, fold, max_train, id_col, text_col), "toxic-train")
     lexicon_words = learn_insults(train)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
