@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,16 +148,28 @@ def target_schema(mapped_table: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(r["name"], T.DataType.fromDDL(r["spark_type"])) for r in rows])
 
 
-def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def conform(
+    df: DataFrame, schema: T.StructType, lengths: Mapping[str, int] | None = None, exact: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(rows cast to ``schema``, rejected text rows with the columns that did not fit).
 
+    ``lengths`` bounds the characters of text columns, as the n of char(n) and varchar(n) does. With
+    ``exact`` a number that its decimal column would round does not fit either.
     Both results come from the same expressions over one scan each; nothing is dropped.
     """
     cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema}
-    misfits = F.filter(
-        F.array(*[F.when(F.col(f"`{n}`").isNotNull() & c.isNull(), F.lit(n)) for n, c in cast.items()]),
-        lambda x: x.isNotNull(),
-    )
+
+    def wrong(field: T.StructField) -> Column:
+        text, value = F.col(f"`{field.name}`"), cast[field.name]
+        bad = text.isNotNull() & value.isNull()
+        if lengths and field.name in lengths:
+            bad = bad | F.coalesce(F.length(text) > lengths[field.name], F.lit(False))
+        if exact and isinstance(field.dataType, T.DecimalType):
+            digits = rf"\.\d{{{field.dataType.scale}}}\d*[1-9]"
+            bad = bad | F.coalesce(text.cast("string").rlike(digits), F.lit(False))
+        return bad
+
+    misfits = F.filter(F.array(*[F.when(wrong(f), F.lit(f.name)) for f in schema]), lambda x: x.isNotNull())
     marked = df.withColumn("_misfits", misfits)
     good = marked.where(F.size("_misfits") == 0).select(*[c.alias(n) for n, c in cast.items()])
     bad = marked.where(F.size("_misfits") > 0).withColumnRenamed("_misfits", "misfits")

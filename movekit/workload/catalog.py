@@ -269,8 +269,34 @@ def _expected_target(text: str) -> tuple[str, str, str]:
         "nvarchar": ("VARCHAR(255)", "string", ""),
         "binary": ("BLOB", "binary", ""),
         "varbinary": ("BLOB", "binary", ""),
+        "bigint": ("BIGINT", "bigint", ""),
+        "int": ("INT", "int", ""),
+        "smallint": ("SMALLINT", "smallint", ""),
+        "tinyint": ("TINYINT", "smallint", ""),
+        "bit": ("TINYINT(1)", "boolean", ""),
+        "money": ("DECIMAL(19,4)", "decimal(19,4)", ""),
+        "smallmoney": ("DECIMAL(10,4)", "decimal(10,4)", ""),
+        "float": ("DOUBLE", "double", ""),
+        "real": ("FLOAT", "float", ""),
+        "text": ("TEXT", "string", ""),
+        "ntext": ("TEXT", "string", ""),
+        "date": ("DATE", "date", ""),
+        "datetime": ("DATETIME", "timestamp_ntz", ""),
+        "datetime2": ("DATETIME", "timestamp_ntz", ""),
+        "smalldatetime": ("DATETIME", "timestamp_ntz", ""),
+        "datetimeoffset": ("DATETIME", "timestamp", "type_offset"),
+        "time": ("TIME", "string", ""),
+        "image": ("BLOB", "binary", ""),
+        "uniqueidentifier": ("CHAR(36)", "string", ""),
+        "xml": ("TEXT", "string", "type_xml"),
+        "rowversion": ("VARBINARY(8)", "binary", "type_rowversion"),
+        "timestamp": ("VARBINARY(8)", "binary", "type_rowversion"),
+        "sql_variant": ("TEXT", "string", "type_variant"),
+        "hierarchyid": ("TEXT", "string", "type_hierarchy"),
+        "geometry": ("BLOB", "binary", "type_spatial"),
+        "geography": ("BLOB", "binary", "type_spatial"),
     }
-    return fixed.get(text) or M.RULES[text]
+    return fixed[text]
 
 
 MAPPED = (
@@ -569,3 +595,18 @@ UNION ALL SELECT check_id, 'id_repeated' FROM o WHERE check_id <> '' GROUP BY ch
 )
 def check_plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.validate_checks(_written_checks(spark, sf_dir))
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, len(o_orderpriority) > 8 AS too_long, o_orderkey % 5 = 0 AS rounded
+ FROM orders WHERE len(o_orderpriority) > 8 OR o_orderkey % 5 = 0"""
+)
+def conform_sized_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text beyond its column's length and numbers that a decimal column would round."""
+    k = F.col("o_orderkey")
+    price = F.concat(F.floor("o_totalprice").cast("string"), F.when(k % 5 == 0, ".125").otherwise(".120"))
+    rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("o_orderkey"), price.alias("price"), "o_orderpriority")
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("price", T.DecimalType(18, 2)), T.StructField("o_orderpriority", T.StringType())])
+    _, bad = M.conform(rows, schema, {"o_orderpriority": 8}, exact=True)
+    has = lambda name: F.array_contains("misfits", name)
+    return bad.select("o_orderkey", has("o_orderpriority").alias("too_long"), has("price").alias("rounded"))

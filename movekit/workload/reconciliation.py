@@ -117,23 +117,28 @@ def reconcile_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SKEWED = """
-WITH s AS (SELECT l_suppkey, CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem),
-v AS (SELECT CAST(CAST(SUM(CAST(qty AS DECIMAL(38,6)) + CAST(price AS DECIMAL(38,6))) AS DECIMAL(38,6)) AS VARCHAR) AS total,
- CAST(CAST(COALESCE(SUM(CASE WHEN l_suppkey % 7 = 0 THEN CAST(qty AS DECIMAL(38,6)) + CAST(price AS DECIMAL(38,6)) END),0) AS DECIMAL(38,6)) AS VARCHAR) AS sampled,
- CAST(COUNT(*) AS VARCHAR) AS n FROM s)
+WITH s AS (SELECT l_suppkey, CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_orderkey % 1009 = 5 AS INTEGER) AS off FROM lineitem),
+d AS (SELECT l_suppkey, CAST(qty AS DECIMAL(38,6)) + CAST(price AS DECIMAL(38,6)) AS a, CAST(qty AS DECIMAL(38,6)) + CAST(price AS DECIMAL(38,6)) + off AS b FROM s),
+v AS (SELECT CAST(CAST(SUM(a) AS DECIMAL(38,6)) AS VARCHAR) AS a, CAST(CAST(SUM(b) AS DECIMAL(38,6)) AS VARCHAR) AS b,
+ CAST(CAST(COALESCE(SUM(a) FILTER (WHERE l_suppkey % 7 = 0), 0) AS DECIMAL(38,6)) AS VARCHAR) AS sa,
+ CAST(CAST(COALESCE(SUM(b) FILTER (WHERE l_suppkey % 7 = 0), 0) AS DECIMAL(38,6)) AS VARCHAR) AS sb, CAST(COUNT(*) AS VARCHAR) AS n FROM d)
 SELECT 'row_count' AS "check", n AS source_value, n AS target_value, true AS matched FROM v
-UNION ALL SELECT 'checksum', total, total, true FROM v
-UNION ALL SELECT 'sampled_hash', sampled, sampled, true FROM v
+UNION ALL SELECT 'checksum', a, b, a = b FROM v
+UNION ALL SELECT 'sampled_hash', sa, sb, sa = sb FROM v
 """
 
 
 @query(SKEWED)
 def reconcile_lineitem_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("qty"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
-    )
+    def side(price) -> DataFrame:  # noqa: ANN001
+        return table(spark, sf_dir, "lineitem").select(
+            "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("qty"), price.cast("decimal(18,2)").alias("price")
+        )
+
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    changed = price + F.when(F.col("l_orderkey") % 1009 == 5, 1).otherwise(0)
     spec = R.TableSpec(numeric=["qty", "price"], key="l_suppkey", modulo=7, checks=("row_count", "checksum", "sampled_hash"))
-    return R.reconcile(lines, lines, spec)
+    return R.reconcile(side(price), side(changed), spec)
 
 
 BUSINESS_SQL = """SELECT CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS v
