@@ -48,7 +48,7 @@ def commands_of(runs: DataFrame) -> DataFrame:
     )
 
 
-def _engine(args: Column) -> Column:
+def _engine(args: Column, vendor: str = "") -> Column:
     """Value of ``--engine v`` or ``--engine=v``; the first occurrence counts."""
     hits = F.filter(
         F.transform(
@@ -59,12 +59,13 @@ def _engine(args: Column) -> Column:
         ),
         lambda v: v.isNotNull(),
     )
-    return engine_name(F.get(hits, F.lit(0)))
+    return engine_name(F.get(hits, F.lit(0)), vendor)
 
 
-def audit_required(stage: Column, args: Column) -> Column:
+def audit_required(stage: Column, args: Column, vendor: str = "") -> Column:
+    """Exports and imports by known engines, whose names may carry the prefix ``vendor``."""
     stage = strip(stage)
-    return (stage == "export") | ((stage == "import") & _engine(args).isin(*AUDITED_ENGINES))
+    return (stage == "export") | ((stage == "import") & _engine(args, vendor).isin(*AUDITED_ENGINES))
 
 
 def _audit_complete(c: Column) -> Column:
@@ -173,10 +174,10 @@ def attempt_violations(runs: DataFrame) -> DataFrame:
     return of_commands.unionByName(of_attempts)
 
 
-def audit_violations(runs: DataFrame) -> DataFrame:
+def audit_violations(runs: DataFrame, vendor: str = "") -> DataFrame:
     """Commands of successful export and import runs without complete rows, bytes and digest."""
     c = F.col("c")
-    lacking = (strip("status") == "succeeded") & audit_required(F.col("stage"), c["args"]) & ~_audit_complete(c)
+    lacking = (strip("status") == "succeeded") & audit_required(F.col("stage"), c["args"], vendor) & ~_audit_complete(c)
     return commands_of(runs).where(lacking).select("run_id", strip("c.id").alias("command_id"), F.lit("audit_incomplete").alias("rule"))
 
 
@@ -228,7 +229,7 @@ def runlog_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def pending_work(items: DataFrame, runs: DataFrame) -> DataFrame:
+def pending_work(items: DataFrame, runs: DataFrame, vendor: str = "") -> DataFrame:
     """Work items (item_id, project, stage, fingerprint, args[]) without a reusable success.
 
     A success is reusable when it ran for the same fingerprint with the same arguments (as given
@@ -237,7 +238,7 @@ def pending_work(items: DataFrame, runs: DataFrame) -> DataFrame:
     c = F.col("c")
     clean = (c["exit_code"] == 0) & blank(c["error"])
     changes = (F.col("stage") != "cdc") | c["cdc_applied_changes"].isNotNull()
-    audited = ~audit_required(F.col("stage"), c["args"]) | _audit_complete(c)
+    audited = ~audit_required(F.col("stage"), c["args"], vendor) | _audit_complete(c)
     # Arguments meet as one digest, so that the join hashes a short key instead of an array.
     key = lambda args: F.sha2(F.to_json(args), 256)
     done = (
