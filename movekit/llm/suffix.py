@@ -18,11 +18,11 @@ from movekit.session import stage
 
 #: Period of the sample and a perfect difference set for it (fixed values): for any two positions there
 #: is exactly one shift below the period that moves both into the sample.
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 21
+COVER = (3, 6, 7, 12, 14)
 #: Bytes of a prefix that must be equal, and of the sampled names that decide about it.
 PREFIX = 50
-NAME = PREFIX - PERIOD + 1  # 20
+NAME = PREFIX - PERIOD + 1  # 30
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -39,10 +39,10 @@ def _power(n: int) -> np.uint64:
 
 
 def names(data: np.ndarray) -> np.ndarray:
-    """The name of the ``NAME`` bytes (20) from each position on, made from names of half the length.
+    """The name of the ``NAME`` bytes (30) from each position on: a triple of names of 10 bytes.
 
-    Names of 1, 2, 4 and 8 bytes are joined in pairs; the triple of the names of bytes 0-7, 8-15 and
-    16-19 names the 20 bytes. Equal strings have equal names.
+    Names of 1, 2, 4 and 8 bytes are made in turn from pairs of shorter ones, and 10 bytes are 8 and 2.
+    Equal strings have equal names.
     """
     n = len(data) - NAME + 1
     out = np.empty(max(n, 0), np.uint64)
@@ -53,7 +53,8 @@ def names(data: np.ndarray) -> np.ndarray:
             two = one[:-1] + one[1:] * _power(1)
             four = two[:-2] + two[2:] * _power(2)
             eight = four[:-4] + four[4:] * _power(4)
-            out[at : at + m] = mix64(eight[:m] + eight[8 : 8 + m] * _power(8) + four[16 : 16 + m] * _power(16))
+            ten = eight[: m + 20] + two[8 : m + 28] * _power(8)
+            out[at : at + m] = mix64(ten[:m] + ten[10 : 10 + m] * _power(10) + ten[20 : 20 + m] * _power(20))
     return out
 
 
@@ -295,7 +296,7 @@ def _context_messages(bits: int, n_buckets: int):
 
 
 def _earlier(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge one range of names: for each context, which of its 31 strings start in a smaller document too.
+    """Merge one range of names: for each context, which of its 21 strings start in a smaller document too.
 
     A suffix that is not sampled itself is reached from the sampled name ``d`` bytes on. For every
     ``d`` the 50-byte prefixes are sorted, by a key of their bytes, and neighbours are compared byte by
@@ -363,19 +364,19 @@ def _removals(bits: int, n_buckets: int):
 
 
 def repeated_passages(
-    docs: DataFrame, *, block_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
     Method: a distributed difference-cover order of the suffixes, as deep as 50 bytes need it.
 
-    1. *Sample and sort.* Of every 31 positions of a document, counted from its start, the six of a perfect
+    1. *Sample and sort.* Of every 21 positions of a document, counted from its start, the five of a perfect
        difference set are sampled. Two equal 50-byte strings, wherever they start, have one common shift
-       below 31 at which both are sampled, and the 20 bytes there are equal. Each sampled position gets
-       the name of its 20 bytes, a triple of names of 8, 8 and 4 bytes, made in turn from shorter
+       below 21 at which both are sampled, and the 30 bytes there are equal. Each sampled position gets
+       the name of its 30 bytes, a triple of names of 10 bytes, made in turn from shorter
        names. Names are sorted per block and meet by ranges; those of two documents are repeated.
     2. *Merge the remaining suffixes.* A suffix, sampled or not, can only repeat if a repeated name lies less
-       than 31 bytes on. Each repeated name sends its surroundings (30 bytes before and behind) to the
+       than 21 bytes on. Each repeated name sends its surroundings (20 bytes before and behind) to the
        range of its name, where the 50-byte prefixes at every shift are sorted.
     3. *Compare adjacent prefixes.* Neighbours that are equal byte by byte are one string; the smallest id
        of the run keeps it.
@@ -407,7 +408,8 @@ def repeated_passages(
     n_buckets = -(-max(total, 1) // bucket_bytes)
     bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 10))
 
-    firsts = known.groupBy("sha").agg(F.min(F.struct("id", "block", "place")).alias("rep"))
+    # Written on its own, so that the join below reads a frequent text's rows in parts.
+    firsts = stage(known.groupBy("sha").agg(F.min(F.struct("id", "block", "place")).alias("rep")), "suffix-firsts")
     known = known.join(firsts, "sha").select("block", "place", "id", "n_bytes", "sha", "rep")
     known = stage(known, "suffix-copies")
     copies = known.where("block <> rep.block or place <> rep.place").select(
