@@ -39,20 +39,24 @@ def collections(sets: list[np.ndarray], n_left: int, n_right: int, rows: int, se
 def _summaries(n_left: int, n_right: int, rows: int, k: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [normal_words(t) for t in pdf["text"]]
-            sets = shingle_sets(texts, k)
-            digests = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
-            left, right = [None] * len(sets), [None] * len(sets)
-            block = [i for i, s in enumerate(sets) if len(s)]
-            while block:
-                part, size = [], 0
-                while block and (not part or size + len(sets[block[-1]]) <= 1 << 19):
-                    part.append(block.pop())
-                    size += len(sets[part[-1]])
-                keys = collections([sets[i] for i in part], n_left, n_right, rows, seed).view(np.int64)
-                for i, row in zip(part, keys, strict=True):
-                    left[i], right[i] = row[:n_left], row[n_left:]
-            yield pd.DataFrame({"id": pdf["id"], "digest": digests, "n": [len(s) for s in sets], "l": left, "r": right})
+            for at in range(0, len(pdf), 500):  # few texts at a time hold memory
+                yield summary(pdf.iloc[at : at + 500])
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [normal_words(t) for t in pdf["text"]]
+        sets = shingle_sets(texts, k)
+        digests = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
+        left, right = [None] * len(sets), [None] * len(sets)
+        block = [i for i, s in enumerate(sets) if len(s)]
+        while block:
+            part, size = [], 0
+            while block and (not part or size + len(sets[block[-1]]) <= 1 << 18):
+                part.append(block.pop())
+                size += len(sets[part[-1]])
+            keys = collections([sets[i] for i in part], n_left, n_right, rows, seed).view(np.int64)
+            for i, row in zip(part, keys, strict=True):
+                left[i], right[i] = row[:n_left], row[n_left:]
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "digest": digests, "n": [len(s) for s in sets], "l": left, "r": right})
 
     return run
 
@@ -161,9 +165,15 @@ def near_duplicates(
     links = links.unionByName(confirmed(star))
 
     left = mixed(left.select("key", "id"), connected_components(links))
-    outside = left.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    cross = outside.join(left, "key").where("cx <> component")
-    cross = cross.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
+    # A pair comes once: in the entry of the first left and the first right key that both have.
+    left = left.join(classes.select(F.col("rep").alias("id"), "l", "r"), "id")
+    outside = left.where("component <> largest").select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "l", "r")))
+    i = F.array_position(F.zip_with("l", "x_l", lambda a, b: a == b), True).cast("int") - 1
+    j = F.array_position(F.zip_with("r", "x_r", lambda a, b: a == b), True).cast("int") - 1
+    first = F.xxhash64(F.get("l", i), F.get("r", j), i * F.lit(n_right) + j)
+    once = F.expr("x_component <> component and (component = largest or x_id > id)")
+    cross = outside.join(left, (F.col("x_key") == F.col("key")) & once & (first == F.col("key")))
+    cross = cross.select(F.greatest("x_id", "id").alias("a"), F.least("x_id", "id").alias("b"))
     found = stage(connected_components(links.unionByName(confirmed(cross))), "near-components")
 
     final = classes.join(found, classes["rep"] == found["id"], "left").select(
