@@ -12,7 +12,7 @@ import numpy as np
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: White space to ``str.split`` but not to the tokenizer.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 800_000
 
 
 def default_path() -> str:
@@ -77,21 +77,18 @@ class WordTokenizer:
             self.words[w] = self.stems[stem] + self.marks[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out: list[bytes] = []
         for at in range(0, len(texts), 256):
-            parts = [None if _ODD_SPACE.search(t) else t.split() for t in texts[at : at + 256]]
-            missing = set().union(*(p for p in parts if p is not None)) - self.words.keys()
-            if missing:
-                self._learn(missing)
-            for t, p in zip(texts[at : at + 256], parts, strict=True):
-                if p is None:
-                    out.append(self._whole(t))
-                    continue
-                try:
-                    out.append(b"".join([self.words[w] for w in p]))
-                except KeyError:  # the table was emptied meanwhile
-                    self._learn(set(p) - self.words.keys())
-                    out.append(b"".join([self.words.get(w) or self._whole(w) for w in p]))
+            few = texts[at : at + 256]
+            parts = [None if _ODD_SPACE.search(t) else t.split() for t in few]
+            found = [None if p is None else list(map(self.words.get, p)) for p in parts]
+            gaps = [(p, f, [k for k, x in enumerate(f) if x is None]) for p, f in zip(parts, found, strict=True) if f is not None and None in f]
+            if gaps:
+                self._learn({p[k] for p, _, ks in gaps for k in ks})
+                for p, f, ks in gaps:
+                    for k in ks:
+                        f[k] = self.words[p[k]]
+            out += [self._whole(t) if f is None else b"".join(f) for t, f in zip(few, found, strict=True)]
         return out
 
 
