@@ -74,6 +74,16 @@ def _squeeze(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
+def _hint(blocks: DataFrame, size: int = 110_000) -> bytes:
+    """Some text of the first block, for compressing short pieces of text; no result depends on it."""
+    first = blocks.select("text").first()
+    return zstandard.ZstdDecompressor().decompress(first["text"])[:size] if first else b""
+
+
+def _dictionary(hint: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(hint or bytes(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def _loose(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
@@ -279,30 +289,40 @@ def _shifts(before: np.ndarray, behind: np.ndarray) -> np.ndarray:
     return every.astype(np.uint32)
 
 
-def _context_messages(bits: int, n_buckets: int):
+def _context_messages(bits: int, n_buckets: int, hint: bytes):
     """Every repeated sampled name of a block sends its surroundings to the name's range."""
 
     def run(key: tuple, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, pack_rows = [], zstandard.ZstdCompressor(level=5, dict_data=_dictionary(hint))
         for row in blocks.itertuples(index=False):
             found = Occurrences(_open(row), told, bits, n_buckets)
             for b, own in found.parts(n_buckets):
                 table, places = np.unique(found.first[own], return_inverse=True)
-                rows = zstandard.ZstdCompressor(level=5).compress(found.rows[own].tobytes())
+                rows = pack_rows.compress(found.rows[own].tobytes())
                 out.append((b, row.block, rows, table.tobytes(), _squeeze(places.astype(np.uint32))))
         return pd.DataFrame(out, columns=["bucket", "block", "rows", "ids", "places"])
 
     return run
 
 
-def _earlier(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _earlier_documents(hint: bytes):
+    """The merge of one range, given what the contexts were compressed with."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        unpack_rows = zstandard.ZstdDecompressor(dict_data=_dictionary(hint))
+        return _earlier(pdf, [np.frombuffer(unpack_rows.decompress(x), np.uint8) for x in pdf["rows"]])
+
+    return run
+
+
+def _earlier(pdf: pd.DataFrame, parts: list[np.ndarray]) -> pd.DataFrame:
     """Merge one range of names: for each context, which of its 21 strings start in a smaller document too.
 
     A suffix that is not sampled itself is reached from the sampled name ``d`` bytes on. For every
     ``d`` the 50-byte prefixes are sorted, by a key of their bytes, and neighbours are compared byte by
     byte; the smallest id of a run of equal ones is the document that keeps the string.
     """
-    rows = np.concatenate([_loose(x, np.uint8).reshape(-1, WIDTH + 2) for x in pdf["rows"]])
+    rows = np.concatenate(parts).reshape(-1, WIDTH + 2)
     ids = np.concatenate([np.frombuffer(t, np.int64)[_loose(x, np.uint32)] for t, x in zip(pdf["ids"], pdf["places"], strict=True)])
     inside = _shifts(rows[:, WIDTH], rows[:, WIDTH + 1])
     keys = np.empty((PERIOD, len(rows)), np.uint64)
@@ -405,8 +425,8 @@ def repeated_passages(
     where = "block long, place long, id long, n_bytes long, sha binary"
     known = stage(blocks.mapInPandas(_digests, where), "suffix-documents")
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = -(-max(total, 1) // bucket_bytes)
-    bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 10))
+    n_buckets, hint = -(-max(total, 1) // bucket_bytes), _hint(blocks)
+    bits = min(64, max(32, int(total * len(COVER) / PERIOD).bit_length() + 9))
 
     # Written on its own, so that the join below reads a frequent text's rows in parts.
     firsts = stage(known.groupBy("sha").agg(F.min(F.struct("id", "block", "place")).alias("rep")), "suffix-firsts")
@@ -422,9 +442,9 @@ def repeated_passages(
     told = stage(shared.unionByName(copies), "suffix-shared")
 
     contexts = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-        _context_messages(bits, n_buckets), "bucket long, block long, rows binary, ids binary, places binary"
+        _context_messages(bits, n_buckets, hint), "bucket long, block long, rows binary, ids binary, places binary"
     )
-    earlier = contexts.groupBy("bucket").applyInPandas(_earlier, reply).withColumn("place", F.lit(None).cast("long"))
+    earlier = contexts.groupBy("bucket").applyInPandas(_earlier_documents(hint), reply).withColumn("place", F.lit(None).cast("long"))
     replies = told.withColumn("phase", F.lit(1)).unionByName(earlier.withColumn("phase", F.lit(2)))
     cut = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
         _removals(bits, n_buckets), "block long, place long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha binary"
