@@ -55,7 +55,9 @@ def _summaries(n_left: int, n_right: int, rows: int, k: int, seed: int):
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [normal_words(t) for t in pdf["text"]]
         sets = shingle_sets(texts, k)
-        digests = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
+        # All shingles of a text are one only if it repeats one word or has at most ``k``: its first ``k`` words tell it.
+        alike = [b" ".join(t.split(b" ", k)[:k]) if len(s) == 1 else t for t, s in zip(texts, sets, strict=True)]
+        digests = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in alike]
         left, right, short = ([None] * len(sets) for _ in range(3))
         block = [i for i, s in enumerate(sets) if len(s)]
         while block:
@@ -102,7 +104,8 @@ def near_duplicates(
     ``(n_left + n_right) * rows`` minhashes. With the defaults 100 tables cost 60 minhashes instead of
     600, and a pair at 0.85 shares a table with probability 0.9998.
 
-    Texts with the same words are one class from the start, represented by the smallest id. Inside a
+    Texts with the same words, and texts of the same single shingle (one word repeated ``k`` times or more
+    often), are one class from the start, represented by the smallest id. Inside a
     table entry, members are first compared with the entry's smallest member only, a star, then in some
     entries with another one, and the confirmed links give components. Then entries that still hold
     several components have every member outside the entry's largest component compared with all
@@ -134,8 +137,9 @@ def near_duplicates(
     table_keys = F.flatten(
         F.transform("l", lambda a, i: F.transform("r", lambda b, j: F.xxhash64(a, b, i * F.lit(n_right) + j)))
     )
-    # A text of one shingle is linked with its own class only.
-    entries = classes.where("n > 1").select(F.col("rep").alias("id"), F.explode(table_keys).alias("key"))
+    # A text of one shingle shares a class with all that have the same one; others have two or more and are similar to it by half at most.
+    several = classes.where("n > 1") if percent > 50 else classes
+    entries = several.select(F.col("rep").alias("id"), F.explode(table_keys).alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub")).where("members > 1")
     members = stage(entries.join(shared, "key").select("key", "id", "hub"), "near-members")
 

@@ -152,6 +152,14 @@ def test_near_duplicates_in_a_group_whose_smallest_is_far_from_most(spark):
     assert Counter(map(tuple, near_duplicates(df).collect())) == brute_near(rows)
 
 
+def test_near_duplicates_of_one_repeated_word(spark):
+    texts = ["x " * 5, "X " * 6, "x " * 9, "x " * 500, "x " * 4, "x y", "ha " * 7, "ha " * 6, "x x x x x y"]
+    rows = [*enumerate(texts, 1), (1, "x " * 7), (None, "x " * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (85, 50):
+        assert Counter(map(tuple, near_duplicates(df, percent=percent).collect())) == brute_near(rows, percent)
+
+
 # 4 packing
 
 
