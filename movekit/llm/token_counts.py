@@ -92,9 +92,11 @@ def count_tokens(spark: SparkSession, folder: str, *, end: int, width: int = 2)
     return ends.select("file", (F.col("base") + F.col("k")).alias("turn"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"))
 
 
-def document_tokens(docs: DataFrame, *, end: int = 49407, width: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_tokens(docs: DataFrame, *, end: int = 65535, width: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` as flat token files and counts the tokens of every document from them.
 
+    ``end`` is outside the vocabulary, so that a text may hold any id, those of special tokens included.
+
     Defined results: null and empty texts have 0 tokens; repeated rows are counted one by one; rows
     with a null id are left out, as files carry ids as numbers; an empty table gives no rows.
 

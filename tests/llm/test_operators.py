@@ -359,6 +359,20 @@ def test_separators_across_blocks(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_special_tokens_are_those_of_the_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_path())
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|><|endoftext|>", "x<|ENDOFTEXT|>y <|endoftext|>.", "<|endof text|>", "it's <|endoftext|>\x1c!", "plain"]
+    want = {i: np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts)}
+    assert want[0].tolist() == [3306, 49407, 1002]
+    assert WordTokenizer(default_path()).encode(texts) == [x.tobytes() for x in want.values()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in pack_sequences(df).collect()}
+    assert packed == {i: (len(x) + 1, zlib.crc32(np.append(x, 0).astype("<u4").tobytes())) for i, x in want.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in document_tokens(df).collect()} == {i: len(x) for i, x in want.items()}
+
+
 # 9 repeated passages
 
 
