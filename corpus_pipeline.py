@@ -1,7 +1,8 @@
 """Stages that turn raw documents into training sequences.
 
 Every stage works on all that its predecessor kept, which is written as Parquet and read again.
-Joins back to the documents are null-safe, so a row without an id is treated like any other.
+Decisions are per row: a stage gives its rows a key, written with them, and joins back by it, so rows that
+repeat an id or have none are treated like any other.
 """
 
 from __future__ import annotations
@@ -14,40 +15,50 @@ from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
 from movekit.llm.packing import pack_sequences
 from movekit.llm.quality import score_quality
-from movekit.session import scratch
+from movekit.session import scratch, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The key of a row within one stage.
+ROW = "row_key"
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``."""
-    wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a key each, written so that all readers see the same keys."""
+    return stage(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose key is among ``rows``."""
+    return keyed.join(rows.select(ROW), ROW, "left_semi").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, score_quality(docs, labels).where("predicted = 1"))
+    labels, keyed = spark.read.parquet(f"{sf_dir}/labels.parquet"), _keyed(docs)
+    return _only(keyed, score_quality(keyed, labels, row_col=ROW).where("predicted = 1"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts stays."""
-    return _only(docs, exact_duplicates(docs).where("kept"))
+    """One row of each group of identical texts stays, one with the largest id."""
+    keyed = _keyed(docs)
+    found = exact_duplicates(keyed.select(F.struct("doc_id", ROW).alias("own"), "text"), id_col="own")
+    return _only(keyed, found.where("kept").select(f"own.{ROW}"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return _only(docs, near_duplicates(docs).where("kept"))
+    """One row of each group of near duplicates stays, one with the smallest id; no id comes last."""
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed, id_col=ROW).select(ROW, "component_id").join(keyed.select(ROW, "doc_id"), ROW)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW))
+    return _only(keyed, found.groupBy("component_id").agg(least.alias("own")).select(f"own.{ROW}"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a row per copy."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("wanted")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    docs = docs.select(*COLUMNS)
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["wanted"]))
+    """Every row as often as the mix takes it; a row per copy."""
+    keyed = _keyed(docs)
+    copies = mix(keyed, row_col=ROW).where("copies > 0").select(ROW, "copies")
     turns = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    return taken.select(*(docs[c] for c in COLUMNS), F.explode(turns).alias("turn")).drop("turn")
+    return keyed.join(copies, ROW).select(*COLUMNS, F.explode(turns).alias("turn")).drop("turn")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +81,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

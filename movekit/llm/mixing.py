@@ -123,6 +123,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """How often each document is taken so that every source comes near its target in words.
 
@@ -141,12 +142,14 @@ def mix(
     its block and its coins and are rounded one by one; an empty table gives no rows. The coins depend
     on id and seed alone, so reruns agree; a null id draws as -1.
 
-    Returns ``<id>, size, source_size, target, taken, copies``; ``taken`` is ``size * copies``.
+    Returns ``<id>, size, source_size, target, taken, copies``; ``taken`` is ``size * copies``. If ``row_col``,
+    a key of the row, is named, it comes last.
     """
     spark = docs.sparkSession
     n = shuffle_width(spark)
-    rows = narrow(docs, id_col, source_col, text_col).select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
+    carried = [row_col] if row_col else []
+    rows = narrow(docs, id_col, source_col, text_col, *carried).select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *carried
     )
     rows = stage(rows, "mix-sizes")
     targets = stage(source_targets(rows, weights=weights, share=share, limit=limit), "mix-targets")
@@ -156,14 +159,14 @@ def mix(
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(salts)).cast("int"))
     wide = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = rows["source"].eqNullSafe(wide["source"]) & (rows["salt"] == wide["salt"])
-    joined = rows.join(wide, same).select("id", rows["source"], "size", "source_size", "target", "n_docs")
+    joined = rows.join(wide, same).select("id", rows["source"], "size", "source_size", "target", "n_docs", *carried)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("ratio", F.least(ratio, F.lit(float(limit))))
     n_blocks = F.ceil(F.col("n_docs") / F.lit(block_docs)).cast("long")
     items = joined.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), F.lit(seed)), n_blocks))
     items = items.withColumn("base", F.floor("ratio").cast("long")).withColumn("p", F.col("ratio") - F.floor("ratio"))
     id_type = items.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, source string, size long, source_size long, target double, base long, p double, block long, take long, open boolean"
+    schema = f"id {id_type}, source string, size long, source_size long, target double, base long, p double, block long, take long, open boolean" + "".join(f", {c} long" for c in carried)
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].fillna(-1).to_numpy(np.int64)
@@ -183,9 +186,9 @@ def mix(
         fraction = np.zeros(len(pdf))
         if left >= 0:
             is_open[left], fraction[left] = True, p
-        out = pdf[["id", "source", "size", "source_size", "target", "base", "block"]].copy()
+        out = pdf[["id", "source", "size", "source_size", "target", "base", "block", *carried]].copy()
         out["p"], out["take"], out["open"] = fraction, take, is_open
-        return out[["id", "source", "size", "source_size", "target", "base", "p", "block", "take", "open"]]
+        return out[["id", "source", "size", "source_size", "target", "base", "p", "block", "take", "open", *carried]]
 
     done = stage(items.drop("ratio", "n_docs").groupBy("source", "block").applyInPandas(first, schema), "mix-blocks")
     settled, level = [done.where("not open")], 0
@@ -195,7 +198,7 @@ def mix(
         level += 1
         most = -(-most // fan_in)
         step = residual.withColumn("block", F.floor(F.col("block") / F.lit(fan_in)).cast("long"))
-        step = step.select("id", "source", "size", "source_size", "target", "base", "p", "block")
+        step = step.select("id", "source", "size", "source_size", "target", "base", "p", "block", *carried)
         step = stage(step.groupBy("source", "block").applyInPandas(again(level), schema), "mix-residuals")
         settled.append(step.where("not open"))
         residual = step.where("open")
@@ -205,5 +208,5 @@ def mix(
         out = out.unionByName(part)
     copies = F.col("base") + F.col("take")
     return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *carried
     )

@@ -171,7 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: str, lim
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train: int = 20_000, threshold: float = 0.3, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train: int = 20_000, threshold: float = 0.3, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
     """Quality of every whole text by a generalised additive model with pairwise interactions.
 
@@ -185,7 +185,7 @@ def score_quality(
     labels of both kinds every score is the share of label 1; ids labelled more than once count by
     majority; repeated rows are scored one by one; a null id is not held out; an empty table gives no rows.
 
-    Returns ``<id>, held_out, score, predicted``.
+    Returns ``<id>, held_out, score, predicted``, and ``row_col``, a key of the row, if one is named.
     """
     fold = f"crc32(cast(cast(id as string) as binary)) % {folds} = {held_fold}"
     train = training_rows(docs, labels, label, fold, max_train, id_col, text_col)
@@ -201,9 +201,11 @@ def score_quality(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s = model.score(_table(pdf["text"]))
-            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+            out = pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+            yield out.assign(**{c: pdf[c] for c in carried})
 
-    rows = narrow(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carried = [row_col] if row_col else []
+    rows = narrow(docs, id_col, text_col, *carried).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
     rows = rows.withColumn("held_out", F.coalesce(F.expr(fold), F.lit(False)))
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(score, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(score, f"id {id_type}, held_out boolean, score double, predicted int" + "".join(f", {c} long" for c in carried)).withColumnRenamed("id", id_col)
