@@ -126,11 +126,13 @@ def _cuts(values: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
-def _messages(block: int, values: np.ndarray, bits: int, n_buckets: int) -> pd.DataFrame:
-    """One packed row per bucket from distinct ascending values."""
-    cuts = _cuts(values, bits, n_buckets)
-    out = [(int(b), block, pack(values[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
-    return pd.DataFrame(out, columns=["bucket", "block", "names"])
+def _messages(block: int, values: np.ndarray, counts: np.ndarray, bits: int, n_buckets: int) -> pd.DataFrame:
+    """One packed row per bucket from distinct ascending values and how often each is there."""
+    cuts, out = _cuts(values, bits, n_buckets), []
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[b], cuts[b + 1])
+        out.append((int(b), block, pack(values[own]), _squeeze(counts[own].astype(np.uint32)) if (counts[own] > 1).any() else None))
+    return pd.DataFrame(out, columns=["bucket", "block", "names", "counts"])
 
 
 def _within(at: np.ndarray, n: int, after: int) -> np.ndarray:
@@ -154,10 +156,10 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _answers(values: np.ndarray, replies: pd.DataFrame, bits: int, n_buckets: int) -> np.ndarray:
+def _answers(values: np.ndarray, replies: pd.DataFrame, bits: int, n_buckets: int, column: str = "bits") -> np.ndarray:
     """The replied bit of each of the distinct ascending values."""
     cuts, out = _cuts(values, bits, n_buckets), np.zeros(len(values), bool)
-    for b, blob in zip(replies["bucket"], replies["bits"], strict=True):
+    for b, blob in zip(replies["bucket"], replies[column], strict=True):
         out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8))[: cuts[b + 1] - cuts[b]]
     return out
 
@@ -210,18 +212,29 @@ def _sample_messages(bits: int, n_buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield _messages(row.block, _distinct(_open(row).sampled(bits)), bits, n_buckets)
+                yield _messages(row.block, *np.unique(_open(row).sampled(bits), return_counts=True), bits, n_buckets)
 
     return run
 
 
-def _shared_names(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which names of each block another block has too."""
-    parts = [unpack(x) for x in pdf["names"]]
-    order = np.sort(np.concatenate(parts))
-    twice = _distinct(order[1:][order[1:] == order[:-1]])
-    bits = [np.packbits(_member(p, twice)).tobytes() for p in parts]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits})
+def _shared_names(hot_rows: int):
+    """Which names of each block another block has too, and which occur more than ``hot_rows`` times in all."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(x) for x in pdf["names"]]
+        every = np.concatenate(parts)
+        order = np.sort(every)
+        twice = _distinct(order[1:][order[1:] == order[:-1]])
+        counts = np.concatenate([np.ones(len(p), np.int64) if x is None else _loose(x, np.uint32) for p, x in zip(parts, pdf["counts"], strict=True)])
+        # A name above the limit is one that many blocks have or one block has often.
+        few = (counts > 1) | _member(every, twice)
+        value, of = np.unique(every[few], return_inverse=True)
+        hot = value[np.bincount(of, counts[few], len(value)) > hot_rows]
+        bits = [np.packbits(_member(p, twice)).tobytes() for p in parts]
+        hots = [np.packbits(m).tobytes() if (m := _member(p, hot)).any() else None for p in parts]
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits, "hot": hots})
+
+    return run
 
 
 def _repeated_in_block(block: Block, sampled: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -235,7 +248,7 @@ def _repeated_in_block(block: Block, sampled: np.ndarray, live: np.ndarray) -> n
 
 
 class Occurrences:
-    """The repeated sampled names of a block, in the order in which they are sent."""
+    """The repeated sampled names of a block, in the order in which they are sent; those of hot names come last."""
 
     def __init__(self, block: Block, told: pd.DataFrame, bits: int, n_buckets: int):
         live = np.ones(len(block.ids), bool)
@@ -260,6 +273,8 @@ class Occurrences:
         first = np.full(len(head), np.iinfo(np.int64).max)
         np.minimum.at(first, group, block.ids[doc])
         bucket = (block.name[at[head]] >> U64(32)) * U64(n_buckets) >> U64(32)
+        is_hot = distinct[_answers(distinct, told[told["hot"].notna()], bits, n_buckets, "hot")]
+        bucket[_member(block.name[at[head]] >> U64(64 - bits), is_hot)] = n_buckets
         self.sent = np.lexsort((at[head], bucket))  # places next to each other overlap, which compresses well
         self.bucket, self.first, self.rows = bucket[self.sent].astype(np.int64), first[self.sent], rows[head[self.sent]]
         turn = np.empty(len(head), np.int64)
@@ -270,6 +285,52 @@ class Occurrences:
         cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
         return [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
 
+    def hot(self, n_buckets: int) -> slice:
+        """The contexts of hot names."""
+        return slice(int(np.searchsorted(self.bucket, n_buckets)), len(self.bucket))
+
+
+def _strings(rows: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """Per shift: the contexts that have it, the distinct 50-byte strings there, which one each has, and their smallest ids."""
+    inside = _shifts(rows[:, WIDTH], rows[:, WIDTH + 1])
+    for d in range(PERIOD):
+        own = np.flatnonzero(inside & np.uint32(1 << d))
+        if len(own):
+            text = np.ascontiguousarray(rows[own, ROOM - d : WIDTH - d]).view(f"V{PREFIX}").ravel()
+            distinct, of = np.unique(text, return_inverse=True)
+            least = np.full(len(distinct), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, ids[own])
+            yield d, own, [x.tobytes() for x in distinct], of, least
+
+
+def _hot_strings(bits: int, n_buckets: int):
+    """The distinct 50-byte strings around the hot names of a block, each with its smallest id."""
+
+    def run(key: tuple, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out: dict[tuple[int, bytes], int] = {}
+        for row in blocks.itertuples(index=False):
+            found = Occurrences(_open(row), told, bits, n_buckets)
+            own = found.hot(n_buckets)
+            for _, _, texts, _, least in _strings(found.rows[own], found.first[own]):
+                for t, i in zip(texts, least.tolist(), strict=True):
+                    out[row.block, t] = min(i, out.get((row.block, t), i))
+        return pd.DataFrame([(b, t, i) for (b, t), i in out.items()], columns=["block", "string", "id"])
+
+    return run
+
+
+def _hot_earlier(found: Occurrences, n_buckets: int, elsewhere: dict[bytes, int]) -> np.ndarray:
+    """As ``_earlier`` for the contexts of hot names, given the smallest ids of strings that other blocks have earlier."""
+    own = found.hot(n_buckets)
+    rows, ids = found.rows[own], found.first[own]
+    gone, here = np.zeros(len(rows), np.uint32), dict(elsewhere)
+    for _, _, texts, _, least in _strings(rows, ids):
+        for t, i in zip(texts, least.tolist(), strict=True):
+            here[t] = min(i, here.get(t, i))
+    for d, at, texts, of, _ in _strings(rows, ids):
+        gone[at] |= (np.array([here[t] for t in texts], np.int64)[of] < ids[at]).astype(np.uint32) << np.uint32(d)
+    return gone
+
 
 def _row_keys(rows: np.ndarray) -> np.ndarray:
     wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
@@ -357,6 +418,7 @@ def _removals(bits: int, n_buckets: int):
 
     def run(key: tuple, blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         told, merged = replies[replies["phase"] == 1], replies[replies["phase"] == 2]
+        hot = replies[replies["phase"] == 3]
         out = []
         for row in blocks.itertuples(index=False):
             block = _open(row)
@@ -365,6 +427,9 @@ def _removals(bits: int, n_buckets: int):
             answers = dict(zip(merged["bucket"], merged["bits"], strict=True))
             for b, own in found.parts(n_buckets):
                 gone[own] = _loose(answers[b], np.uint32)
+            if found.hot(n_buckets).start < len(found.rows):
+                elsewhere = dict(zip(hot["bits"], hot["place"].tolist(), strict=True))
+                gone[found.hot(n_buckets)] = _hot_earlier(found, n_buckets, elsewhere)
             every = _shifts(found.rows[:, WIDTH], found.rows[:, WIDTH + 1])
             mask = np.where(found.id > found.first[found.of], every[found.of], gone[found.of])
             starts = np.zeros(len(block.data), bool)
@@ -384,7 +449,7 @@ def _removals(bits: int, n_buckets: int):
 
 
 def repeated_passages(
-    docs: DataFrame, *, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, hot_rows: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
@@ -407,7 +472,11 @@ def repeated_passages(
 
     Texts that are equal as a whole are found first by digest; their copies are removed entirely and take
     no part in steps 2 and 3. Blocks of text are written once. What is shuffled are packed
-    ascending names per block and range, of which a frequent string has at most one per block.
+    ascending names per block and range, of which a frequent string has at most one per block, with their
+    counts. A name's surroundings differ from document to document, so those of a name that occurs more than
+    ``hot_rows`` times in all do not meet in one range: each block sends every distinct 50-byte string around
+    it once, with its smallest id, an aggregation takes the minimum of each string, and blocks hear of strings
+    that are elsewhere in a smaller document.
 
     Defined results: null and empty texts have 0 bytes; texts shorter than 50 bytes lose nothing;
     rows that repeat an id never remove each other's bytes; a null id removes nothing and loses nothing;
@@ -433,19 +502,25 @@ def repeated_passages(
     known = known.join(firsts, "sha").select("block", "place", "id", "n_bytes", "sha", "rep")
     known = stage(known, "suffix-copies")
     copies = known.where("block <> rep.block or place <> rep.place").select(
-        "block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "place"
+        "block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("hot"), "place"
     )
 
     reply = "block long, bucket long, bits binary"
-    sampled = blocks.mapInPandas(_sample_messages(bits, n_buckets), "bucket long, block long, names binary")
-    shared = sampled.groupBy("bucket").applyInPandas(_shared_names, reply).withColumn("place", F.lit(None).cast("long"))
+    sampled = blocks.mapInPandas(_sample_messages(bits, n_buckets), "bucket long, block long, names binary, counts binary")
+    shared = sampled.groupBy("bucket").applyInPandas(_shared_names(hot_rows), f"{reply}, hot binary").withColumn("place", F.lit(-1).cast("long"))
     told = stage(shared.unionByName(copies), "suffix-shared")
 
     contexts = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
         _context_messages(bits, n_buckets, hint), "bucket long, block long, rows binary, ids binary, places binary"
     )
-    earlier = contexts.groupBy("bucket").applyInPandas(_earlier_documents(hint), reply).withColumn("place", F.lit(None).cast("long"))
-    replies = told.withColumn("phase", F.lit(1)).unionByName(earlier.withColumn("phase", F.lit(2)))
+    earlier = contexts.groupBy("bucket").applyInPandas(_earlier_documents(hint), reply).withColumn("place", F.lit(-1).cast("long"))
+    replies = told.withColumn("phase", F.lit(1)).unionByName(earlier.withColumn("phase", F.lit(2)), allowMissingColumns=True)
+    if not told.where("hot is not null").isEmpty():
+        strings = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_hot_strings(bits, n_buckets), "block long, string binary, id long")
+        strings = stage(strings, "suffix-hot")
+        least = strings.groupBy("string").agg(F.min("id").alias("place"), F.max("id").alias("most")).where("place < most").drop("most")
+        better = strings.join(stage(least, "suffix-least"), "string").where("place < id").select("block", F.lit(-2).cast("long").alias("bucket"), F.col("string").alias("bits"), "place")
+        replies = replies.unionByName(better.withColumn("phase", F.lit(3)), allowMissingColumns=True)
     cut = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
         _removals(bits, n_buckets), "block long, place long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha binary"
     )

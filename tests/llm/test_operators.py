@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -402,6 +403,35 @@ def test_repeats_equal_brute_force(documents, odd, none, block_bytes):
     assert repeated_passages(none).count() == 0
 
 
+def test_repeats_with_hot_names_equal_brute_force(spark, odd):
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz    "))
+    text = lambda n: "".join(rng.choice(letters, n))
+    footer, short = text(60), text(51)
+    rows = [(int(i), text(80) + footer + text(30) + (short if i % 2 else "") + text(int(i) % 25)) for i in rng.permutation(150)]
+    rows += [(7, footer * 2), (200, footer), (None, footer), (201, text(10) + footer[5:]), (202, footer[:49])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_rows, frame, pairs in ((20, df, rows), (1 << 17, df, rows), (0, odd, pairs_of(odd))):
+        got = repeated_passages(frame, block_bytes=3000, bucket_bytes=100_000, hot_rows=hot_rows).drop("spans").collect()
+        assert Counter(map(tuple, got)) == brute_repeats(pairs)
+
+
+def test_hot_names_do_not_meet_in_one_range():
+    rng = np.random.default_rng(9)
+    footer, docs = rng.bytes(60), [(k, rng.bytes(80)) for k in range(60)]
+    texts = [t[:40] + footer + t[40:] for _, t in docs]
+    blocks = [suffix.Block(np.arange(a, a + 20), np.full(20, 140), b"".join(texts[a : a + 20])) for a in (0, 20, 40)]
+    sent = pd.concat([suffix._messages(b, *np.unique(x.sampled(40), return_counts=True), 40, 1) for b, x in enumerate(blocks)])
+    for hot_rows, most in ((30, 30), (1000, 60)):
+        told = suffix._shared_names(hot_rows)((0,), sent).assign(place=None)
+        in_range = Counter()
+        for b, x in enumerate(blocks):
+            found = suffix.Occurrences(x, told[told["block"] == b], 40, 1)
+            for _, own in found.parts(1):
+                in_range.update(bytes(r[suffix.ROOM : suffix.ROOM + suffix.NAME]) for r in found.rows[own])
+        assert max(in_range.values(), default=0) <= most and (hot_rows == 30 or max(in_range.values()) > 30)
+
+
 def test_cover_meets_every_pair_of_places():
     for i in range(suffix.PERIOD):
         for j in range(suffix.PERIOD):
