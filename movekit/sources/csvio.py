@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movekit.functions.scalars import render
+from movekit.sources.csvsplits import parse_records, split_records
 
 BITMAP = "__null_bitmap"
 NULL_TEXT = "\\N"
@@ -122,12 +123,17 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [v or "" for v in first[0]]
 
 
-def read_text(spark: SparkSession, path: str, columns: Sequence[str], multiline: bool = True) -> DataFrame:
+def read_text(spark: SparkSession, path: str, columns: Sequence[str], multiline: bool = True, splits: bool = False) -> DataFrame:
     """All-text rows. Every file's header must equal ``columns``; a ragged row fails the read.
 
     ``multiline`` allows line breaks inside values, which makes each file one split: keep files
-    at chunk size. Column pruning is off so that even a bare count checks every row's width.
+    at chunk size, or let ``splits`` find the records in splits of any file at the price of reading it twice.
+    Column pruning is off so that even a bare count checks every row's width.
     """
+    if splits and multiline:
+        records = split_records(spark, path, len(columns))
+        if records is not None:
+            return parse_records(records, columns, {**_DIALECT, "header": "false", "nullValue": "", "emptyValue": ""})
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return (
         spark.read.schema(schema)
@@ -167,11 +173,11 @@ def decode_backslash_n(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~_q(c).eqNullSafe(NULL_TEXT), F.coalesce(_q(c), F.lit(""))).alias(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, null_encoding: str = "bitmap", multiline: bool = True) -> DataFrame:
-    """Decoded text rows of exported files, plain or gzip."""
+def read_csv(spark: SparkSession, path: str, null_encoding: str = "bitmap", multiline: bool = True, splits: bool = False) -> DataFrame:
+    """Decoded text rows of exported files, plain or gzip; ``splits`` reads one large file by many tasks."""
     header = read_header(spark, path)
     has_bitmap = check_header(header)
-    raw = read_text(spark, path, header, multiline)
+    raw = read_text(spark, path, header, multiline, splits)
     if has_bitmap:
         if null_encoding == "backslash-n":
             raise ValueError("files still carry the NULL bitmap column; export with backslash-n")

@@ -87,6 +87,24 @@ def whole_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(docs.schema).parquet(loaded)
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def whole_text_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one file that many tasks read, wherever its splits fall."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path, loaded = scratch(spark, "csv"), scratch(spark, "loaded")
+    csvio.write_csv(docs.coalesce(1), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(c) for c in names]
+    try:
+        for c in names:
+            spark.conf.set(c, "262144")  # some splits at any scale
+        X.load_append(csvio.read_csv(spark, path, splits=True), loaded, docs.schema)
+    finally:
+        for c, v in zip(names, before, strict=True):
+            spark.conf.set(c, v)
+    return spark.read.schema(docs.schema).parquet(loaded)
+
+
 @query(f"WITH {HOLEY} SELECT event_id AS id, value AS amount FROM txt")
 def field_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = csvio.render_csv_values(holey(spark, sf_dir))
