@@ -70,3 +70,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on its Hadoop file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a path of a Hadoop file system with all below it; a missing one is fine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -115,6 +115,26 @@ def cdc_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(replica.snapshot())
 
 
+@query(APPLIED)
+def cdc_stream_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters of the feed from two sources; each fold forgets what no source can change any more, then all comes again."""
+    changes = feed(spark, sf_dir)
+    top = int(C.feed_head(changes).head()["max_lsn"][2:], 16)
+    at = [f"0x{top * n // 4 + (n == 4):020x}" for n in range(5)]
+    replica = Replica(spark, scratch(spark, "replica"), base(spark, sf_dir), KEYS, COLUMNS, sources=["odd", "even"], part_rows=500)
+    lsn, late = F.col("start_lsn"), F.pmod(F.xxhash64("start_lsn", "seqval"), F.lit(5)) == 0
+    for n in range(4):
+        # A fifth of every quarter comes with the next one.
+        quarter = (lsn >= F.lit(lsn_bytes(at[n]))) & (lsn < F.lit(lsn_bytes(at[n + 1]))) & (~late if n < 3 else F.lit(True))
+        before = (lsn >= F.lit(lsn_bytes(at[n - 1]))) & (lsn < F.lit(lsn_bytes(at[n]))) & late if n else F.lit(False)
+        replica.absorb(changes.where(quarter | before), n)
+        replica.advance(spark.createDataFrame([("odd", at[n]), ("even", at[n + 1])], "source string, low_water string"))
+        replica.fold(at[n + 1], n)
+    replica.absorb(changes, 9)
+    replica.vacuum()
+    return shown(replica.snapshot())
+
+
 @query("SELECT o_custkey, CAST(COUNT(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 1")
 def cdc_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that could not be a key of orders."""

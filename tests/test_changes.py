@@ -320,3 +320,99 @@ def test_alert_routing(spark):
     assert [r["exit_code"] for r in H.route_alerts(df).orderBy("project").collect()] == [0, 0, 1]
     with pytest.raises(ValueError):
         H.route_alerts(df, "loud")
+
+
+# -- purge and parts --------------------------------------------------------------------------------
+
+
+def remembered(replica):
+    folded = replica._folded(replica.version()[0])
+    return 0 if folded is None else folded.count()
+
+
+def stated(spark, **low):
+    return spark.createDataFrame([(s, lsn(n)) for s, n in low.items()], "source string, low_water string")
+
+
+def test_what_is_remembered_stays_bounded(spark, target, start):
+    """A long feed with deletes of ever new keys; each fold remembers the open window only."""
+    replica = Replica(spark, scratch(spark, "replica"), target, KEYS, COLS, sources=["a", "b"], part_rows=3)
+    fed, sizes = [], []
+    for n in range(1, 6):
+        at = 10 * n
+        rows = [(2, at, 1, 100 + n, f"n{n}"), (1, at + 1, 1, 100 + n, "x"), (2, at + 2, 1, 200 + n, "stays"), (4, at + 3, 1, 1, f"u{n}")]
+        late = [(4, at - 9, 9, 200 + n - 1, "late")] if n > 2 else []  # older than what the last fold moved, but not out of reach
+        fed += rows + late
+        replica.absorb(feed_of(spark, rows + late), n)
+        replica.absorb(feed_of(spark, fed), 100 + n)  # everything once more
+        assert content(replica.snapshot()) == sequential(start, sorted(fed, key=lambda r: r[1:3] + r[:1]))
+        replica.advance(stated(spark, a=at - 6, b=at + 5))
+        assert replica.expiry() == lsn(at - 6)
+        replica.fold(lsn(at + 5), n)
+        sizes.append(remembered(replica))
+        assert content(replica.snapshot()) == sequential(start, sorted(fed, key=lambda r: r[1:3] + r[:1]))
+    assert max(sizes) <= 8 and sizes[-1] <= sizes[1] + 2
+
+
+def test_sources_without_a_mark_hold_everything(spark, target):
+    replica = Replica(spark, scratch(spark, "replica"), target, KEYS, COLS, sources=["a", "b"])
+    replica.absorb(feed_of(spark, [(1, 5, 1, 1, "x"), (2, 6, 1, 50, "y")]), 0)
+    with pytest.raises(ValueError, match="every source"):
+        replica.fold(upto_batch=0)
+    replica.advance(stated(spark, a=20))
+    assert replica.expiry() is None
+    replica.fold(lsn(10), 0)
+    assert remembered(replica) == 2
+    replica.advance(stated(spark, b=9, c=1))
+    replica.advance(stated(spark, b=3))  # no mark goes back; other sources do not count
+    assert replica.expiry() == lsn(9)
+    replica.fold(upto_batch=1)
+    assert remembered(replica) == 0 and replica.version()[3] == lsn(9)
+    assert replica.progress().count() == 1
+    with pytest.raises(Exception, match="low_water"):
+        replica.advance(spark.createDataFrame([("a", "0x1")], "source string, low_water string"))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_fold_writes_only_touched_parts(spark, kind):
+    table = spark.range(400).select(F.col("id").cast(kind), F.lit("n").alias("name"), F.lit("o").alias("note"))
+    replica = Replica(spark, scratch(spark, "replica"), table, KEYS, COLS, part_rows=50)
+    feed = lambda rows: feed_of(spark, rows).withColumn("id", F.col("id").cast(kind))
+    replica.absorb(feed([(4, 1, 1, 7, "a")]), 0)
+    replica.fold(lsn(5), 0)
+    first = replica._parts_of(1)
+    assert len(first) == 8 and sum(p.rows for p in first) == 400 and all(p.base == 1 for p in first)
+    rows = [(2, 6, i, 400 + i, "b") for i in range(200)] if kind == "long" else [(4, 6, 1, 9, "b")]
+    replica.absorb(feed([*rows, (1, 7, 1, 399, "c")]), 1)
+    replica.fold(lsn(9), 1)
+    second = replica._parts_of(2)
+    assert 0 < sum(p.base == 2 for p in second) <= 2 and sum(p.base == 1 for p in second) >= 6
+    want = {str(r["id"]): r["name"] for r in table.collect()} | {"7": "a"} | {str(r[3]): r[4] for r in rows}
+    del want["399"]
+    assert {str(r["id"]): r["name"] for r in replica.snapshot().collect()} == want
+    if kind == "long":  # the last range has grown to five times its size: the next fold divides it
+        assert max(p.rows for p in second) > 200
+        replica.absorb(feed([(4, 10, 1, 500, "d")]), 2)
+        replica.fold(lsn(12), 2)
+        assert max(p.rows for p in replica._parts_of(3)) < 100
+        assert {str(r["id"]): r["name"] for r in replica.snapshot().collect()} == want | {"500": "d"}
+    before = replica.snapshot().count()
+    replica.vacuum(keep=1)
+    assert replica.snapshot().count() == before
+
+
+def test_a_fold_that_broke_off_is_begun_anew(spark, target, start):
+    rows = changes(13)
+    replica = Replica(spark, scratch(spark, "replica"), target, KEYS, COLS, part_rows=2)
+    replica.absorb(feed_of(spark, rows[:20]), 0)
+    write = Replica._write_manifest
+    try:
+        Replica._write_manifest = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+        with pytest.raises(OSError, match="lost"):
+            replica.fold(lsn(12), 0)
+    finally:
+        Replica._write_manifest = write
+    assert content(replica.snapshot()) == sequential(start, rows[:20])
+    replica.fold(lsn(12), 0)
+    replica.absorb(feed_of(spark, rows[20:]), 1)
+    assert content(replica.snapshot()) == sequential(start, rows)
