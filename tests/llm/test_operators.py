@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from movekit.llm import mixing, packing, quality, suffix, toxicity
+from movekit.llm import minhash, mixing, packing, quality, suffix, toxicity
 from movekit.llm.exact import exact_duplicates
 from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
@@ -153,6 +153,36 @@ def test_near_duplicates_in_a_group_whose_smallest_is_far_from_most(spark):
     assert Counter(map(tuple, near_duplicates(df).collect())) == brute_near(rows)
 
 
+def test_texts_that_share_an_id_are_linked(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (7, "alone " * 3), (7, "alone " * 3), (8, "far away from all")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8)}
+
+
+def test_blocks_of_near_misses_keep_every_link(spark, monkeypatch):
+    """A group whose members share table entries and mostly are no links; blocks are small, so every kind of pair occurs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for at in rng.choice(400, int(rng.integers(2, 12)), replace=False):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
+    got = Counter(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_near(rows) and 1 < len({r[2] for r in got}) < 150
+
+
+def test_overlaps_equal_set_sizes():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in (1, 5, 9000, 300, 300, 15_000)]
+    got = minhash.overlaps(sets[:3], sets[2:])
+    assert [[int(x) for x in r] for r in got] == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+
+
 def test_near_duplicates_of_one_repeated_word(spark):
     texts = ["x " * 5, "X " * 6, "x " * 9, "x " * 500, "x " * 4, "x y", "ha " * 7, "ha " * 6, "x x x x x y"]
     rows = [*enumerate(texts, 1), (1, "x " * 7), (None, "x " * 8)]
