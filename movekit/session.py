@@ -48,6 +48,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that :func:`stage` wrote in this process, in order, for callers that know when theirs are read no more.
+STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and return a scan of the written table.
 
@@ -55,6 +59,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     exact size of the data, so it can decide on a broadcast from a measured bound.
     """
     path = scratch(df.sparkSession, label)
+    STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
