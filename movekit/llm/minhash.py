@@ -23,6 +23,8 @@ def normal_words(text: str | None) -> bytes:
 
 #: Members of a table entry are compared in blocks of at most about so many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 18
+#: Entries of up to so many texts give their few pairs as rows instead: no text has more than so many partners there.
+FEW_TEXTS = 32
 
 
 def collections(sets: list[np.ndarray], n_left: int, n_right: int, rows: int, seed: int) -> np.ndarray:
@@ -163,7 +165,7 @@ def near_duplicates(
     several components have every member outside the entry's largest component compared with all
     members of other components, block by block: a task gets two blocks of texts, multiplies their shingle
     matrices and returns links alone. Pairs inside one component cannot change the result and are never
-    compared. What may be missed: of pairs at exactly 0.85, about 1.5 in 10,000 share no table; the share
+    compared; entries of a few texts give their pairs as rows. What may be missed: of pairs at exactly 0.85, about 1.5 in 10,000 share no table; the share
     falls fast above 0.85. All links are
     confirmed on full shingle sets, which are made only for documents that share an entry.
 
@@ -239,7 +241,10 @@ def near_duplicates(
     links = links.unionByName(confirmed(star))
 
     left = mixed(left.select("key", "v"), connected_components(links))
-    links = links.unionByName(_across(left, classes, sets, table_keys, percent, n_right))
+    counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    few = left.join(counts.where(F.col("texts") <= FEW_TEXTS).select("key"), "key")
+    many = left.join(counts.where(F.col("texts") > FEW_TEXTS).select("key"), "key")
+    links = links.unionByName(confirmed(_few_pairs(few, classes, n_right))).unionByName(_across(many, classes, sets, table_keys, percent, n_right))
     found = stage(connected_components(links), "near-components")
 
     placed = classes.select("digest", "rep", "v").join(found.withColumnRenamed("id", "v"), "v", "left")
@@ -258,6 +263,21 @@ def near_duplicates(
     )
 
 
+def _few_pairs(left: DataFrame, classes: DataFrame, n_right: int) -> DataFrame:
+    """Pairs ``a, b`` across the components of small table entries.
+
+    A pair comes once: in the entry of the first left and the first right key that both have.
+    """
+    left = left.join(classes.select("v", "l", "r"), "v")
+    outside = left.where("component <> largest").select(F.col("key").alias("x_key"), *(F.col(c).alias(f"x_{c}") for c in ("v", "component", "l", "r")))
+    i = F.array_position(F.zip_with("l", "x_l", lambda a, b: a == b), True).cast("int") - 1
+    j = F.array_position(F.zip_with("r", "x_r", lambda a, b: a == b), True).cast("int") - 1
+    first = F.xxhash64(F.get("l", i), F.get("r", j), i * F.lit(n_right) + j)
+    once = F.expr("x_component <> component and (component = largest or x_v > v)")
+    pairs = outside.join(left, (F.col("x_key") == F.col("key")) & once & (first == F.col("key")))
+    return pairs.select(F.greatest("x_v", "v").alias("a"), F.least("x_v", "v").alias("b"))
+
+
 def _across(left: DataFrame, classes: DataFrame, sets: DataFrame, table_keys: Column, percent: int, n_right: int) -> DataFrame:
     """Links across the components of table entries; ``left`` has the members of entries with several of them.
 
