@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from movekit.functions.lsn import is_lsn, lsn_bytes, parse_lsn, range_ok
+from movekit.functions.lsn import format_lsn, is_lsn, lsn_bytes, parse_lsn, range_ok, require_lsn
 from movekit.functions.scalars import blank, rfc3339, source_name_ok, strip, target_name_ok
 
 ID = ("project", "source_object")
@@ -321,6 +322,54 @@ def advance_checkpoint(
     return kept.select(*newest.columns).unionByName(newest)
 
 
+def range_islands(finished: DataFrame, ids: Sequence[str] = ID) -> DataFrame:
+    """The union of finished ranges per table: one row for each stretch without a hole.
+
+    Ranges hold both ends and the next one begins where the last one ended, so two belong together when they share a
+    position. Order and repetition of the runs do not matter. Malformed and reversed ranges fail the job.
+    """
+    low, high = require_lsn(F.col("from_lsn"), "from_lsn"), require_lsn(F.col("to_lsn"), "to_lsn")
+    sound = F.when(low <= high, high).otherwise(F.raise_error(F.concat(F.lit("range reversed: "), F.col("from_lsn"), F.lit(" "), F.col("to_lsn"))).cast("binary"))
+    # Equal ranges, and those of one start, need only their farthest end.
+    ranges = finished.select(*ids, low.alias("low"), sound.alias("high")).groupBy(*ids, "low").agg(F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy(*ids).orderBy("low")
+    reached = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("low") > reached, F.lit(True))
+    numbered = ranges.withColumn("opens", opens).withColumn("island", F.count_if("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    found = numbered.groupBy(*ids, "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("runs"))
+    return found.select(*ids, format_lsn(F.col("low")).alias("from_lsn"), format_lsn(F.col("high")).alias("to_lsn"), "runs")
+
+
+def _reached(checkpoint: DataFrame, finished: DataFrame) -> DataFrame:
+    """Islands of finished ranges and checkpoint positions that are not wholly below the checkpoint, with their place."""
+    place = checkpoint.groupBy(*ID).agg(F.max(require_lsn(F.col("to_lsn"), "to_lsn")).alias("at"))
+    point = place.select(*ID, format_lsn(F.col("at")).alias("from_lsn"), format_lsn(F.col("at")).alias("to_lsn"))
+    ranges = finished.select(*ID, "from_lsn", "to_lsn").join(place.select(*ID), list(ID), "left_semi")
+    islands = range_islands(ranges.unionByName(point)).join(place, list(ID)).where(parse_lsn(F.col("to_lsn")) >= F.col("at"))
+    return islands.withColumn("place", F.row_number().over(W.partitionBy(*ID).orderBy("from_lsn")))
+
+
+def advance_over(checkpoint: DataFrame, finished: DataFrame) -> DataFrame:
+    """How far each checkpoint may move over runs that finished in any order.
+
+    ``checkpoint`` has a position ``to_lsn`` per table, ``finished`` the ranges of succeeded runs. The position moves to
+    the end of the stretch it stands in, and no farther than the first hole; ``holes`` counts those above it.
+    """
+    first = F.col("place") == 1
+    return _reached(checkpoint, finished).groupBy(*ID).agg(
+        format_lsn(F.first("at")).alias("from_lsn"),
+        F.max(F.when(first, F.col("to_lsn"))).alias("to_lsn"),
+        (F.count(F.lit(1)) - 1).alias("holes"),
+    )
+
+
+def open_ranges(checkpoint: DataFrame, finished: DataFrame) -> DataFrame:
+    """What runs have still to cover: each hole between a checkpoint and the farthest finished range, ends included."""
+    order = W.partitionBy(*ID).orderBy("place")
+    holes = _reached(checkpoint, finished).withColumn("hole", F.lag("to_lsn").over(order))
+    return holes.where(F.col("hole").isNotNull()).select(*ID, F.col("hole").alias("from_lsn"), F.col("from_lsn").alias("to_lsn"))
+
+
 def plan_tracked(
     tables: DataFrame,
     captured: DataFrame,

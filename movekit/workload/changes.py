@@ -10,6 +10,7 @@ from movekit.operators import changes as C
 from movekit.plans import health as H
 from movekit.plans import ranges as P
 from movekit.session import scratch, stage
+from movekit.streaming.feed import catch_up
 from movekit.streaming.replicate import Replica, replicate_stream
 from movekit.workload import query, table
 
@@ -115,6 +116,22 @@ def cdc_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(replica.snapshot())
 
 
+@query(APPLIED)
+def cdc_stream_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feed followed by log ranges: a part of it first, then the rest by the same query."""
+    changes = feed(spark, sf_dir)
+    top = int(C.feed_head(changes).head()["max_lsn"][2:], 16)
+    landing, query_dir = scratch(spark, "feed"), scratch(spark, "query")
+    early = F.col("start_lsn") <= F.lit(lsn_bytes(f"0x{top // 3:020x}"))
+    replica = Replica(spark, scratch(spark, "replica"), base(spark, sf_dir), KEYS, COLUMNS)
+    load = lambda: spark.read.schema(changes.schema).parquet(landing)
+    n = changes.count()
+    for part in (early, ~early):
+        changes.where(part).write.mode("append").parquet(landing)
+        catch_up(load, replica, query_dir, max_changes=max(1, n // 4))
+    return shown(replica.snapshot())
+
+
 @query(APPLIED)
 def cdc_stream_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarters of the feed from two sources; each fold forgets what no source can change any more, then all comes again."""
@@ -424,6 +441,55 @@ def cdc_checkpoint_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def finished_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as finished runs of a hundred tables, in no order; those of errors have failed."""
+    start = F.col("event_id") * 37 % 1000
+    done = table(spark, sf_dir, "events").where("event_type <> 'error'")
+    return done.select(
+        F.concat(F.lit("p"), F.col("user_id") % 7).alias("project"),
+        F.concat(F.lit("crm.dbo.t"), F.col("user_id") % 100).alias("source_object"),
+        _lsn_text(start).alias("from_lsn"),
+        _lsn_text(start + F.col("event_id") % 5).alias("to_lsn"),
+    )
+
+
+def standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tables' checkpoints stand."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where("c_custkey % 5 <> 2").groupBy((k % 7).alias("p"), (k % 100).alias("t")).agg(F.max(k * 7 % 400).alias("at")).select(
+        F.concat(F.lit("p"), "p").alias("project"), F.concat(F.lit("crm.dbo.t"), "t").alias("source_object"), _lsn_text(F.col("at")).alias("to_lsn")
+    )
+
+
+# By position: a unit step is covered if a run has both of its ends; islands and holes are runs of such steps.
+ISLANDS = f"""WITH run AS (SELECT user_id % 7 AS p, user_id % 100 AS t, event_id * 37 % 1000 AS lo, event_id * 37 % 1000 + event_id % 5 AS hi FROM events WHERE event_type <> 'error'),
+ck AS (SELECT c_custkey % 7 AS p, c_custkey % 100 AS t, MAX(c_custkey * 7 % 400) AS at FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1, 2),
+spot AS (SELECT p, t, at, s FROM ck, LATERAL (SELECT unnest(range(at, 1010)) AS s)),
+far AS (SELECT p, t, at, GREATEST(at, COALESCE(MAX(hi), 0)) AS top FROM ck LEFT JOIN run USING (p, t) GROUP BY p, t, at),
+step AS (SELECT DISTINCT p, t, unnest(range(lo, hi)) AS s FROM run),
+touched AS (SELECT DISTINCT p, t, unnest(range(lo, hi + 1)) AS s FROM run UNION SELECT p, t, at FROM ck),
+bare AS (SELECT spot.p, spot.t, spot.at, spot.s FROM spot JOIN far USING (p, t) LEFT JOIN step USING (p, t, s) WHERE spot.s < far.top AND step.s IS NULL),
+cut AS (SELECT b.*, x.s IS NOT NULL AS begins FROM bare b LEFT JOIN touched x USING (p, t, s)),
+grp AS (SELECT *, COUNT(*) FILTER (WHERE begins) OVER (PARTITION BY p, t ORDER BY s) AS g FROM cut),
+hole AS (SELECT p, t, MIN(s) AS lo, MAX(s) + 1 AS hi FROM grp GROUP BY p, t, g)
+"""
+
+
+@query(
+    ISLANDS
+    + f"""SELECT 'p' || ck.p AS project, 'crm.dbo.t' || ck.t AS source_object, {_L.format('ck.at')} AS from_lsn,
+ {_L.format('COALESCE(MIN(hole.lo), any_value(top))')} AS to_lsn, CAST(COUNT(hole.lo) AS BIGINT) AS holes
+ FROM ck JOIN far USING (p, t) LEFT JOIN hole ON hole.p = ck.p AND hole.t = ck.t GROUP BY ck.p, ck.t, ck.at"""
+)
+def cdc_advance_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.advance_over(standing(spark, sf_dir), finished_ranges(spark, sf_dir))
+
+
+@query(ISLANDS + f"SELECT 'p' || p AS project, 'crm.dbo.t' || t AS source_object, {_L.format('lo')} AS from_lsn, {_L.format('hi')} AS to_lsn FROM hole")
+def cdc_open_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.open_ranges(standing(spark, sf_dir), finished_ranges(spark, sf_dir))
+
+
 HEALTH = f"""WITH {PLAN}, h AS (SELECT *, CASE WHEN seen IS NULL THEN 'unknown' WHEN ck_to < max_lsn THEN 'behind' WHEN ck_to = max_lsn THEN 'caught_up' ELSE 'ahead' END AS lag_status,
  CASE WHEN seen IS NULL OR min_lsn IS NULL THEN 'unknown' WHEN ck_to < min_lsn THEN 'expired' ELSE 'covered' END AS retention_status FROM st),
 pr AS (SELECT 'p' || n_nationkey AS project, CASE WHEN n_nationkey % 9 = 1 THEN 'failed' ELSE 'running' END AS checkpoint_status,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movekit.operators import runlog as R
+from movekit.plans import dependencies as D
 from movekit.plans import gates as G
 from movekit.plans import integrity as I
 from movekit.session import scratch
@@ -369,3 +370,49 @@ def validation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VALIDATION + " SELECT project, CASE WHEN bool_and(passed) THEN 'passed' ELSE 'failed' END AS status FROM line GROUP BY project")
 def validation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.validation_outcome(_validation(spark, sf_dir))
+
+
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a table: its import needs its chunk and the import of an earlier part, its check the import, its brand's
+    gate all checks; some chunks wait for their own check, which is a cycle."""
+    k = F.col("p_partkey")
+    kind = lambda name, key: F.concat(F.lit(name), key.cast("string"))
+    pairs = F.array(
+        F.struct(kind("import-", k).alias("node"), kind("chunk-", k).alias("depends_on")),
+        F.struct(kind("import-", k), F.when(k > 1, kind("import-", F.floor(k / 2)))),
+        F.struct(kind("check-", k), kind("import-", k)),
+        F.struct(kind("gate-", F.col("p_brand")), kind("check-", k)),
+        F.struct(F.when(k % 97 == 3, kind("chunk-", k)), kind("check-", k)),
+    )
+    return table(spark, sf_dir, "part").select(F.explode(pairs).alias("e")).select("e.*").dropna()
+
+
+EDGES = """edge AS (SELECT 'import-' || p_partkey AS node, 'chunk-' || p_partkey AS depends_on FROM part
+UNION SELECT 'import-' || p_partkey, 'import-' || (p_partkey // 2) FROM part WHERE p_partkey > 1
+UNION SELECT 'check-' || p_partkey, 'import-' || p_partkey FROM part
+UNION SELECT 'gate-' || p_brand, 'check-' || p_partkey FROM part
+UNION SELECT 'chunk-' || p_partkey, 'check-' || p_partkey FROM part WHERE p_partkey % 97 = 3)"""
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES}, open AS (SELECT 'chunk-' || p_partkey AS node FROM part WHERE p_size % 49 = 1
+UNION SELECT edge.node FROM edge JOIN open ON edge.depends_on = open.node) SELECT node FROM open"""
+)
+def plan_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be done anew when the chunks of some parts change."""
+    mark = lambda f: table(spark, sf_dir, "part").select(F.concat(F.lit("chunk-"), "p_partkey").alias("node"), f.alias("fingerprint"))
+    changed = D.changed_items(mark(F.col("p_size").cast("string")), mark(F.when(F.col("p_size") % 49 != 1, F.col("p_size").cast("string"))))
+    return D.reopened(_part_edges(spark, sf_dir), changed).select("node")
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES}, reach AS (SELECT node, depends_on AS root FROM edge WHERE depends_on LIKE 'chunk-%'
+ AND CAST(substr(depends_on, 7) AS BIGINT) % 97 = 3 UNION SELECT edge.node, reach.root FROM edge JOIN reach ON edge.depends_on = reach.node),
+loop AS (SELECT root AS node FROM reach WHERE node = root),
+below AS (SELECT node FROM loop UNION SELECT edge.node FROM edge JOIN below ON edge.depends_on = below.node),
+above AS (SELECT node FROM loop UNION SELECT edge.depends_on FROM edge JOIN above ON edge.node = above.node)
+SELECT node FROM below INTERSECT SELECT node FROM above"""
+)
+def plan_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan items that wait for themselves."""
+    return D.cyclic(_part_edges(spark, sf_dir))

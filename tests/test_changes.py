@@ -416,3 +416,24 @@ def test_a_fold_that_broke_off_is_begun_anew(spark, target, start):
     replica.fold(lsn(12), 0)
     replica.absorb(feed_of(spark, rows[20:]), 1)
     assert content(replica.snapshot()) == sequential(start, rows)
+
+
+# -- runs out of order ------------------------------------------------------------------------------
+
+
+def test_checkpoints_move_over_filled_holes(spark):
+    schema = "project string, source_object string, from_lsn string, to_lsn string"
+    runs = [("p", "a", 30, 40), ("p", "a", 10, 20), ("p", "a", 12, 15), ("p", "a", 55, 55), ("p", "b", 5, 9), ("q", "a", 0, 90), ("p", "a", 10, 20)]
+    at = spark.createDataFrame([("p", "a", lsn(10)), ("p", "b", lsn(4)), ("p", "c", lsn(7)), ("p", "a", lsn(9))], "project string, source_object string, to_lsn string")
+
+    def rows(fn, some):
+        df = spark.createDataFrame([(p, s, lsn(a), lsn(b)) for p, s, a, b in some], schema)
+        return sorted((r["source_object"], *(int(r[c], 16) for c in ("from_lsn", "to_lsn"))) for r in fn(at, df).collect())
+
+    assert rows(P.advance_over, runs) == [("a", 10, 20), ("b", 4, 4), ("c", 7, 7)]
+    assert rows(P.open_ranges, runs) == [("a", 20, 30), ("a", 40, 55), ("b", 4, 5)]
+    assert rows(P.advance_over, [*runs, ("p", "a", 18, 31)]) == [("a", 10, 40), ("b", 4, 4), ("c", 7, 7)]
+    assert rows(P.open_ranges, [*runs, ("p", "a", 18, 31), ("p", "b", 4, 5)]) == [("a", 40, 55)]
+    assert rows(P.open_ranges, []) == []
+    with pytest.raises(Exception, match="range reversed"):
+        rows(P.advance_over, [("p", "a", 9, 3)])
