@@ -463,12 +463,12 @@ def standing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # By position: a unit step is covered if a run has both of its ends; islands and holes are runs of such steps.
 ISLANDS = f"""WITH run AS (SELECT user_id % 7 AS p, user_id % 100 AS t, event_id * 37 % 1000 AS lo, event_id * 37 % 1000 + event_id % 5 AS hi FROM events WHERE event_type <> 'error'),
-ck AS (SELECT c_custkey % 7 AS p, c_custkey % 100 AS t, MAX(c_custkey * 7 % 400) AS at FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1, 2),
-spot AS (SELECT p, t, at, s FROM ck, LATERAL (SELECT unnest(range(at, 1010)) AS s)),
-far AS (SELECT p, t, at, GREATEST(at, COALESCE(MAX(hi), 0)) AS top FROM ck LEFT JOIN run USING (p, t) GROUP BY p, t, at),
+ck AS (SELECT c_custkey % 7 AS p, c_custkey % 100 AS t, MAX(c_custkey * 7 % 400) AS pos FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1, 2),
+spot AS (SELECT p, t, pos, s FROM ck, LATERAL (SELECT unnest(range(pos, 1010)) AS s)),
+far AS (SELECT p, t, pos, GREATEST(pos, COALESCE(MAX(hi), 0)) AS top FROM ck LEFT JOIN run USING (p, t) GROUP BY p, t, pos),
 step AS (SELECT DISTINCT p, t, unnest(range(lo, hi)) AS s FROM run),
-touched AS (SELECT DISTINCT p, t, unnest(range(lo, hi + 1)) AS s FROM run UNION SELECT p, t, at FROM ck),
-bare AS (SELECT spot.p, spot.t, spot.at, spot.s FROM spot JOIN far USING (p, t) LEFT JOIN step USING (p, t, s) WHERE spot.s < far.top AND step.s IS NULL),
+touched AS (SELECT DISTINCT p, t, unnest(range(lo, hi + 1)) AS s FROM run UNION SELECT p, t, pos FROM ck),
+bare AS (SELECT spot.p, spot.t, spot.pos, spot.s FROM spot JOIN far USING (p, t) LEFT JOIN step USING (p, t, s) WHERE spot.s < far.top AND step.s IS NULL),
 cut AS (SELECT b.*, x.s IS NOT NULL AS begins FROM bare b LEFT JOIN touched x USING (p, t, s)),
 grp AS (SELECT *, COUNT(*) FILTER (WHERE begins) OVER (PARTITION BY p, t ORDER BY s) AS g FROM cut),
 hole AS (SELECT p, t, MIN(s) AS lo, MAX(s) + 1 AS hi FROM grp GROUP BY p, t, g)
@@ -477,9 +477,9 @@ hole AS (SELECT p, t, MIN(s) AS lo, MAX(s) + 1 AS hi FROM grp GROUP BY p, t, g)
 
 @query(
     ISLANDS
-    + f"""SELECT 'p' || ck.p AS project, 'crm.dbo.t' || ck.t AS source_object, {_L.format('ck.at')} AS from_lsn,
+    + f"""SELECT 'p' || ck.p AS project, 'crm.dbo.t' || ck.t AS source_object, {_L.format('ck.pos')} AS from_lsn,
  {_L.format('COALESCE(MIN(hole.lo), any_value(top))')} AS to_lsn, CAST(COUNT(hole.lo) AS BIGINT) AS holes
- FROM ck JOIN far USING (p, t) LEFT JOIN hole ON hole.p = ck.p AND hole.t = ck.t GROUP BY ck.p, ck.t, ck.at"""
+ FROM ck JOIN far USING (p, t) LEFT JOIN hole ON hole.p = ck.p AND hole.t = ck.t GROUP BY ck.p, ck.t, ck.pos"""
 )
 def cdc_advance_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.advance_over(standing(spark, sf_dir), finished_ranges(spark, sf_dir))

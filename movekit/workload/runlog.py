@@ -377,12 +377,13 @@ def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate all checks; some chunks wait for their own check, which is a cycle."""
     k = F.col("p_partkey")
     kind = lambda name, key: F.concat(F.lit(name), key.cast("string"))
+    pair = lambda node, needs: F.struct(node.alias("node"), needs.alias("depends_on"))
     pairs = F.array(
-        F.struct(kind("import-", k).alias("node"), kind("chunk-", k).alias("depends_on")),
-        F.struct(kind("import-", k), F.when(k > 1, kind("import-", F.floor(k / 2)))),
-        F.struct(kind("check-", k), kind("import-", k)),
-        F.struct(kind("gate-", F.col("p_brand")), kind("check-", k)),
-        F.struct(F.when(k % 97 == 3, kind("chunk-", k)), kind("check-", k)),
+        pair(kind("import-", k), kind("chunk-", k)),
+        pair(kind("import-", k), F.when(k > 1, kind("import-", F.floor(k / 2)))),
+        pair(kind("check-", k), kind("import-", k)),
+        pair(kind("gate-", F.col("p_brand")), kind("check-", k)),
+        pair(F.when(k % 97 == 3, kind("chunk-", k)), kind("check-", k)),
     )
     return table(spark, sf_dir, "part").select(F.explode(pairs).alias("e")).select("e.*").dropna()
 
