@@ -159,18 +159,19 @@ def _search(slab: Slab, low: np.ndarray, high: np.ndarray, k: int, same: bool, n
                 for s in range(0, len(every), 256):
                     some = every[s : s + 256]
                     least, most = bounds(slab.norm[some], slab.angles[some], norms[here], angles[here])
+                    if same:
+                        own = slab.row[some, None] != rows[None, here]
+                    else:
+                        own = slab.label[some, None] != labels[None, here]
                     wanted = np.zeros(least.shape, bool)
                     for w in range(slots):
                         floor = np.maximum(low[some, w], best.least[some * slots + w])
                         # Rows that surely lie in the window raise the floor before any is scored.
-                        if least.shape[1] > k:
-                            sure = np.where((least >= low[some, w, None]) & (most <= high[some, w, None]), least, -np.inf)
-                            floor = np.maximum(floor, np.partition(sure, -k - 1, axis=1)[:, -k - 1])
+                        if least.shape[1] >= k:
+                            sure = np.where(own & (least >= low[some, w, None]) & (most <= high[some, w, None]), least, -np.inf)
+                            floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
                         wanted |= (most >= floor[:, None]) & (least <= high[some, w, None])
-                    if same:
-                        wanted &= slab.row[some, None] != rows[None, here]
-                    else:
-                        wanted &= slab.label[some, None] != labels[None, here]
+                    wanted &= own
                     i, j = np.nonzero(wanted)
                     if not len(i):
                         continue

@@ -53,7 +53,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return starts, mix64((total[ends] - total[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[list[int]]:
+def chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[list[int]]:
     """Positions of ``texts`` in runs of about ``limit`` bytes; a longer text is a run of its own."""
     run, size = [], 0
     for i, t in enumerate(texts):

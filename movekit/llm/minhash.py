@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movekit.llm.common import narrow
+from movekit.llm.common import narrow, small_batches
 from movekit.llm.components import connected_components
 from movekit.llm.hashing import LOWER, U64, mix64, shingle_sets
 from movekit.session import stage
@@ -179,7 +179,8 @@ def near_duplicates(
     rows_in = narrow(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows_in.schema["id"].dataType.simpleString()
     summary = rows_in.mapInPandas(_summaries(n_left, n_right, rows, k, seed), f"id {id_type}, digest binary, n long, l array<bigint>, r array<bigint>")
-    summary = stage(summary, "near-summaries")
+    with small_batches(docs.sparkSession):
+        summary = stage(summary, "near-summaries")
     classes = (
         summary.where("digest is not null and id is not null")
         .groupBy("digest")
@@ -204,7 +205,8 @@ def near_duplicates(
     wanted = stage(wanted, "near-candidates")
     sets = rows_in.where("id is not null").join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").mapInPandas(_sets(k), "digest binary, s array<bigint>")
     sets = sets.join(wanted.select("digest", "v"), "digest").select("v", "s")
-    sets = stage(sets.dropDuplicates(["v"]) if repeats else sets, "near-sets")
+    with small_batches(docs.sparkSession):
+        sets = stage(sets.dropDuplicates(["v"]) if repeats else sets, "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that pass on their full sets; sizes are compared first."""

@@ -23,7 +23,7 @@ def write_tokens(docs: DataFrame, folder: str, *, end: int, width: int = 2, path
     """Write each task's documents as one flat file of ids, every document closed by ``end``.
 
     ``kind=tokens`` holds nothing but ids of ``width`` bytes, little endian; ``kind=ids`` has the
-    documents' own ids in the same order, eight bytes each and closed in the same way. Both come from one
+    documents' own ids in the same order, a byte that is 1 for a null id and eight of the id, closed in the same way. Both come from one
     job and are written by Spark's text writer, whose line separator is the end id.
     """
     kind = f"<u{width}"
@@ -33,17 +33,20 @@ def write_tokens(docs: DataFrame, folder: str, *, end: int, width: int = 2, path
         own, task, turn = tokenizer(place), TaskContext.get().partitionId(), 0
         for pdf in batches:
             out = []
-            for i, raw in zip(pdf["id"], own.encode([t or "" for t in pdf["text"]]), strict=True):
+            for i, none, raw in zip(pdf["id"], pdf["nameless"], own.encode([t or "" for t in pdf["text"]]), strict=True):
                 ids = np.frombuffer(raw, "<u4")
                 if len(ids) and (ids == end).any():
                     raise ValueError("a text holds the id that ends documents")
+                if len(ids) and int(ids.max()) >= 256**width:
+                    raise ValueError(f"an id of the tokenizer does not fit {width} bytes")
                 out.append((task, "tokens", turn, ids.astype(kind).tobytes()))
-                out.append((task, "ids", turn, int(i).to_bytes(8, "little", signed=True)))
+                out.append((task, "ids", turn, bytes([none]) + int(i).to_bytes(8, "little", signed=True)))
                 turn += 1
             yield pd.DataFrame(out, columns=["shard", "kind", "turn", "value"])
 
-    rows = narrow(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.where("id is not null").mapInPandas(run, "shard long, kind string, turn long, value binary")
+    own_id = F.col(id_col).cast("long")
+    rows = narrow(docs, id_col, text_col).select(F.coalesce(own_id, F.lit(0)).alias("id"), own_id.isNull().alias("nameless"), F.col(text_col).alias("text"))
+    rows = rows.mapInPandas(run, "shard long, kind string, turn long, value binary")
     rows = rows.sortWithinPartitions("shard", "kind", "turn").select("shard", "kind", F.col("value").cast("string").alias("value"))
     separator = int(end).to_bytes(width, "little").decode("latin-1")
     rows.write.partitionBy("shard", "kind").option("encoding", "ISO-8859-1").option("lineSep", separator).text(folder)
@@ -98,7 +101,7 @@ def document_tokens(docs: DataFrame, *, end: int = 65535, width: int = 2, path:
     ``end`` is outside the vocabulary, so that a text may hold any id, those of special tokens included.
 
     Defined results: null and empty texts have 0 tokens; repeated rows are counted one by one; rows
-    with a null id are left out, as files carry ids as numbers; an empty table gives no rows.
+    with a null id are counted and keep it; an empty table gives no rows. Ids of the tokenizer that do not fit ``width`` are an error.
 
     Returns ``<id>, n_tokens``.
     """
@@ -113,12 +116,12 @@ def document_tokens(docs: DataFrame, *, end: int = 65535, width: int = 2, path:
     def read_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = np.frombuffer(content, np.dtype([("id", "<i8"), ("end", f"V{width}")]))
-                yield pd.DataFrame({"file": name, "turn": np.arange(len(rows)), "id": rows["id"].copy()})
+                rows = np.frombuffer(content, np.dtype([("nameless", "u1"), ("id", "<i8"), ("end", f"V{width}")]))
+                yield pd.DataFrame({"file": name, "turn": np.arange(len(rows)), "nameless": rows["nameless"] == 1, "id": rows["id"].copy()})
 
     ids = spark.read.format("binaryFile").load(f"{folder}/shard=*/kind=ids").select("path", "content")
-    ids = ids.mapInPandas(read_ids, "file string, turn long, id long")
+    ids = ids.mapInPandas(read_ids, "file string, turn long, nameless boolean, id long")
     shard = F.regexp_extract("file", r"/shard=(\d+)/", 1)
     left, right = counts.withColumn("shard", shard), ids.withColumn("shard", shard).drop("file")
     joined = right.join(left, ["shard", "turn"])
-    return joined.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_tokens")
+    return joined.select(F.when(~F.col("nameless"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_tokens")

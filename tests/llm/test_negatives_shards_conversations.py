@@ -55,6 +55,20 @@ def test_negatives_equal_brute_force(spark, per_pass):
     assert Counter(map(tuple, hard_negatives.hard_negatives(df, per_pass=per_pass).collect())) == brute_negatives(rows)
 
 
+def test_rows_of_the_own_label_hide_no_negative(spark):
+    """Many rows of the anchor's label surely lie in the window, above the few negatives that do."""
+    rng = np.random.default_rng(8)
+    axis = np.zeros(8)
+    axis[0] = 1.0
+    tilted = axis * 0.6 + np.eye(8)[1] * 0.8
+    rows = [(1 + i + (1 + i) // 6, (axis * 4 + rng.normal(size=8) * 0.001).tolist(), 0) for i in range(6)]
+    rows += [(50, (axis * 4).tolist(), 0)] + [(401 + 7 * i, (axis * 2.8 + rng.normal(size=8) * 0.001).tolist(), 0) for i in range(60)]
+    rows += [(1002 + 7 * i, (tilted * 4 + rng.normal(size=8) * 0.001).tolist(), 1) for i in range(9)]
+    got = hard_negatives.hard_negatives(spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], VECTORS))
+    found = Counter(map(tuple, got.collect()))
+    assert found == brute_negatives(rows) and len(found) == 15
+
+
 def test_negatives_of_nothing(spark):
     none = spark.createDataFrame([], VECTORS)
     assert hard_negatives.hard_negatives(none).count() == 0
