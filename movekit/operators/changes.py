@@ -175,6 +175,18 @@ def apply_net(
     return kept.unionByName(fresh.select(*[inserted(f) for f in target.schema]))
 
 
+def moved_rows(
+    target: DataFrame, net: DataFrame, keys: Sequence[str], columns: Sequence[str], broadcast: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a table that a net effect takes out, and those it puts in; rows of other keys are in neither.
+
+    An update takes the old row out and puts the new one in; a change without effect does so with equal rows.
+    """
+    changed = F.broadcast(net.select(*keys)) if broadcast else net.select(*keys)
+    out = target.join(changed, list(keys), "left_semi")
+    return out, apply_net(out, net, keys, columns, broadcast)
+
+
 def fits_broadcast(stored: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether stored data is small enough to broadcast.
 

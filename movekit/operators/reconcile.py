@@ -209,6 +209,25 @@ def _side(df: DataFrame, spec: TableSpec, side: str) -> DataFrame:
     )
 
 
+def table_sums(df: DataFrame, spec: TableSpec, target: bool = False) -> DataFrame:
+    """What all checks need of a table, at most ``buckets + 1`` rows: side, bucket, n, total, sampled.
+
+    Sums are exact and so can be kept and moved by changes, see :func:`moved_sums`.
+    """
+    return _side(_where(df, spec.target_predicate if target else spec.source_predicate), spec, "t" if target else "s")
+
+
+def moved_sums(sums: DataFrame, removed: DataFrame, added: DataFrame, spec: TableSpec, target: bool = False) -> DataFrame:
+    """Kept sums after some rows left the table and others came, as :func:`moved_rows` gives them for a feed.
+
+    Equal to :func:`table_sums` of the changed table, at the price of reading the moved rows alone.
+    """
+    out = table_sums(removed, spec, target)
+    out = out.withColumns({c: -F.col(c) for c in ("n", "total", "sampled")})
+    parts = sums.unionByName(out).unionByName(table_sums(added, spec, target))
+    return parts.groupBy("side", "bucket").agg(*[F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in ("n", "total", "sampled")])
+
+
 def reconcile(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
     """All of the table's checks from one scan per side.
 
@@ -217,6 +236,11 @@ def reconcile(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFram
     target_value, matched; one row per table-level check and one per bucket
     (``bucketed_count.<b>``).
     """
+    return reconcile_sums(table_sums(source, spec), table_sums(target, spec, target=True), spec)
+
+
+def reconcile_sums(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
+    """The report of :func:`reconcile` from the sums of both tables."""
     _bucket_limit(spec.buckets)
     wanted = set(spec.checks)
     if not spec.numeric:
@@ -226,9 +250,7 @@ def reconcile(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFram
     if not wanted:
         raise ValueError("no check applies to this table")
 
-    reduced = _side(_where(source, spec.source_predicate), spec, "s").unionByName(
-        _side(_where(target, spec.target_predicate), spec, "t")
-    )
+    reduced = source.unionByName(target)
     # Zero rows make empty tables and empty buckets show up with their zeros.
     nothing = source.sparkSession.range(-1, spec.buckets, 1, 1).select(
         F.lit("s").alias("side"),

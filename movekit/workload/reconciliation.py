@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movekit.functions.scalars import bucket_id, normalize_scalar, numeric_row_sum, sample_pred
+from movekit.operators import changes as C
 from movekit.operators import reconcile as R
+from movekit.operators.differences import differing_keys
+from movekit.session import stage
 from movekit.workload import query, table
 
 NUMERIC = ["o_orderkey", "o_custkey", "o_price"]
@@ -184,3 +187,38 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         normalize_scalar(F.col("event_type"), events.schema["event_type"].dataType).alias("shown_type"),
         normalize_scalar(F.col("ts"), events.schema["ts"].dataType).alias("shown_ts"),
     )
+
+
+@query(
+    SIDES
+    + """, u AS (SELECT o_orderkey, o_custkey, o_price, o_orderstatus FROM t UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_price, o_orderstatus FROM s WHERE o_orderkey % 1013 = 7)
+SELECT COALESCE(s.o_orderkey, u.o_orderkey) AS o_orderkey, CASE WHEN u.o_orderkey IS NULL THEN 'missing' WHEN s.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS status,
+ CAST(CASE WHEN s.o_orderkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS source_rows, CAST(CASE WHEN u.o_orderkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS target_rows
+FROM s FULL JOIN u ON s.o_orderkey = u.o_orderkey
+WHERE s.o_orderkey IS NULL OR u.o_orderkey IS NULL OR s.o_custkey <> u.o_custkey OR s.o_price <> u.o_price OR s.o_orderstatus <> u.o_orderstatus"""
+)
+def reconcile_differing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which orders the copy lost, changed or has in excess."""
+    source, target = sides(spark, sf_dir)
+    extra = source.where("o_orderkey % 1013 = 7").withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000)
+    return differing_keys(source, target.unionByName(extra), ["o_orderkey"])
+
+
+@query(FUSED + "SELECT * FROM lines")
+def reconcile_kept_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy damaged by three batches of changes; its sums follow the changes and the copy is never scanned again."""
+    source, _ = sides(spark, sf_dir)
+    keys, columns = ["o_orderkey"], ["o_orderkey", "o_custkey", "o_price"]
+    k = F.col("o_orderkey")
+    op = F.when(k % 997 == 3, 1).when(k % 1009 == 5, 4)
+    position = F.lpad(F.hex(k), 20, "0")
+    feed = source.where(op.isNotNull()).select(
+        op.alias("op"), position.alias("start_lsn"), position.alias("seqval"), "o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), "o_price"
+    )
+    copy, sums = source, stage(R.table_sums(source, SPEC, target=True), "sums")
+    for n in range(3):
+        net = stage(C.net_changes(feed.where(k % 3 == n), keys, columns), "net")
+        removed, added = C.moved_rows(copy, net, keys, columns)
+        sums = stage(R.moved_sums(sums, removed, added, SPEC, target=True), "sums")
+        copy = stage(C.apply_net(copy, net, keys, columns), "version")
+    return R.reconcile_sums(R.table_sums(source, SPEC), sums, SPEC)

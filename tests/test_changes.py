@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from movekit.operators import changes as C
+from movekit.operators import reconcile as R
 from movekit.plans import health as H
 from movekit.plans import ranges as P
 from movekit.session import scratch
@@ -437,3 +438,22 @@ def test_checkpoints_move_over_filled_holes(spark):
     assert rows(P.open_ranges, []) == []
     with pytest.raises(Exception, match="range reversed"):
         rows(P.advance_over, [("p", "a", 9, 3)])
+
+
+# -- sums kept current ------------------------------------------------------------------------------
+
+
+def test_sums_follow_the_changes(spark):
+    spec = R.TableSpec(numeric=["id", "v"], key="id", modulo=3, buckets=4, target_predicate="v IS NULL OR v < 900")
+    table = spark.createDataFrame([(i, i * 10) for i in range(40)], "id long, v long")
+    sums, rng = R.table_sums(table, spec, target=True), random.Random(6)
+    for n in range(3):
+        rows = [(rng.choice([1, 2, 4]), n + 1, i, rng.randrange(60), rng.choice(["5", "950", None])) for i in range(30)]
+        net = C.net_changes(feed_of(spark, rows).select("op", "start_lsn", "seqval", "id", F.col("name").cast("long").alias("v")), ["id"], ["id", "v"])
+        removed, added = C.moved_rows(table, net, ["id"], ["id", "v"], broadcast=n == 1)
+        sums = R.moved_sums(sums, removed, added, spec, target=True)
+        table = spark.createDataFrame(C.apply_net(table, net, ["id"], ["id", "v"]).collect(), "id long, v long")
+        sums = spark.createDataFrame(sums.collect(), sums.schema)
+        source = R.table_sums(table, spec)
+        got, want = R.reconcile_sums(source, sums, spec).collect(), R.reconcile(table, table, spec).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
