@@ -14,6 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from movekit.llm.common import small_batches
 from movekit.llm.exact import exact_duplicates
 from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
@@ -63,7 +64,9 @@ def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go."""
     labels, keyed = spark.read.parquet(f"{sf_dir}/labels.parquet"), _keyed(docs)
-    return _only(keyed, score_quality(keyed, labels, row_col=ROW).where("predicted = 1"))
+    with small_batches(spark):
+        good = stage(score_quality(keyed, labels, row_col=ROW).where("predicted = 1").select(ROW), "pipeline-good")
+    return _only(keyed, good)
 
 
 @_tidy
