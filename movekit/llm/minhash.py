@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movekit.llm.common import narrow, small_batches
+from movekit.llm.common import narrow, shuffle_width, small_batches
 from movekit.llm.components import connected_components
 from movekit.llm.hashing import LOWER, U64, mix64, shingle_sets
 from movekit.session import stage
@@ -195,7 +195,9 @@ def near_duplicates(
     )
     # A text of one shingle shares a class with all that have the same one; others have two or more and are similar to it by half at most.
     several = classes.where("n > 1") if percent > 50 else classes
-    entries = several.select("v", F.explode(table_keys).alias("key"))
+    # A class makes a row for every table: they are dealt anew, so that no task makes more than its part.
+    dealt = several.select("v", "l", "r").repartition(shuffle_width(docs.sparkSession), "v")
+    entries = dealt.select("v", F.explode(table_keys).alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("v").alias("hub")).where("members > 1")
     members = stage(entries.join(shared, "key").select("key", "v", "hub"), "near-members")
 
