@@ -4,6 +4,7 @@ Inventory frames carry ``database, schema`` and, except routines, ``table``:
 ``tables(row_count)``, ``columns(ordinal, name, type, identity, computed)``,
 ``indexes(position, name, columns[], unique, primary_key, filtered, included_columns[])``,
 ``triggers(name)``, ``routines(name, type)``.
+Frames of tables and of their parts meet by their keys in a shuffle; only types and schemas may be broadcast.
 Per-table lists are bounded by what the source server allows in one table (its column limit).
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movekit.functions.scalars import blank, strip, type_base
+from movekit.session import by_key
 
 Sys = Mapping[str, DataFrame]
 TABLE = ("database", "schema", "table")
@@ -42,7 +44,7 @@ def catalog_tables(sys: Sys, database: str) -> DataFrame:
     rows = sys["partitions"].where("index_id IN (0, 1)").groupBy("object_id").agg(F.sum("rows").alias("row_count"))
     return (
         _own_tables(sys, database)
-        .join(rows, "object_id", "left")
+        .join(by_key(rows), "object_id", "left")
         .groupBy(*TABLE)
         .agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"))
     )
@@ -54,7 +56,7 @@ def catalog_columns(sys: Sys, database: str) -> DataFrame:
     sizes = [c for c in ("max_length", "precision", "scale") if c in sys["columns"].columns]
     return (
         sys["columns"]
-        .join(_own_tables(sys, database), "object_id")
+        .join(by_key(_own_tables(sys, database)), "object_id")
         .join(types, "user_type_id")
         .select(
             *TABLE,
@@ -77,9 +79,9 @@ def _ordered(item: Column, keep: Column) -> Column:
 def catalog_indexes(sys: Sys, database: str) -> DataFrame:
     """Indexes with ordered key columns and included columns; unnamed and hypothetical ones are left out."""
     columns = sys["columns"].select("object_id", "column_id", F.col("name").alias("_column"))
-    parts = sys["index_columns"].join(columns, ["object_id", "column_id"], "left")
+    parts = sys["index_columns"].join(by_key(columns), ["object_id", "column_id"], "left")
     named = sys["indexes"].where("name IS NOT NULL AND is_hypothetical = false")
-    rows = named.join(_own_tables(sys, database), "object_id").join(parts, ["object_id", "index_id"], "left")
+    rows = named.join(by_key(_own_tables(sys, database)), "object_id").join(by_key(parts), ["object_id", "index_id"], "left")
     item = F.struct("key_ordinal", "index_column_id", F.col("_column").alias("name"))
     present = F.col("_column").isNotNull()
     return (
@@ -98,7 +100,7 @@ def catalog_indexes(sys: Sys, database: str) -> DataFrame:
 
 def catalog_triggers(sys: Sys, database: str) -> DataFrame:
     triggers = sys["triggers"].select(F.col("parent_id").alias("object_id"), "name")
-    return triggers.join(_own_tables(sys, database), "object_id").select(*TABLE, "name")
+    return triggers.join(by_key(_own_tables(sys, database)), "object_id").select(*TABLE, "name")
 
 
 def catalog_routines(sys: Sys, database: str) -> DataFrame:
@@ -203,7 +205,7 @@ def table_documents(inventory: Inventory) -> DataFrame:
     triggers = inventory.triggers.groupBy(*TABLE).agg(F.array_sort(F.collect_list("name")).alias("triggers"))
     joined = inventory.tables
     for part in (columns, indexes, triggers):
-        joined = joined.join(part, list(TABLE), "left")
+        joined = joined.join(by_key(part), list(TABLE), "left")
     empty = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c)
     return joined.select(*TABLE, "row_count", *[empty(c) for c in ("columns", "indexes", "triggers")])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movekit.functions.scalars import SPACES, blank, source_name_ok, strip
+from movekit.session import by_key
 
 
 def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
     )
     listed = F.transform("_c", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type")))
     none = F.array().cast("array<struct<name:string,type:string>>")
-    return tables.join(ordered, "source_object", "left").withColumn("columns", F.coalesce(listed, none)).drop("_c")
+    return tables.join(by_key(ordered), "source_object", "left").withColumn("columns", F.coalesce(listed, none)).drop("_c")
 
 
 def _key(name: Column) -> Column:
@@ -49,7 +50,7 @@ def detect_drift(baseline: DataFrame, inventory: DataFrame, baseline_status: str
     new = inventory.select(
         _key(F.col("source_object")).alias("_k"), F.col("source_object").alias("new_name"), F.col("columns").alias("new"), "in_scope"
     )
-    joined = old.join(new, "_k", "full")
+    joined = old.join(by_key(new), "_k", "full")
     code = (
         F.when(F.col("new_name").isNull(), "table_missing")
         .when(F.col("old_name").isNull(), F.when(F.col("in_scope"), "table_added"))
@@ -98,11 +99,11 @@ def check_objects(objects: DataFrame, inventory: DataFrame, reviewed: DataFrame
         "_k", _key(F.col("source_object"))
     )
     now = inventory.select(_key(F.col("source_object")).alias("_k"), F.col("columns").alias("now"), F.lit(True).alias("_now"))
-    joined = used.join(now, "_k", "left")
+    joined = used.join(by_key(now), "_k", "left")
     rule = F.when(F.col("_now").isNull(), "missing_from_catalog")
     if reviewed is not None:
         was = reviewed.select(_key(F.col("source_object")).alias("_k"), F.col("columns").alias("was"), F.lit(True).alias("_was"))
-        joined = joined.join(was, "_k", "left")
+        joined = joined.join(by_key(was), "_k", "left")
         rule = rule.when(F.col("_was").isNull(), "missing_from_baseline").when(
             _shape(F.col("was")) != _shape(F.col("now")), "columns_differ_from_baseline"
         )
@@ -120,7 +121,7 @@ def check_tracked(tracked: DataFrame, captured: DataFrame, indexes: DataFrame) -
         (F.col("primary_key") | F.col("unique")) & ~F.col("filtered") & (F.size("columns") > 0)
     ).select(_key(F.col("source_object")).alias("_k"), F.transform("columns", _key).alias("_key_columns"))
     keys = usable.groupBy("_k").agg(F.collect_set("_key_columns").alias("keys"))
-    joined = tracked.withColumn("_k", _key(F.col("source_object"))).join(now, "_k", "left").join(keys, "_k", "left")
+    joined = tracked.withColumn("_k", _key(F.col("source_object"))).join(by_key(now), "_k", "left").join(by_key(keys), "_k", "left")
     has_key = F.coalesce(F.array_contains("keys", F.transform("key_columns", _key)), F.lit(False))
     rules = F.array(
         F.when(F.col("now").isNull(), F.lit("missing_from_catalog")),
@@ -139,7 +140,7 @@ def check_fields(jobs: DataFrame, inventory: DataFrame) -> DataFrame:
     )
     listed = jobs.where((F.size("fields") > 0) & ~blank(F.col("source_object"))).withColumn("_k", _key(F.col("source_object")))
     return (
-        listed.join(now, "_k", "left")
+        listed.join(by_key(now), "_k", "left")
         .withColumn("rule", F.when(F.col("now").isNull(), "missing_from_catalog").when(~_same(named, F.col("now")), "fields_differ"))
         .where(F.col("rule").isNotNull())
         .select("job_id", "source_object", "rule")

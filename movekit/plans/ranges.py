@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from movekit.functions.lsn import format_lsn, is_lsn, lsn_bytes, parse_lsn, range_ok, require_lsn
 from movekit.functions.scalars import blank, rfc3339, source_name_ok, strip, target_name_ok
+from movekit.session import by_key
 
 ID = ("project", "source_object")
 # States of a checkpoint.
@@ -387,8 +388,8 @@ def plan_tracked(
     ids = ["database", "schema", "table"]
     none = F.array().cast("array<string>")
     return (
-        tables.join(captured, ids, "left")
-        .join(keys, ids, "left")
+        tables.join(by_key(captured), ids, "left")
+        .join(by_key(keys), ids, "left")
         .select(
             "source_object",
             "target_object",

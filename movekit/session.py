@@ -64,6 +64,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df``, to meet other rows by a shuffle of both sides and never as a broadcast.
+
+    Spark guesses the size of a table from its compressed files and takes no notice of rows that ``explode`` makes,
+    so a table that grows with the data can be taken for a small one and pass whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders right below a path, from one listing of its Hadoop file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
