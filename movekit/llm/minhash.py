@@ -283,22 +283,34 @@ def _few_pairs(left: DataFrame, classes: DataFrame, n_right: int) -> DataFrame:
 
 
 def _across(left: DataFrame, classes: DataFrame, sets: DataFrame, table_keys: Column, percent: int, n_right: int) -> DataFrame:
-    """Links across the components of table entries; ``left`` has the members of entries with several of them.
+    """Links across the components of table entries; ``left`` has the members of entries with several of them."""
+    dealt = _in_blocks(left, classes, sets, table_keys)
+    return stage(dealt.groupBy("key", "bx", "by").applyInPandas(_compare(percent, n_right), "a long, b long"), "near-links")
 
-    An entry is dealt in square blocks of pairs, so that its size only adds tasks. Sizes of entries are counted first.
+
+def _in_blocks(left: DataFrame, classes: DataFrame, sets: DataFrame, table_keys: Column) -> DataFrame:
+    """The two sides of every block of pairs of the entries.
+
+    An entry is dealt in blocks of pairs, members outside its largest component against all, so that its size only adds
+    tasks. Both sides are counted first and cut by their own size: a member is repeated once per block of the outside, and
+    only members outside once per block of the entry.
     """
     outside = F.col("component") != F.col("largest")
-    per = left.join(classes.select("v", "n"), "v").groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rows = left.join(per.select("key", blocks.alias("blocks")), "key").join(classes.select("v", "n", "l", "r"), "v").join(sets, "v")
-    own = F.pmod(F.xxhash64("v", "key"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("t", (F.array_position(table_keys, F.col("key")) - 1).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    counted = left.join(classes.select("v", "n"), "v").groupBy("key")
+
+    def blocks(of: Column) -> Column:
+        texts, shingles = F.count_if(of), F.sum(F.when(of, F.col("n")))
+        return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    per = counted.agg(blocks(outside).alias("nx"), blocks(F.lit(True)).alias("ny"))
+    rows = left.join(per, "key").join(classes.select("v", "n", "l", "r"), "v").join(sets, "v")
+    rows = rows.withColumn("t", (F.array_position(table_keys, F.col("key")) - 1).cast("int"))
+    own = lambda n: F.pmod(F.xxhash64("v", "key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ["key", "v", "component", "largest", "n", "l", "r", "s", "t"]
-    x = rows.where(outside).select(*kept, F.lit(0).alias("side"), F.col("own").alias("bx"), every).withColumnRenamed("other", "by")
-    y = rows.select(*kept, F.lit(1).alias("side"), F.col("own").alias("by"), every).withColumnRenamed("other", "bx")
-    found = x.unionByName(y).groupBy("key", "bx", "by").applyInPandas(_compare(percent, n_right), "a long, b long")
-    return stage(found, "near-links")
+    x = rows.where(outside).select(*kept, F.lit(0).alias("side"), own("nx").alias("bx"), every("ny").alias("by"))
+    y = rows.select(*kept, F.lit(1).alias("side"), every("nx").alias("bx"), own("ny").alias("by"))
+    return x.unionByName(y)
 
 
 def _repeats(summary: DataFrame) -> bool:

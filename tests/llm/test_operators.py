@@ -493,3 +493,19 @@ def test_url_rules_equal_brute_force(spark):
     assert got == Counter((i, *brute_rule(u)) for i, u, *_ in rows)
     assert apply_rules(pages.limit(0), rules_frame(spark, RULES)).count() == 0
     assert {r["verdict"] for r in apply_rules(pages, rules_frame(spark, RULES).limit(0)).collect()} == {"allow"}
+
+
+def test_members_of_a_large_entry_are_repeated_by_the_outside_only(spark, monkeypatch):
+    from movekit.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 4)
+    left = spark.createDataFrame([(7, v, 0 if v > 1 else 100 + v, 0) for v in range(40)], "key long, v long, component long, largest long")
+    classes = spark.createDataFrame([(v, 3, [v], [v]) for v in range(40)], "v long, n long, l array<bigint>, r array<bigint>")
+    sets = spark.createDataFrame([(v, [v, 1000, 1001]) for v in range(40)], "v long, s array<bigint>")
+    dealt = minhash._in_blocks(left, classes, sets, F.array(F.lit(7).cast("long"))).collect()
+    blocks = {}
+    for r in dealt:
+        blocks.setdefault((r["bx"], r["by"]), []).append((r["side"], r["v"]))
+    met = [(x, y) for rows in blocks.values() for s, x in rows if s == 0 for t, y in rows if t == 1]
+    assert sorted(met) == [(x, y) for x in (0, 1) for y in range(40)]
+    assert len(dealt) == 40 + 2 * 10
