@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movekit.session import stage
+from movekit.operators.changes import BROADCAST_ROWS
+from movekit.session import by_key, stage
 
 #: Rounds whose finds are read one by one before they are written as one table.
 COMPACT = 8
@@ -33,7 +34,7 @@ def plan_edges(chunks: DataFrame, jobs: DataFrame, checks: DataFrame) -> DataFra
 def changed_items(before: DataFrame, now: DataFrame, ids: Sequence[str] = ("node",)) -> DataFrame:
     """Items that are new or whose fingerprint differs from the one recorded; items that are gone count as changed too."""
     old = before.select(*ids, F.col("fingerprint").alias("_old"))
-    both = now.select(*ids, "fingerprint").join(old, list(ids), "full")
+    both = now.select(*ids, "fingerprint").join(by_key(old), list(ids), "full")
     return both.where(~F.col("fingerprint").eqNullSafe(F.col("_old"))).select(*ids)
 
 
@@ -41,16 +42,18 @@ def reopened(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """``node, depth`` of every changed node (0) and all that depends on one, by the fewest steps to it.
 
     A frontier moves along the edges; each round joins only the nodes found last and leaves out those known, so cycles
-    end and every edge is followed once. The driver sees whether a round found any.
+    end and every edge is followed once. A frontier of at most ``BROADCAST_ROWS`` counted nodes is broadcast, a larger
+    one and all that is known meet by key. The driver sees how many nodes a round found.
     """
     edges = stage(edges.select("node", "depends_on").distinct(), "plan-edges")
     frontier, depth = stage(changed.select("node").distinct().withColumn("depth", F.lit(0)), "plan-frontier"), 0
     known = [frontier]
-    while not frontier.isEmpty():
+    while found := frontier.count():
         depth += 1
-        met = edges.join(frontier.select(F.col("node").alias("depends_on")), "depends_on").select("node").distinct()
-        for part in known:
-            met = met.join(part.select("node"), "node", "left_anti")
+        last = frontier.select(F.col("node").alias("depends_on"))
+        last = F.broadcast(last) if found <= BROADCAST_ROWS else by_key(last)
+        met = edges.join(last, "depends_on").select("node").distinct()
+        met = met.join(by_key(_all(known).select("node")), "node", "left_anti")
         frontier = stage(met.withColumn("depth", F.lit(depth)), "plan-frontier")
         known.append(frontier)
         if len(known) > COMPACT:
@@ -75,7 +78,7 @@ def cyclic(edges: DataFrame) -> DataFrame:
     n = now.count()
     while n:
         needs, needed = now.select("node").distinct(), now.select(F.col("depends_on").alias("node")).distinct()
-        kept = now.join(needs.select(F.col("node").alias("depends_on")), "depends_on", "left_semi").join(needed, "node", "left_semi")
+        kept = now.join(by_key(needs.select(F.col("node").alias("depends_on"))), "depends_on", "left_semi").join(by_key(needed), "node", "left_semi")
         now = stage(kept.select("node", "depends_on"), "plan-edges")
         left = now.count()
         if left == n:

@@ -57,3 +57,22 @@ def test_plan_edges_and_changed_items(spark):
     print_of = lambda rows: spark.createDataFrame(rows, "node string, fingerprint string")
     found = D.changed_items(print_of([("a", "1"), ("b", "1"), ("c", None)]), print_of([("a", "1"), ("b", "2"), ("d", "1"), ("c", None)]))
     assert {r["node"] for r in found.collect()} == {"b", "d"}
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_only_a_counted_frontier_is_broadcast(spark, monkeypatch, limit):
+    """Whatever is known already meets what is found by key; a frontier beyond the limit does as well."""
+    plans, real = [], D.stage
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, label)
+
+    monkeypatch.setattr(D, "stage", noted)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", limit)
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i // 2}") for i in range(40)], EDGES)
+    got = {r["node"] for r in D.reopened(edges, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert got == {f"n{i}" for i in range(41)}
+    rounds = [p for label, p in plans if label == "plan-frontier"][1:]
+    assert all("LeftAnti" in p and p.split("LeftAnti")[0].rstrip().splitlines()[-1].count("SortMergeJoin") for p in rounds)
+    assert [p.count("BroadcastExchange") for p in rounds][0] == (1 if limit else 0) and not rounds[-1].count("BroadcastExchange") > 1
