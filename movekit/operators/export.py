@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from movekit.plans.chunks import range_of
 from movekit.session import folder_names
 from movekit.sources.csvio import BITMAP, check_compression, write_csv
 
@@ -103,18 +104,8 @@ def export_ranged(
     """
     if len(chunk_ids) != len(bounds) + 1 or any(a >= b for a, b in zip(bounds, bounds[1:], strict=False)):
         raise ValueError("chunks need one id more than ascending bounds")
-    kind = df.schema[key].dataType.simpleString()
     ids = F.split(F.lit("\n".join(chunk_ids)), "\n")
-    place = F.lit(0)
-    if bounds:
-        edges = F.split(F.lit("\n".join(str(b) for b in bounds)), "\n").cast(f"array<{kind}>")
-        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-        value = F.col("`" + key.replace("`", "``") + "`")
-        place = F.aggregate(
-            F.array(*[F.lit(s) for s in steps]),
-            F.lit(0),
-            lambda low, step: F.when((low + step <= len(bounds)) & (F.get(edges, low + step - 1) <= value), low + step).otherwise(low),
-        )
+    place = range_of(F.col("`" + key.replace("`", "``") + "`"), bounds, df.schema[key].dataType)
     tagged = df.withColumn(CHUNK, F.get(ids, place)).hint("rebalance", CHUNK)
     write_csv(tagged, path, null_encoding, compression, rows_per_file, by=[CHUNK])
     _headers_of_empty(df, path, chunk_ids, null_encoding, compression)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,25 @@ def split_bounds(df: DataFrame, key: str, chunks: int) -> list:
     return sorted(set(found or []))
 
 
+def range_of(value: Column, bounds: Sequence, kind: T.DataType) -> Column:
+    """The number of ``bounds`` (ascending) at or below ``value``, 0 without a value.
+
+    A binary search in one constant array, so the time hardly depends on the number of bounds.
+    """
+    if not bounds:
+        return F.lit(0)
+    if isinstance(kind, T.TimestampType):  # its text depends on the time zone
+        edges = F.array(*[F.lit(b) for b in bounds])
+    else:
+        edges = F.split(F.lit("\n".join(str(b) for b in bounds)), "\n").cast(T.ArrayType(kind))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda low, step: F.when((low + step <= len(bounds)) & (F.get(edges, low + step - 1) <= value), low + step).otherwise(low),
+    )
+
+
 def split_predicates(df: DataFrame, key: str, chunks: int, tiebreak: Sequence[str] = ()) -> list[str]:
     """Predicates that put every row, NULL keys included, in exactly one chunk of similar size.
 

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from movekit.functions.lsn import format_lsn, lsn_bytes, require_lsn
 from movekit.operators.changes import apply_net, binary_positions, fits_broadcast, merge_net, net_changes
-from movekit.plans.chunks import split_bounds
+from movekit.plans.chunks import range_of, split_bounds
 from movekit.session import delete_path, folder_names, path_exists, stage
 
 PROGRESS = T.StructType(
@@ -184,9 +184,9 @@ class Replica:
         key = F.col(self.keys[0])
         if not self._ranged():
             return F.pmod(F.xxhash64(key), F.lit(len(parts))).cast("int")
-        lows = F.array(*[F.lit(low) for _, low in parts[1:]])
-        place = F.size(F.filter(lows, lambda low: low <= key)) if len(parts) > 1 else F.lit(0)
-        return F.element_at(F.array(*[F.lit(p) for p, _ in parts]), place + 1)
+        kind = {f.name.lower(): f.dataType for f in self.base.schema}[self.keys[0].lower()]
+        ids = F.split(F.lit(",".join(str(p) for p, _ in parts)), ",").cast("array<int>")
+        return F.get(ids, range_of(key, [low for _, low in parts[1:]], kind))
 
     def _net_schema(self, feed: T.StructType | None = None) -> T.StructType:
         fields = {f.name.lower(): f for f in self.base.schema}
@@ -318,10 +318,11 @@ class Replica:
     def _write_parts(self, generation: int, following: int, touched: list[Part], new: list[tuple[int, object]], settled: DataFrame, reach: Column) -> list[Part]:
         place = self._place_within(new, touched, generation)
         base = apply_net(self._base(generation, touched or None), settled, self.keys, self.columns, broadcast=fits_broadcast(settled))
-        base.withColumn("part", place).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/base/v={following}")
+        # Rows of a part meet before they are written: a task that held some of every part would write a file for each.
+        base.withColumn("part", place).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/base/v={following}")
         before = self._folded(generation, touched)
         folded = settled if before is None else merge_net(settled.unionByName(before), self.keys)
-        folded.where(reach).withColumn("part", place).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/folded/v={following}")
+        folded.where(reach).withColumn("part", place).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/folded/v={following}")
 
         def stored(name: str, schema: T.StructType) -> DataFrame:
             return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(f"{self.path}/{name}/v={following}")

@@ -457,3 +457,17 @@ def test_sums_follow_the_changes(spark):
         source = R.table_sums(table, spec)
         got, want = R.reconcile_sums(source, sums, spec).collect(), R.reconcile(table, table, spec).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
+
+
+def test_a_fold_writes_a_part_as_one_file(spark):
+    base = spark.range(200).selectExpr("id", "cast(id AS string) AS name").repartition(4).localCheckpoint()
+    replica = Replica(spark, scratch(spark, "replica"), base, ["id"], ["id", "name"], part_rows=50)
+    feed = spark.range(0, 200, 3).selectExpr("4 AS op", f"'{lsn(3)}' AS start_lsn", f"'{lsn(1)}' AS seqval", "id", "'new' AS name")
+    replica.absorb(feed, 0)
+    replica.fold(lsn(9), 0)
+    for name in ("base", "folded"):
+        stored = spark.read.parquet(f"{replica.path}/{name}/v=1").select("part", F.input_file_name().alias("f")).distinct()
+        assert stored.groupBy("part").count().where("count > 1").isEmpty()
+    parts = replica._parts_of(1)
+    assert len(parts) == 4 and sum(p.rows for p in parts) == 200
+    assert replica.snapshot().where("name = 'new'").count() == 67
