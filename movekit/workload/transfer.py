@@ -89,10 +89,10 @@ def whole_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, text, lang FROM documents")
 def whole_text_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from one file that many tasks read, wherever its splits fall."""
+    """The same with every file read by many tasks, wherever its splits fall."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     path, loaded = scratch(spark, "csv"), scratch(spark, "loaded")
-    csvio.write_csv(docs.coalesce(1), path)
+    csvio.write_csv(docs, path)
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = [spark.conf.get(c) for c in names]
     try:

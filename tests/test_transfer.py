@@ -283,3 +283,20 @@ def test_scan(spark, sf_dir):
     for bad in ("t", "a..b", "a.b.c.d"):
         with pytest.raises(ValueError):
             S.quoted(bad)
+
+
+def test_documents_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, monkeypatch):
+    from movekit.workload import transfer
+
+    rows = spark.range(60).selectExpr("id AS doc_id", "concat('a \"b\"\n', id) AS text", "'en' AS lang").repartition(3)
+    rows.write.parquet(f"file://{tmp_path}/documents.parquet")
+    seen, real = [], transfer.csvio.write_csv
+
+    def noted(df, path, *a, **k):
+        seen.append(df.rdd.getNumPartitions())
+        return real(df, path, *a, **k)
+
+    monkeypatch.setattr(transfer.csvio, "write_csv", noted)
+    got = transfer.whole_text_in_splits(spark, f"file://{tmp_path}")
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: f'a "b"\n{i}' for i in range(60)}
+    assert seen[0] > 1
