@@ -20,7 +20,7 @@ from movekit.llm.minhash import near_duplicates
 from movekit.llm.mixing import mix
 from movekit.llm.packing import pack_sequences
 from movekit.llm.quality import score_quality
-from movekit.session import STAGED, delete_path, scratch, stage
+from movekit.session import STAGED, by_key, delete_path, scratch, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The key of a row within one stage.
@@ -56,8 +56,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows whose key is among ``rows``."""
-    return keyed.join(rows.select(ROW), ROW, "left_semi").select(*COLUMNS)
+    """The rows whose key is among ``rows``; they grow with the documents, so both meet in a shuffle at any size."""
+    return keyed.join(by_key(rows.select(ROW)), ROW, "left_semi").select(*COLUMNS)
 
 
 @_tidy
@@ -92,7 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     copies = mix(keyed, row_col=ROW).where("copies > 0").select(ROW, "copies")
     turns = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    return keyed.join(copies, ROW).select(*COLUMNS, F.explode(turns).alias("turn")).drop("turn")
+    return keyed.join(by_key(copies), ROW).select(*COLUMNS, F.explode(turns).alias("turn")).drop("turn")
 
 
 @_tidy
