@@ -3,7 +3,9 @@
 Each row stores its norm and its angles to a few reference directions. For an anchor and a row, the angle between
 them is at least the largest difference of their angles to a reference and at most the smallest sum (mirrored at
 180 degrees). The cosines of both, times the norms, bound the score; the bounds are widened by more than all rounding
-can amount to. Only pairs whose interval meets a window still wanted are scored, in whole numbers.
+can amount to. Rows that share their nearest reference (or label) are bounded together, by the range of their angles.
+Where a group may hold a row for an anchor's windows, one matrix product in single precision narrows each pair's
+interval to its rounding. Only pairs whose interval meets a window still wanted are scored, in whole numbers.
 
 Anchors come in passes of a fixed number, sent to all tasks; every pass reads all rows where they lie. A task keeps
 the best few rows for each anchor and the passes' results are merged by Spark, so nothing grows with the rows but
@@ -34,10 +36,14 @@ MOST_COMPONENT = 1 << 31
 REFERENCES, PILOT = 16, 2048
 #: Anchors of one pass: at 64 components 16,384 of them are 10 MB.
 PER_PASS = 16_384
-#: Rows and pairs looked at together within a task.
-BLOCK, PAIRS = 2048, 1 << 14
+#: Rows, anchors and pairs looked at together within a task.
+BLOCK, TILE, PAIRS = 1 << 14, 512, 1 << 14
+#: Where so many pairs per anchor and kept row pass, the floors are raised first.
+CROWD = 8
 
 UNNAMED = np.iinfo(np.int64).max
+#: The score of a place not taken yet.
+NONE = np.iinfo(np.int64).min
 _VECTORS = "row long, id long, named boolean, label long, norm double, q binary, angles binary"
 _FOUND = "anchor long, slot int, score long, id long, named boolean, row long"
 
@@ -71,22 +77,26 @@ def _angles(q: np.ndarray, norms: np.ndarray, references: np.ndarray) -> np.ndar
     return np.arccos(np.clip(cosine, -1, 1)).astype(np.float32)
 
 
-def bounds(na: np.ndarray, ta: np.ndarray, nb: np.ndarray, tb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(
+    na: np.ndarray, ta: np.ndarray, nb: np.ndarray, tb: np.ndarray, nb_most: np.ndarray | None = None, tb_most: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Safe lower and upper bounds of all scores between two sets of vectors, from norms and angles alone.
 
+    The second set may be groups of rows: then ``nb, tb`` are the least norms and angles of each, and the last two the most.
     Angles are stored in 32 bits (2.4e-7) and the arc cosine errs by at most 1.5e-8 near its ends, so an angle errs by
     less than 1e-6 and a cosine of two of them by less than 2e-6.
     """
+    nb_most, tb_most = nb if nb_most is None else nb_most, tb if tb_most is None else tb_most
     least = np.zeros((len(na), len(nb)), np.float32)
     most = np.full((len(na), len(nb)), np.pi, np.float32)
     for k in range(ta.shape[1]):
-        a, b = ta[:, k, None], tb[None, :, k]
-        np.maximum(least, np.abs(a - b), out=least)
-        both = a + b
-        np.minimum(most, np.minimum(both, np.float32(2 * np.pi) - both), out=most)
-    scale = na[:, None] * nb[None, :]
-    slack = scale * 4e-6 + 1
-    return scale * np.cos(most) - slack, scale * np.cos(least) + slack
+        a, low, high = ta[:, k, None], tb[None, :, k], tb_most[None, :, k]
+        np.maximum(least, np.maximum(low - a, a - high), out=least)
+        np.minimum(most, np.minimum(a + high, np.float32(2 * np.pi) - (a + low)), out=most)
+    short, long = na[:, None] * nb[None, :], na[:, None] * nb_most[None, :]
+    slack = long * 4e-6 + 1
+    down, up = np.cos(most), np.cos(least)
+    return np.where(down > 0, short, long) * down - slack, np.where(up > 0, long, short) * up + slack
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, safe: bool) -> np.ndarray:
@@ -117,22 +127,31 @@ class Best:
 
     def __init__(self, n: int, slots: int, k: int) -> None:
         self.k, self.slots = k, slots
-        self.held = [np.empty(0, np.int64) for _ in range(4)]  # anchor * slots + slot, score, id, row
-        self.least = np.full(n * slots, np.iinfo(np.int64).min)
+        self.score = np.full((n * slots, k), NONE)
+        self.id = np.full((n * slots, k), UNNAMED)
+        self.row = np.full((n * slots, k), -1)
+
+    @property
+    def least(self) -> np.ndarray:
+        """For each anchor and slot, the score a further row must reach."""
+        return self.score[:, -1].reshape(-1, self.slots)
 
     def add(self, place: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        place, score, ids, rows = (np.concatenate(x) for x in zip(self.held, (place, score, ids, rows), strict=True))
-        order = np.lexsort((rows, ids, -score, place))
-        place = place[order]
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        rank = np.arange(len(place)) - np.repeat(first, np.diff(np.append(first, len(place))))
-        keep = order[rank < self.k]
-        last = rank == self.k - 1
-        self.least[place[last]] = score[order][last]
-        self.held = [np.sort(place[rank < self.k]), score[keep], ids[keep], rows[keep]]
+        """Rows for places ``anchor * slots + slot``; only places that a row may enter are sorted anew."""
+        least, last = self.score[place, -1], self.id[place, -1]
+        enters = (score > least) | ((score == least) & (ids <= last))
+        place, score, ids, rows = (x[enters] for x in (place, score, ids, rows))
+        at = np.unique(place)
+        place = np.concatenate((np.repeat(at, self.k), place))
+        score, ids, rows = (np.concatenate((held[at].ravel(), new)) for held, new in ((self.score, score), (self.id, ids), (self.row, rows)))
+        order = np.lexsort((rows, ids, ~score, place))
+        first = np.searchsorted(place[order], at)
+        keep = order[first[:, None] + np.arange(self.k)]
+        self.score[at], self.id[at], self.row[at] = score[keep], ids[keep], rows[keep]
 
     def frame(self, anchors: np.ndarray) -> pd.DataFrame:
-        place, score, ids, rows = self.held
+        place, rank = np.nonzero(self.row >= 0)
+        score, ids, rows = (held[place, rank] for held in (self.score, self.id, self.row))
         return pd.DataFrame({"anchor": anchors[place // self.slots], "slot": (place % self.slots).astype(np.int32), "score": score, "id": ids, "named": ids != UNNAMED, "row": rows})
 
 
@@ -145,42 +164,63 @@ def _blocks(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple]:
             yield x["row"].to_numpy(np.int64), x["id"].to_numpy(np.int64), x["label"].to_numpy(np.int64), x["norm"].to_numpy(np.float64), q, angles
 
 
+def _within(product: np.ndarray, low: np.ndarray, high: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Pairs of a tile whose score may lie in ``low..high``, by rows; compared in the precision of the products."""
+    return (product >= (low - slack).astype(np.float32)[:, None]) & (product <= (high + slack).astype(np.float32)[:, None])
+
+
+def _raised(product: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, slack: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+    """Floors raised by the pairs of a tile that surely lie in the window: its ``k``-th product, less the rounding."""
+    out = floor.copy()
+    for w in range(floor.shape[1]):
+        sure = own & (product >= (low[:, w] + slack)[:, None]) & (product <= (high[:, w] - slack)[:, None])
+        kth = np.partition(np.where(sure, product, -np.inf), -k, axis=1)[:, -k]
+        np.maximum(out[:, w], kth - slack, out=out[:, w])
+    return out
+
+
 def _search(slab: Slab, low: np.ndarray, high: np.ndarray, k: int, same: bool, norm_limit: float):
     """A task's search: for each anchor and window ``low..high`` of scores, the best ``k`` rows of the same or another label."""
     safe = norm_limit < 2.0**52
     slots = low.shape[1]
+    # Windows without a number in them would only keep the others' floors low.
+    low, high = np.where(low > high, np.iinfo(np.int64).max, low), np.where(low > high, np.iinfo(np.int64).min, high)
+    # A product of single precision errs by less than this part of both norms, its limits included.
+    rounding = (slab.width + 8) * 2.0**-23
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = Best(len(slab.row), slots, k)
+        anchors = slab.q.astype(np.float32)
         for rows, ids, labels, norms, q, angles in _blocks(batches, slab.width):
-            for label in np.unique(labels) if same else [None]:
-                here = np.flatnonzero(labels == label) if same else np.arange(len(rows))
-                every = np.flatnonzero(slab.label == label) if same else np.arange(len(slab.row))
-                for s in range(0, len(every), 256):
-                    some = every[s : s + 256]
-                    least, most = bounds(slab.norm[some], slab.angles[some], norms[here], angles[here])
-                    if same:
-                        own = slab.row[some, None] != rows[None, here]
-                    else:
-                        own = slab.label[some, None] != labels[None, here]
-                    wanted = np.zeros(least.shape, bool)
-                    for w in range(slots):
-                        floor = np.maximum(low[some, w], best.least[some * slots + w])
-                        # Rows that surely lie in the window raise the floor before any is scored.
-                        if least.shape[1] >= k:
-                            sure = np.where(own & (least >= low[some, w, None]) & (most <= high[some, w, None]), least, -np.inf)
-                            floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
-                        wanted |= (most >= floor[:, None]) & (least <= high[some, w, None])
-                    wanted &= own
-                    i, j = np.nonzero(wanted)
+            kinds = labels if same or not angles.shape[1] else angles.argmin(axis=1)
+            groups = [np.flatnonzero(kinds == kind) for kind in np.unique(kinds)]
+            shortest, longest = (np.array([f(norms[g]) for g in groups]) for f in (np.min, np.max))
+            nearest, farthest = (np.array([f(angles[g], axis=0) for g in groups]) for f in (np.min, np.max))
+            least, most = bounds(slab.norm, slab.angles, shortest, nearest, longest, farthest)
+            single = q.astype(np.float32)
+            for g, here in enumerate(groups):
+                floor = np.maximum(low, best.least)
+                may = ((most[:, g, None] >= floor) & (least[:, g, None] <= high)).any(axis=1)
+                if same:
+                    may &= slab.label == labels[here[0]]
+                every, columns = np.flatnonzero(may), single[here].T
+                for s in range(0, len(every), TILE):
+                    some = every[s : s + TILE]
+                    floors, tops = floor[some].astype(np.float64), high[some].astype(np.float64)
+                    slack = slab.norm[some] * longest[g] * rounding
+                    product = anchors[some] @ columns
+                    own = slab.row[some, None] != rows[None, here] if same else slab.label[some, None] != labels[None, here]
+                    wanted = _within(product, floors.min(axis=1), tops.max(axis=1), slack) & own
+                    if np.count_nonzero(wanted) > CROWD * k * slots * len(some) and len(here) >= k:
+                        floors = _raised(product, own, low[some], high[some], slack, floors, k)
+                        wanted = np.logical_or.reduce([_within(product, floors[:, w], tops[:, w], slack) for w in range(slots)]) & own
+                    i, j = np.divmod(np.flatnonzero(wanted), len(here))
                     if not len(i):
                         continue
-                    score = exact_scores(slab.q[some], q[here], i, j, safe)
-                    for w in range(slots):
-                        fits = (score >= low[some[i], w]) & (score <= high[some[i], w]) & (score >= best.least[some[i] * slots + w])
-                        if fits.any():
-                            at = here[j[fits]]
-                            best.add(some[i[fits]] * slots + w, score[fits], ids[at], rows[at])
+                    score, i, j = exact_scores(slab.q[some], q[here], i, j, safe), some[i], here[j]
+                    pair, slot = np.nonzero((score[:, None] >= floor[i]) & (score[:, None] <= high[i]))
+                    if len(pair):
+                        best.add(i[pair] * slots + slot, score[pair], ids[j[pair]], rows[j[pair]])
         yield best.frame(slab.row)
 
     return run
@@ -209,6 +249,12 @@ def prepared(vectors: DataFrame) -> DataFrame:
     )
 
 
+def windows(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most a negative may score beside these positives; whole hundreds first, so that 64 bits hold it."""
+    hundreds, rest = np.divmod(score, 100)
+    return LOW * hundreds - (-LOW * rest) // 100, HIGH * hundreds + (HIGH * rest) // 100
+
+
 def hard_negatives(vectors: DataFrame, *, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, per_pass: int = PER_PASS) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
 
@@ -249,7 +295,7 @@ def hard_negatives(vectors: DataFrame, *, every: int = EVERY, positives: int = P
         place = pd.Series(np.arange(n), index=slab.row)
         low, high = np.full((n, positives), anything.max), np.full((n, positives), anything.min)
         at, slot, score = place[top["anchor"]].to_numpy(), top["rank"].to_numpy() - 1, top["score"].to_numpy(np.int64)
-        low[at, slot], high[at, slot] = -((-LOW * score) // 100), (HIGH * score) // 100
+        low[at, slot], high[at, slot] = windows(score)
         search = _search(slab, low, high, negatives, False, limit)
         mined = _top(stored.mapInPandas(search, _FOUND), negatives)
         pairs = spark.createDataFrame(

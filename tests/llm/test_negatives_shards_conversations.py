@@ -90,6 +90,63 @@ def test_bounds_hold_and_skip_pairs():
     assert (most[0] >= top).mean() < 0.6  # other clusters are left out by their angles alone
 
 
+def test_bounds_hold_for_groups_of_rows():
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(3, 16))
+    q = np.floor(256 * np.concatenate([c * (1 + i) + rng.normal(size=(40, 16)) * 0.05 for i, c in enumerate([*centre, -centre[0]])]))
+    pilot = hard_negatives.pd.DataFrame({"q": list(q), "label": [i // 40 for i in range(160)]})
+    norms = np.linalg.norm(q, axis=1)
+    angles = hard_negatives._angles(q, norms, hard_negatives.reference_directions(pilot, 16))
+    groups = [slice(0, 40), slice(40, 80), slice(80, 120), slice(120, 160), slice(30, 90), slice(7, 8)]
+    first, last = ([(f(norms[g]), f(angles[g], axis=0)) for g in groups] for f in (np.min, np.max))
+    ranges = [np.array(x) for x in (*zip(*first, strict=True), *zip(*last, strict=True))]
+    least, most = hard_negatives.bounds(norms, angles, *ranges)
+    for k, g in enumerate(groups):
+        scores = q @ q[g].T
+        assert (least[:, k] <= scores.min(axis=1)).all() and (scores.max(axis=1) <= most[:, k]).all()
+    assert (most[0] < np.sort(q @ q[0])[-5]).sum() >= 3  # whole groups are left out
+
+
+def test_search_scores_few_pairs_of_random_vectors(monkeypatch):
+    """Angles tell random vectors little; products in single precision leave only pairs near the floors to be scored."""
+    rng = np.random.default_rng(11)
+    n, width, anchors = 6000, 24, 80
+    q = np.floor(256 * rng.normal(size=(n, width)))
+    q[3000:3400] = q[5]
+    norms, ids, labels = np.linalg.norm(q, axis=1), rng.permutation(n), rng.integers(0, 4, n)
+    references = hard_negatives.reference_directions(hard_negatives.pd.DataFrame({"q": list(q[:500]), "label": labels[:500]}), width)
+    rows = hard_negatives.pd.DataFrame({"row": np.arange(n), "id": ids, "named": True, "label": labels, "norm": norms})
+    rows["q"] = [x.tobytes() for x in q.astype(np.int32)]
+    rows["angles"] = [x.tobytes() for x in hard_negatives._angles(q, norms, references)]
+    slab = hard_negatives.Slab(rows[:anchors], width)
+    scores = (q[:anchors] @ q.T).astype(np.int64)
+    top = np.sort(scores, axis=1)[:, ::-1][:, 1:6]
+    low, high = top // 2, top * 95 // 100
+    low[3], high[3] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    low[7, 2], high[7, 2] = -900, -1000
+    scored, exact = [], hard_negatives.exact_scores
+    monkeypatch.setattr(hard_negatives, "exact_scores", lambda a, b, i, j, safe: scored.append(len(i)) or exact(a, b, i, j, safe))
+    for same, k, lo, hi in [(False, 3, low, high), (True, 5, np.full((anchors, 1), -(2**62)), np.full((anchors, 1), 2**62))]:
+        found = next(hard_negatives._search(slab, lo, hi, k, same, float(norms.max()) ** 2)(rows[s : s + 2000] for s in range(0, n, 2000)))
+        want = Counter()
+        for a in range(anchors):
+            own = (labels == labels[a]) & (np.arange(n) != a) if same else labels != labels[a]
+            for w in range(lo.shape[1]):
+                fit = [r for r in np.flatnonzero(own & (scores[a] >= lo[a, w]) & (scores[a] <= hi[a, w])) if same or lo[a, w] <= hi[a, w]]
+                want.update((a, w, scores[a, r], ids[r], r) for r in sorted(fit, key=lambda r: (-scores[a, r], ids[r]))[:k])
+        assert Counter(found[["anchor", "slot", "score", "id", "row"]].itertuples(index=False, name=None)) == want
+    assert sum(scored) < 0.2 * n * anchors
+
+
+def test_long_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), (rng.normal(size=5) * 2.0**20).tolist(), int(i % 3)) for i in range(150)]
+    rows += [(200 + i, [x + i % 3 / 256 for x in rows[100][1]], i % 2) for i in range(30)]  # scores that single precision cannot tell apart
+    got = hard_negatives.hard_negatives(spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], VECTORS))
+    found = Counter(map(tuple, got.collect()))
+    assert found == brute_negatives(rows) and found
+
+
 def test_long_vectors_are_scored_in_whole_numbers():
     a = np.array([[2**30 + 1, 2**30 - 1]], np.int32)
     got = hard_negatives.exact_scores(a, a, np.array([0]), np.array([0]), safe=False)
