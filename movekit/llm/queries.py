@@ -15,7 +15,7 @@ from movekit.llm.mixing import mix
 from movekit.llm.ngram_llr import quality_rules
 from movekit.llm.packing import pack_sequences
 from movekit.llm.quality import score_quality
-from movekit.llm.sharding import shard_documents
+from movekit.llm.sharding import file_row, shard_documents
 from movekit.llm.suffix import repeated_passages
 from movekit.llm.token_counts import document_tokens
 from movekit.llm.toxicity import score_toxicity
@@ -146,7 +146,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = shard_documents(table(spark, sf_dir, "documents"))
+    sharded = shard_documents(table(spark, sf_dir, "documents"), number=file_row())
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return sharded.select(
         "doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from movekit.llm.common import narrow
 from movekit.session import stage
 
 N_SHARDS = 16
@@ -31,6 +30,8 @@ TOLERANCE = 0.001
 PART_BYTES, MOST_PARTS = 32 << 20, 1024
 #: Candidates counted in one round, over all splitters.
 MOST_PROBES = 8192
+#: Ranges are looked up by the first 12 of a key's bits.
+BUCKET_SHIFT = 64 - 12
 
 KEY = ("k1", "k2", "k3")
 _SIGN = np.uint64(1 << 63)
@@ -50,27 +51,18 @@ def _sorted_bytes(keys: list[bytes]) -> np.ndarray:
 
 
 def _histogram(keys: DataFrame, probes: np.ndarray) -> pd.DataFrame:
-    """Exact bytes, rows and outermost keys between each two of ``probes``; a few rows for each task, then summed."""
+    """Exact bytes, rows and outermost keys between each two of ``probes``, of batches first and then summed."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
         for b in batches:
             if not len(b):
                 continue
-            packed = _packed(b.k1, b.k2, b.k3)
-            bucket = np.searchsorted(probes, packed, side="right")
-            order = np.lexsort((packed, bucket))
-            bucket, packed, size = bucket[order], packed[order], b["size"].to_numpy(np.int64)[order]
-            start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            end = np.concatenate((start[1:], [len(bucket)])) - 1
-            for k, total, n, lo, hi in zip(bucket[start], np.add.reduceat(size, start), end - start + 1, packed[start], packed[end], strict=True):
-                lo, hi = lo.ljust(24, b"\0"), hi.ljust(24, b"\0")
-                if (old := sums.get(int(k))) is None:
-                    sums[int(k)] = [int(total), int(n), lo, hi]
-                else:
-                    old[:] = old[0] + int(total), old[1] + int(n), min(old[2], lo), max(old[3], hi)
-        if sums:
-            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["bucket", "bytes", "n", "least", "most"])
+            b = b.iloc[np.lexsort((b.k3, b.k2, b.k1))]
+            packed, size = _packed(b.k1, b.k2, b.k3), b["size"].to_numpy(np.int64)
+            edges = np.concatenate(([0], np.searchsorted(packed, probes), [len(b)]))
+            bucket = np.flatnonzero(edges[1:] > edges[:-1])
+            start, end, whole = edges[bucket], edges[bucket + 1], packed.view("V24")
+            yield pd.DataFrame({"bucket": bucket, "bytes": np.add.reduceat(size, start), "n": end - start, "least": whole[start].tolist(), "most": whole[end - 1].tolist()})
 
     found = keys.mapInPandas(count, _HISTOGRAM).groupBy("bucket")
     rows = found.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).toPandas()
@@ -79,21 +71,21 @@ def _histogram(keys: DataFrame, probes: np.ndarray) -> pd.DataFrame:
 
 @dataclass
 class Splitter:
-    """A boundary looked for: between two known keys, with the bytes below each."""
+    """A boundary looked for: between two known keys, with the bytes and rows below each."""
 
     target: float
     tolerance: float
-    low: tuple[bytes, int]
-    high: tuple[bytes, int]
+    low: tuple[bytes, int, int]
+    high: tuple[bytes, int, int]
     least: bytes = b"\0" * 24
     most: bytes = b"\xff" * 24
-    done: bytes | None = None
+    done: tuple[bytes, int] | None = None
 
     def settle(self, single: bool) -> None:
         """Take the nearer end if it is near enough or nothing lies between the two."""
-        key, below = min((self.low, self.high), key=lambda end: abs(end[1] - self.target))
+        key, below, n = min((self.low, self.high), key=lambda end: abs(end[1] - self.target))
         if single or abs(below - self.target) <= self.tolerance:
-            self.done = key
+            self.done = key, n
 
 
 def _between(least: bytes, most: bytes, n: int) -> list[bytes]:
@@ -111,12 +103,12 @@ def _between(least: bytes, most: bytes, n: int) -> list[bytes]:
     return [prefix + (a + (b - a) * (j + 1) // (n + 1) + (n == b - a)).to_bytes(8, "big") + bytes(16 - 8 * at) for j in range(n)]
 
 
-def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], total: int) -> list[bytes]:
-    """Keys with about the wanted bytes below them, for ``(target, tolerance)`` in ascending order.
+def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], total: int, n_rows: int) -> list[tuple[bytes, int]]:
+    """Keys with about the wanted bytes below them and the rows below them, for ``(target, tolerance)`` in ascending order.
 
     The driver holds the candidates and one row for each range between two of them; ``keys`` has ``k1, k2, k3, size``.
     """
-    ends = (b"\0" * 24, 0), (b"\xff" * 24, total)
+    ends = (b"\0" * 24, 0, 0), (b"\xff" * 24, total, n_rows)
     wanted = [Splitter(t, tol, *ends) for t, tol in targets]
     while open_ones := [s for s in wanted if s.done is None]:
         each = max(2, min(16, MOST_PROBES // len(open_ones)))
@@ -127,18 +119,42 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], total: i
         probes = _sorted_bytes([*known, *(p for (a, b), n in shared.items() for p in _between(a, b, n * each))])
         found = _histogram(keys, probes)
         index = found.index.to_numpy()
-        below = np.cumsum(found["bytes"].to_numpy())
+        below, n = np.cumsum(found["bytes"].to_numpy()), np.cumsum(found["n"].to_numpy())
         for s in open_ones:
             # The first range that reaches the target; it has rows, so its outermost keys are known.
             i = min(int(np.searchsorted(below, s.target)), len(below) - 1)
             k, row = int(index[i]), found.iloc[i]
-            low = (probes[k - 1].ljust(24, b"\0") if k else ends[0][0], int(below[i] - row["bytes"]))
-            high = (probes[k].ljust(24, b"\0") if k < len(probes) else ends[1][0], int(below[i]))
+            low = (probes[k - 1].ljust(24, b"\0") if k else ends[0][0], int(below[i] - row["bytes"]), int(n[i] - row["n"]))
+            high = (probes[k].ljust(24, b"\0") if k < len(probes) else ends[1][0], int(below[i]), int(n[i]))
             s.low, s.high, s.least, s.most = low, high, bytes(row["least"]), bytes(row["most"])
             s.settle(single=s.least == s.most)
     return [s.done for s in wanted]
 
 
+def _ranges(spark: SparkSession, bounds: np.ndarray, shard_of: np.ndarray, base: np.ndarray) -> DataFrame:
+    """The ranges between ``bounds``, one row for each bucket of first keys that a range meets; together they hold every key."""
+    borders = [tuple(x) for x in (bounds.view(">u8").reshape(-1, 3).astype(np.uint64) ^ _SIGN).view(np.int64).tolist()]
+    lows, highs = [(-(1 << 63),) * 3, *borders], [*borders, None]
+    rows = []
+    for i, (low, high) in enumerate(zip(lows, highs, strict=True)):
+        last = (high[0] if high else (1 << 63) - 1) >> BUCKET_SHIFT
+        rows += [(bucket, low, high, i, int(shard_of[i]), int(base[i])) for bucket in range(low[0] >> BUCKET_SHIFT, last + 1)]
+    key = "struct<k1: long, k2: long, k3: long>"
+    return spark.createDataFrame(rows, f"bucket long, low {key}, high {key}, range int, shard int, base long")
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows with the range that holds their key; of the few ranges of a bucket, comparisons find the one."""
+    key = F.struct(*KEY)
+    inside = (key >= ranges["low"]) & (ranges["high"].isNull() | (key < ranges["high"]))
+    return rows.join(F.broadcast(ranges), (F.shiftright("k1", BUCKET_SHIFT) == ranges["bucket"]) & inside)
+
+
+def file_row() -> Column:
+    """A number for each row of a scan of Parquet files, from its file and its place there."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def shard_documents(
     docs: DataFrame,
     *,
@@ -147,6 +163,7 @@ def shard_documents(
     part_bytes: int = PART_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    number: Column | None = None,
 ) -> DataFrame:
     """``id, text, size, shard, slot`` for every row: whole texts in ``n_shards`` shards of nearly equal bytes.
 
@@ -154,45 +171,44 @@ def shard_documents(
     a gap, in the order of the key. Rows without an id, repeated rows and equal texts are rows like any other.
     With no rows the result is empty; shards beyond the number of rows stay empty. Further columns are left out.
     One text is never cut: a shard may exceed its part by half of the text at either end.
+
+    ``number`` tells repeated rows apart by a number that each has again whenever ``docs`` is read, as :func:`file_row`
+    does for files. Then ``docs`` is read twice and only keys are written. Without it the rows are written once, numbered.
     """
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
-    keyed = narrow(docs, id_col, text_col).select(
-        F.col(id_col),
-        F.col(text_col),
+    keyed = docs.select(
+        docs[id_col],
+        docs[text_col],
         size.alias("size"),
         F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("k1"),
         F.xxhash64(id_col).alias("k2"),
-        F.monotonically_increasing_id().alias("k3"),
+        (F.monotonically_increasing_id() if number is None else number).alias("k3"),
     )
-    keyed = stage(keyed, "shard-rows")  # numbers of rows hold only once they are written
-    keys = keyed.select(*KEY, "size")
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if number is None:
+        keyed = stage(keyed, "shard-rows")  # numbers of rows hold only once they are written
+        keys = keyed.select(*KEY, "size")
+    else:
+        keys = stage(keyed.select(*KEY, "size"), "shard-keys")
+    total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     m = max(1, min(MOST_PARTS, math.ceil(total / n_shards / part_bytes)))
     part, n_parts = total / (n_shards * m), n_shards * m
     # Borders of shards are exact to the tolerance; borders of the parts within a shard only share out the sorting.
     targets = [(part * i, part * m * tolerance if i % m == 0 else part * 0.2) for i in range(1, n_parts)] if total else []
-    splitters = find_splitters(keys, targets, total)
-    bounds, place = np.unique(np.array(splitters, "S24"), return_inverse=True)
-    n = np.zeros(len(bounds) + 1, np.int64)
-    found = _histogram(keys, bounds)
-    n[found.index.to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    splitters = find_splitters(keys, targets, total, n_rows)
+    bounds, place = np.unique(np.array([key for key, _ in splitters], "S24"), return_inverse=True)
+    before = np.zeros(len(bounds) + 1, np.int64)
+    before[place + 1] = [n for _, n in splitters]
     # Range j of the distinct splitters belongs to the part that the last of the equal ones opens.
     part_of = np.zeros(len(bounds) + 1, np.int64)
     for i, j in enumerate(place):
         part_of[j + 1] = i + 1
     shard_of = part_of // m
-    before = np.cumsum(n) - n
     first = np.array([before[shard_of == s].min() for s in shard_of])
     base = before - first
 
-    @F.pandas_udf("range int, shard int, base long")
-    def placed(k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(bounds, _packed(k1, k2, k3), side="right")
-        return pd.DataFrame({"range": at.astype(np.int32), "shard": shard_of[at].astype(np.int32), "base": base[at]})
-
-    rows = keyed.withColumn("at", placed(*KEY))
-    number = F.row_number().over(W.partitionBy("at.range").orderBy(*KEY))
-    return rows.select(id_col, text_col, "size", F.col("at.shard").alias("shard"), (F.col("at.base") + number - 1).alias("slot"))
+    rows = in_ranges(keyed, _ranges(docs.sparkSession, bounds, shard_of, base))
+    place = F.row_number().over(W.partitionBy("range").orderBy(*KEY))
+    return rows.select(id_col, text_col, "size", "shard", (F.col("base") + place - 1).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from movekit import session
 from movekit.llm import conversations, hard_negatives, sharding
 from movekit.llm.conversations import damage, repair_conversations
 from movekit.llm.queries import op12_sharding, op13_conversation_repair
@@ -202,6 +203,39 @@ def test_hot_and_repeated_rows_are_spread(spark):
     assert len({s for s, rs in by.items() for r in rs if r["text"] == "no id"}) >= 3
 
 
+def test_rows_of_files_are_numbered_by_their_place(spark, tmp_path):
+    """Repeated rows of several files: read twice, each row keeps its number, and no text is written before the exchange."""
+    texts = [(i, "the same text in a third of all rows") for i in range(1500)] + [(None, "no id")] * 1500 + [(i, f"text {i} " * (i % 7)) for i in range(1500)] + [(7, None)] * 9
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "docs"))
+    before = len(session.STAGED)
+    sharded = shard_documents(spark.read.parquet(str(tmp_path / "docs")), part_bytes=2000, number=sharding.file_row())
+    by = check_shards(sharded.collect(), texts)
+    assert Counter((r["doc_id"], r["text"]) for rs in by.values() for r in rs) == Counter(texts)
+    assert len({s for s, rs in by.items() for r in rs if r["text"] == "no id"}) >= 3
+    assert {c for path in session.STAGED[before:] for c in spark.read.parquet(path).columns} == {"k1", "k2", "k3", "size"}
+
+
+def test_the_query_writes_no_texts_and_exchanges_them_once(spark, sf_dir):
+    before = len(session.STAGED)
+    plan = op12_sharding(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert {c for path in session.STAGED[before:] for c in spark.read.parquet(path).columns} == {"k1", "k2", "k3", "size"}
+    assert plan.count("Exchange hashpartitioning") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_ranges_hold_every_key_once(spark):
+    rng = random.Random(9)
+    keys = [(rng.choice([5, -5, 2**62, rng.randrange(-(2**63), 2**63)]), rng.randrange(3), i) for i in range(400)]
+    keys += [(-(2**63),) * 3, (2**63 - 1,) * 3]
+    packed = sharding._packed(*(sharding.pd.Series([k[i] for k in keys]) for i in range(3)))
+    bounds = np.unique(np.concatenate((packed[::9], np.array([b"\0" * 24, b"\xff" * 24], "S24"))))
+    at = np.arange(len(bounds) + 1)
+    ranges = sharding._ranges(spark, bounds, at, at)
+    rows = spark.createDataFrame(keys, "k1 long, k2 long, k3 long")
+    got = sharding.in_ranges(rows, ranges).select("k1", "k2", "k3", "range").collect()
+    want = np.searchsorted(bounds, packed, side="right")
+    assert Counter(map(tuple, got)) == Counter((*k, int(r)) for k, r in zip(keys, want, strict=True))
+
+
 def test_small_groups_of_equal_texts_stay_together(spark):
     texts = [(i, f"text number {i // 5}") for i in range(4000)]
     by = check_shards(shard_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)
